@@ -3,8 +3,9 @@
 Every rule scores a document (higher is worse) and rejects above a cutoff. For each stratum and rule a fixed grid of
 cutoffs is tried on the documents labelled good. With n good documents of which a cutoff rejects k, the cutoff is
 certified when P(Binomial(n, limit) <= k) <= delta / tests: the exact (Clopper-Pearson) upper bound of its false
-rejection rate is then below limit, for all tests at once (Bonferroni). Of the certified cutoffs of a rule the one
-that rejects most labelled-bad documents is used; ties go to the most lenient. The limit of a stratum is shared
+rejection rate is then below limit, for all tests at once (Bonferroni). Of the certified cutoffs of a rule the one with
+the largest surplus of rejected bad over rejected good labelled documents is used, if any has a surplus; ties go
+to the most lenient. The limit of a stratum is shared
 equally by the rules, so their union stays within it.
 
 Null text counts as empty. A null stratum is a stratum of its own. Documents of a stratum without enough labels are
@@ -94,7 +95,7 @@ def binomial_cdf(k: Column, n: Column, p: float, terms: int = 2000) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.exp(top) * (end["sum"] + rest))
 
 
-def calibrate(annotated: DataFrame, labels: DataFrame, *, stratum: str = "lang", limit: float = 0.02, delta: float = 0.05, key: str = "doc_id") -> DataFrame:
+def calibrate(annotated: DataFrame, labels: DataFrame, *, stratum: str = "lang", limit: float = 0.05, delta: float = 0.05, key: str = "doc_id") -> DataFrame:
     """Rows (_stratum, cut_<rule>...): the certified cutoff of each rule, null where none is."""
     good = labels.groupBy(key).agg(F.min("quality").alias("_good")).filter(F.col("_good").isNotNull() & F.col(key).isNotNull())
     score = scores()
@@ -110,7 +111,8 @@ def calibrate(annotated: DataFrame, labels: DataFrame, *, stratum: str = "lang",
     strata = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
     rows = counted.withColumn("_strata", strata).select("_stratum", "_n", "_strata", F.explode("_tests").alias("t"))
     certified = rows.filter(binomial_cdf(F.col("t.k"), F.col("_n"), share) <= delta / (len(tests) * F.col("_strata")))
-    best = F.when(F.col("t.bad") > 0, F.struct(F.col("t.bad"), F.col("t.cut")))
+    surplus = F.col("t.bad") - F.col("t.k")
+    best = F.when(surplus > 0, F.struct(surplus, F.col("t.cut").alias("cut")))
     return certified.groupBy("_stratum").agg(*[F.max(F.when(F.col("t.rule") == r, best)).getField("cut").alias(f"cut_{r}") for r in GRIDS])
 
 
