@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import mixing, quality, sharding, tokenbin
 
 QUERIES = {
+    "op2_external_shuffle": sharding.op2_external_shuffle,
+    "op3_bit_plane_tokens": tokenbin.op3_bit_plane_tokens,
+    "op4_pivotal_mix": mixing.op4_pivotal_mix,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
