@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding, tokenbin
+from . import jaccard, langid, mixing, packing, quality, sharding, tokenbin
 
 QUERIES = {
     "op2_external_shuffle": sharding.op2_external_shuffle,
     "op3_bit_plane_tokens": tokenbin.op3_bit_plane_tokens,
     "op4_pivotal_mix": mixing.op4_pivotal_mix,
+    "op5_hilbert_pack": packing.op5_hilbert_pack,
+    "op7_word_crf": langid.op7_word_crf,
+    "op9_size_aware_join": jaccard.op9_size_aware_join,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
