@@ -1,13 +1,20 @@
-"""The corpus pipeline: documents through quality rules, language ID, near duplicates, mixing and packing."""
+"""The corpus pipeline: quality rules, language ID, near duplicates, mixing of sources, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import common, quality
+from barloom.llm import common, jaccard, langid, mixing, packing, quality
 
 STAGES = [
     ("quality_rules", quality.stage),
+    ("language_id", langid.stage),
+    ("jaccard_join", jaccard.stage),
+    ("source_mix", mixing.stage),
+    ("packing", packing.stage),
 ]
 
 #: Language ID, mixing and packing are not expressible in SQL.
