@@ -1,16 +1,21 @@
-"""The queries of this subpackage, by name."""
+"""The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
-from . import jaccard, langid, mixing, packing, quality, sharding, tokenbin
+from . import jaccard, langid, licenses, mixing, packing, quality, sharding, tokenbin, urlfilter
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_external_shuffle": sharding.op2_external_shuffle,
     "op3_bit_plane_tokens": tokenbin.op3_bit_plane_tokens,
     "op4_pivotal_mix": mixing.op4_pivotal_mix,
     "op5_hilbert_pack": packing.op5_hilbert_pack,
     "op7_word_crf": langid.op7_word_crf,
+    "op8_temporal_lists": urlfilter.op8_temporal_lists,
     "op9_size_aware_join": jaccard.op9_size_aware_join,
     "op10_quality_rules": quality.op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": licenses.OP1_SQL,
+    "op8_temporal_lists": urlfilter.OP8_SQL,
+}
