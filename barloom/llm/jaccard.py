@@ -9,10 +9,12 @@ prefixes; sizes and positions in the lists exclude most other pairs. Shingles th
 in that order. Only how long lists get depends on the counts, never which pairs are found, so their table may be bounded.
 The boundary is the one with the least cost, from the numbers of small sets and the mean length of lists.
 
-Lists are not expanded into all pairs. First every set is compared with the smallest of its list; sets that link so are
-of one component. Then pairs of a list that are of different components still are compared. So no link between
-components is lost, while a list of thousands of near copies costs as many comparisons as members. Every pair is
-decided on whole sets.
+Lists are not expanded into all pairs of sets. Every set has a sketch of 1024 parities; sets differ by at least as many
+shingles as their sketches by bits, which excludes pairs without a look at the sets. First every set is compared with
+the smallest of a list, the one with the closest sketch; sets that link so are of one component. Then the pairs of a
+list that are of different components still, and whose sizes, positions and sketches allow a link, are found (long
+lists in blocks), and compared, the closest of two components first, until none is left that is untested and of
+different components. So no link between components is lost. Every link is decided on whole sets.
 
 Null text, and text without words, has no shingles and no links; a text with fewer words than n is one shingle. Rows
 with equal keys are told apart by their text. Rows with a null key belong to their component, but can't name it or
@@ -35,9 +37,13 @@ from . import common
 from .components import components
 
 #: Words that a worker remembers; shingles that a task counts at once; least count in a task; shingles put last in the order.
-MEMORY, COUNTED, LOCAL, FREQUENT = 500_000, 6_000_000, 3, 1 << 18
+MEMORY, COUNTED, LOCAL, FREQUENT = 300_000, 3_000_000, 3, 1 << 18
+#: Bits that mark the documents whose sets are wanted: 2 MB, whatever the corpus.
+MARKS = 1 << 24
 #: Largest size that may count as light.
 LIGHT = 24
+#: Bits of a sketch, and rows of a block of a long list.
+SKETCH, LIST = 1024, 2048
 
 
 class _Hashes(dict):
@@ -80,6 +86,11 @@ def fingerprint(rows: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(rows.tobytes())).astype(np.int64))
 
 
+def sketch(rows: np.ndarray) -> bytes:
+    """Bit j: whether an odd number of shingles falls on j."""
+    return np.packbits(np.bincount(rows.view(np.int64) & (SKETCH - 1), minlength=SKETCH).astype(np.uint8) & 1).tobytes()
+
+
 def required(a: int, b: int, percent: int) -> int:
     """Shingles that sets of sizes a and b must share to link."""
     return -(-percent * (a + b) // (100 + percent))
@@ -108,7 +119,7 @@ def _batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("token", pa.int64()), ("hits", pa.int64())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("token", pa.int64()), ("hits", pa.int64()), ("sketch", pa.binary())])
 
 
 def _describe(n: int):
@@ -121,14 +132,14 @@ def _describe(n: int):
             token, hits = np.unique(np.concatenate(kept), return_counts=True)
             often = hits >= LOCAL
             none = [None] * int(often.sum())
-            return _batch([none, none, none, token[often].view(np.int64), hits[often]], _SETS)
+            return _batch([none, none, none, token[often].view(np.int64), hits[often], none], _SETS)
 
         for b in batches:
             rows = []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = shingles(text, n)
                 node = fingerprint(s)
-                rows.append((key, len(s), node, None, None))
+                rows.append((key, len(s), node, None, None, sketch(s)))
                 if len(s) and node not in seen:
                     seen.add(node)
                     kept.append(s)
@@ -187,10 +198,13 @@ def _entries(n: int, percent: int, boundary: int, shared):
     return run
 
 
-def _sets_of(n: int):
+def _sets_of(n: int, shared):
+    """Sets of the texts whose mark is set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(x, n) for x in b.column(0).to_pylist()]
+            mark = b.column(0).to_numpy()
+            texts = b.column(1).filter(pa.array((shared.value[mark >> 5] >> (mark & 31) & 1).astype(bool)))
+            sets = [shingles(x, n) for x in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "rows"])
 
     return run
@@ -213,6 +227,76 @@ def _linked(percent: int):
     return run
 
 
+def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64)
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+
+
+def _within(a: np.ndarray, b: np.ndarray, percent: int, distance: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes a and b may link by the least number of shingles in which they differ."""
+    return distance <= a + b - 2 * (-(-percent * (a + b) // (100 + percent)))
+
+
+_PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("d", pa.int64())])
+
+
+def _near(percent: int):
+    """Pairs (u, v, nu, nv, su, sv) whose sketches allow a link, with the sketches' distance."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u, v, nu, nv = (b.column(k).to_numpy() for k in range(4))
+            d = _distance(_words(b.column(4)), _words(b.column(5)))
+            ok = _within(nu, nv, percent, d)
+            yield _batch([u[ok], v[ok], d[ok]], _PAIRS)
+
+    return run
+
+
+def _list_pairs(percent: int):
+    """Pairs of different components within lists; rows come sorted by (token, i, j), columns as named below."""
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        token, i, j, own, node, n, pos, part = (t.column(c).to_numpy() for c in ("token", "i", "j", "own", "node", "n", "pos", "component"))
+        bits = _words(t.column("sketch"))
+        group = np.append(0, np.cumsum((np.diff(token) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)))
+        index = n - -(-2 * percent * n // (100 + percent)) + 1
+        found = []
+        for k in range(1, int(np.bincount(group).max()) if len(group) else 1):
+            a = np.flatnonzero(group[:-k] == group[k:])
+            b = a + k
+            ok = (part[a] != part[b]) & ((i[a] == j[a]) | (own[a] != own[b]))
+            a, b = a[ok], b[ok]
+            swap = (n[a] > n[b]) | ((n[a] == n[b]) & (node[a] > node[b]))
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            need = -(-percent * (n[a] + n[b]) // (100 + percent))
+            ok = (100 * n[a] >= percent * n[b]) & (pos[a] < index[a]) & (1 + np.minimum(n[a] - pos[a] - 1, n[b] - pos[b] - 1) >= need)
+            a, b = a[ok], b[ok]
+            d = _distance(bits[a], bits[b])
+            ok = _within(n[a], n[b], percent, d)
+            if ok.any():
+                a, b = node[a[ok]], node[b[ok]]
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b), d[ok]], axis=1))
+        rows = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+        return _batch([rows[:, 0], rows[:, 1], rows[:, 2]], _PAIRS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            keys = [held.column(c).to_numpy() for c in ("token", "i", "j")]
+            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0))
+            if len(change):  # all groups but the last are whole
+                yield pairs(held.slice(0, int(change[-1]) + 1))
+                held = held.slice(int(change[-1]) + 1)
+        if held is not None and len(held):
+            yield pairs(held)
+
+    return run
+
+
 def _close(small: tuple[Column, Column], large: tuple[Column, Column], percent: int) -> Column:
     """Whether sets (n, pos of a shared shingle) may link by size, prefix and position; small is not the larger one."""
     (a, i), (b, j) = small, large
@@ -224,9 +308,15 @@ def _close(small: tuple[Column, Column], large: tuple[Column, Column], percent:
 def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, n: int, percent: int) -> DataFrame:
     """Of pairs (u, v) those that link, decided on whole sets. holders: node and a document that has it."""
     ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = holders.join(ends, "node", "left_semi").select(F.col("doc_id").alias("_key")).distinct()
-    texts = docs.join(wanted, F.col("doc_id") == F.col("_key"), "left_semi").select("text")
-    sets = common.cut(texts.mapInArrow(_sets_of(n), "node long, rows binary"), "sets").dropDuplicates(["node"])
+    # A bitmap of MARKS bits tells nearly all other documents where they are read, so no text is shuffled.
+    mark = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+    wanted = holders.join(ends, "node", "left_semi").select(mark.alias("m"))
+    words = wanted.groupBy(F.floor(F.col("m") / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(m % 32 as int))")).alias("b")).toPandas()
+    bits = np.zeros(MARKS // 32, np.uint32)
+    bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    texts = docs.select(mark.alias("mark"), "text")
+    found = texts.mapInArrow(_sets_of(n, docs.sparkSession.sparkContext.broadcast(bits)), "node long, rows binary")
+    sets = common.cut(found.join(ends, "node", "left_semi"), "sets").dropDuplicates(["node"])
     left = pairs.join(sets.select(F.col("node").alias("u"), F.col("rows").alias("x")), "u")
     both = left.join(sets.select(F.col("node").alias("v"), F.col("rows").alias("y")), "v").select("u", "v", "x", "y")
     return both.mapInArrow(_linked(percent), "u long, v long")
@@ -236,9 +326,10 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, percent: int = 80, key: str = "
     """doc_id, n_shingles, component_id (least key of the documents that links reach), one row for each of docs."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    described = common.cut(docs.mapInArrow(_describe(n), "doc_id long, n long, node long, token long, hits long"), "described")
+    described = common.cut(docs.mapInArrow(_describe(n), "doc_id long, n long, node long, token long, hits long, sketch binary"), "described")
     documents = described.filter("token IS NULL").select("doc_id", "n", "node")
-    nodes = documents.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    nodes = described.filter("token IS NULL AND n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    nodes = common.cut(nodes, "nodes")
 
     counts = described.filter("token IS NOT NULL").groupBy("token").agg(F.sum("hits").alias("hits"))
     often = np.array(counts.orderBy(F.desc("hits"), "token").limit(FREQUENT).toPandas(), np.int64).reshape(-1, 2)
@@ -261,25 +352,38 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, percent: int = 80, key: str = "
     light = lists.filter(F.col("need") > 0).filter((100 + percent) * F.col("need") >= percent * (F.col("n") + F.col("lead.n")))
     light = light.select(F.col("node").alias("u"), F.col("lead.node").alias("v")).filter("u <> v").distinct()
 
-    # Heavy: each set of a list with the smallest one first.
+    # Heavy: each set with the smallest one of a list first, that with the closest sketch.
     heavy = lists.filter(F.col("need") == 0)
     near = heavy.filter((F.col("node") != F.col("lead.node")) & _close((F.col("lead.n"), F.col("lead.pos")), (F.col("n"), F.col("pos")), percent))
-    first = common.cut(near.select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v")).distinct(), "first-pairs")
+    first = near.select(F.col("node").alias("u"), F.col("lead.node").alias("v")).distinct()
+    at = lambda side: nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
+    sketched = first.join(at("u"), "u").join(at("v"), "v").select("u", "v", "nu", "nv", "su", "sv")
+    closest = sketched.mapInArrow(_near(percent), "u long, v long, d long").groupBy("u").agg(F.min_by("v", F.struct("d", "v")).alias("v"))
+    first = common.cut(closest, "first-pairs")
     links = common.cut(light.unionByName(_verified(first, docs, nodes, n, percent)), "first-links")
 
-    # Then the pairs of lists that hold several components yet, but for those compared.
+    # Then the pairs of lists that hold several components yet.
     known = components(links)
-    placed = heavy.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b").select("token")
-    rest = placed.join(mixed, "token", "left_semi").select("token", "node", "n", "pos", "component", F.col("lead.node").alias("lead"))
-    x = rest.select("token", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "pos", "component", "lead")])
-    y = rest.select("token", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "pos", "component")])
-    differ = (F.col("component_x") != F.col("component_y")) & (F.col("node_x") != F.col("lead_x")) & ((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y"))))
-    pairs = x.join(y, (x["token"] == y["token"]) & differ & _close((F.col("n_x"), F.col("pos_x")), (F.col("n_y"), F.col("pos_y")), percent))
-    second = pairs.select(F.least("node_x", "node_y").alias("u"), F.greatest("node_x", "node_y").alias("v")).distinct()
-    second = common.cut(second.join(first, ["u", "v"], "left_anti"), "second-pairs")
-    if not second.isEmpty():
-        links = links.unionByName(_verified(second, docs, nodes, n, percent))
+    placed = heavy.select("token", "node", "n", "pos").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("_blocks")).filter("_a <> _b")
+    rest = placed.join(mixed.select("token", "_blocks"), "token").join(nodes.select("node", "sketch"), "node")
+    own = F.pmod("node", "_blocks").cast("int")
+    rest = rest.withColumn("own", own).withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rest = rest.select("token", F.least("own", "_c").alias("i"), F.greatest("own", "_c").alias("j"), "own", "node", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "component", "sketch")
+    sorted_ = rest.repartition(F.col("token"), F.col("i"), F.col("j")).sortWithinPartitions("token", "i", "j")
+    open_ = common.cut(sorted_.mapInArrow(_list_pairs(percent), "u long, v long, d long").groupBy("u", "v").agg(F.min("d").alias("d")), "list-pairs")
+    for attempt in itertools.count():
+        part = lambda side: known.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+        apart = open_.join(part("u"), "u", "left").join(part("v"), "v", "left").withColumns({"cu": F.coalesce("cu", "u"), "cv": F.coalesce("cv", "v")}).filter("cu <> cv")
+        if attempt < 2:
+            best = apart.groupBy(F.least("cu", "cv").alias("a"), F.greatest("cu", "cv").alias("b")).agg(F.min_by(F.struct("u", "v"), F.struct("d", "u", "v")).alias("p"))
+            tested = common.cut(best.select("p.u", "p.v"), "tested")
+        else:
+            tested = common.cut(apart.select("u", "v"), "tested")
+        if tested.isEmpty():
+            break
+        links = common.cut(links.unionByName(_verified(tested, docs, nodes, n, percent)), "more-links")
+        open_ = common.cut(apart.select("u", "v", "d").join(tested, ["u", "v"], "left_anti"), "untested")
         known = components(links)
 
     named = nodes.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
