@@ -1,6 +1,331 @@
-"""Registered queries of the candle library and their SQL."""
+"""Registered queries of the candle library and the same results as DuckDB SQL.
+
+Candles come from the events table: an hour of an event type is a bar. Floats are rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from barloom.functions import features as ft
+from barloom.operators import clean, experience, labels, markers, metrics, ordinal, resample, rewards, signals, sweep, trades, windows
+from barloom.sources import candles, sinks
+from barloom.streaming import live
+
+HOUR, DAY = candles.HOUR, candles.DAY
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def register(sql: str | None = None, name: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE_SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(*columns: str) -> list:
+    return [F.round(F.col(c), 6).alias(c) for c in columns]
+
+
+def s6(*columns: str) -> str:
+    return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
+
+
+# ---- candles -------------------------------------------------------------------------------------------------------
+
+_C = """c AS (SELECT event_type AS symbol, (epoch_ms(ts) // 3600000) * 3600000 AS timestamp,
+  arg_min(value, (ts, event_id)) AS price_open, max(value) AS price_high, min(value) AS price_low, arg_max(value, (ts, event_id)) AS price,
+  sum(value) AS volume, sum(value * value) AS asset_volume_quote, count(value) AS trades_number, arg_max(props, (ts, event_id)) AS props
+  FROM events GROUP BY 1, 2)"""
+_O = _C + """, g AS (SELECT *, lead(timestamp) OVER (PARTITION BY symbol ORDER BY timestamp) AS nxt FROM c),
+f AS (SELECT symbol, timestamp + k * 3600000 AS timestamp, timestamp + k * 3600000 + 3599999 AS timestamp_close, price_open,
+  CASE WHEN k > 0 THEN price ELSE price_high END AS price_high, CASE WHEN k > 0 THEN price ELSE price_low END AS price_low, price,
+  CASE WHEN k > 0 THEN 0 ELSE volume END AS volume, asset_volume_quote, trades_number, props
+  FROM (SELECT *, unnest(generate_series(0, coalesce((nxt - timestamp) // 3600000 - 1, 0))) AS k FROM g)),
+o AS (SELECT *, (timestamp - min(timestamp) OVER (PARTITION BY symbol)) // 3600000 AS ord FROM f)"""
+_PRICES = ("price_open", "price_high", "price_low", "price", "volume", "asset_volume_quote")
+
+
+def with_(prefix: str, tail: str) -> str:
+    return f"WITH RECURSIVE {prefix} {tail}" if tail.startswith(",") else f"WITH {prefix}\n{tail}"
+
+
+def base(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly candles without gaps, with ord."""
+    return ordinal.with_ordinal(clean.fill_gaps(candles.event_candles(spark, d), HOUR), HOUR)
+
+
+@register(with_(_C, f"SELECT symbol, timestamp, trades_number, {s6(*_PRICES)} FROM c"))
+def candles_hourly(spark, d):
+    return candles.event_candles(spark, d).select("symbol", "timestamp", "trades_number", *r6(*_PRICES))
+
+
+@register("SELECT o_orderpriority AS symbol, (epoch_ms(o_orderdate) // 86400000) * 86400000 AS timestamp, round(max(o_totalprice), 6) AS price_high, round(sum(o_totalprice), 4) AS volume, count(*) AS trades_number FROM orders GROUP BY 1, 2")
+def candles_daily_orders(spark, d):
+    return candles.order_candles(spark, d).select("symbol", "timestamp", *r6("price_high"), F.round("volume", 4).alias("volume"), "trades_number")
+
+
+@register(with_(_C, "SELECT symbol, timestamp, nxt AS next_timestamp, (nxt - timestamp - 3600000) // 3600000 AS missing FROM (SELECT *, lead(timestamp) OVER (PARTITION BY symbol ORDER BY timestamp) AS nxt FROM c) WHERE nxt <> timestamp + 3600000"))
+def gap_report(spark, d):
+    return clean.find_gaps(candles.event_candles(spark, d), HOUR)
+
+
+@register(with_(_O, f"SELECT symbol, timestamp, timestamp_close, ord, trades_number, {s6(*_PRICES)} FROM o"))
+def gap_filled(spark, d):
+    return base(spark, d).select("symbol", "timestamp", "timestamp_close", "ord", "trades_number", *r6(*_PRICES))
+
+
+@register(with_(_C, "SELECT symbol, timestamp FROM (SELECT symbol, timestamp + k * 3600000 AS timestamp FROM (SELECT *, unnest(generate_series(0, coalesce(nxt, (timestamp // 86400000 + 1) * 86400000) // 3600000 - timestamp // 3600000 - 1)) AS k FROM (SELECT *, lead(timestamp) OVER (PARTITION BY symbol ORDER BY timestamp) AS nxt FROM c)))"))
+def gap_filled_to_day(spark, d):
+    return clean.fill_gaps(candles.event_candles(spark, d), HOUR, pad_to_day=True).select("symbol", "timestamp")
+
+
+@register(with_(_C, f"SELECT symbol, timestamp, {s6('price', 'volume')}, CASE WHEN timestamp < (SELECT min(timestamp) + 864000000 FROM c) THEN 'train' ELSE 'test' END AS part FROM c"))
+def train_test_split(spark, d):
+    df = candles.select_raw(candles.event_candles(spark, d), ["symbol", "timestamp", "price", "volume"])
+    cut = df.agg(F.min("timestamp")).first()[0] + 10 * DAY
+    parts = [candles.split_by_time(df, end=cut).withColumn("part", F.lit("train")), candles.split_by_time(df, start=cut).withColumn("part", F.lit("test"))]
+    return parts[0].unionByName(parts[1]).select("symbol", "timestamp", *r6("price", "volume"), "part")
+
+
+@register(with_(_O, "SELECT symbol, ord FROM o WHERE ord >= 31 AND (ord - 31) % 4 = 0"))
+def run_stride(spark, d):
+    return clean.stride(base(spark, d), 31, 4).select("symbol", "ord")
+
+
+# ---- features ------------------------------------------------------------------------------------------------------
+
+_P = _O + """, p AS (SELECT *, price / nullif(lag(price) OVER w, 0) - 1 AS price_percent, volume / nullif(lag(volume) OVER w, 0) - 1 AS volume_percent,
+  price_high / nullif(price, 0) - 1 AS price_high_percent, price_low / nullif(price, 0) - 1 AS price_low_percent, volume + asset_volume_quote AS total_volume
+  FROM o WINDOW w AS (PARTITION BY symbol ORDER BY ord))"""
+_PCT = ("price_percent", "volume_percent", "price_high_percent", "price_low_percent")
+
+
+@register(with_(_P, "SELECT symbol, ord, " + ", ".join(f"round(coalesce({c}, 0), 6) AS {c}" for c in (*_PCT, "total_volume")) + " FROM p"))
+def pct_features(spark, d):
+    df = ft.total_volume(ft.hl_offset(ft.pct_change(base(spark, d), {"price_percent": "price", "volume_percent": "volume"})))
+    return clean.clean_features(df, [*_PCT, "total_volume"]).select("symbol", "ord", *r6(*_PCT, "total_volume"))
+
+
+def _rolling_sql(column: str, sizes: list[int], source: str) -> str:
+    parts = []
+    for w in sizes:
+        f = f"OVER (PARTITION BY symbol ORDER BY ord ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
+        full = f"CASE WHEN count(*) {f} = {w} THEN "
+        parts += [f"round({full}({column} - avg({column}) {f}) / nullif(stddev_samp({column}) {f}, 0) END, 6) AS zscore_{w}", f"round({full}{column} / nullif(max({column}) {f}, 0) END, 6) AS to_max_{w}", f"round({full}{column} / nullif(avg({column}) {f}, 0) END, 6) AS to_avg_{w}"]
+    return f"SELECT symbol, ord, {', '.join(parts)} FROM {source}"
+
+
+def _rolling_names(sizes):
+    return [f"{k}_{w}" for w in sizes for k in ("zscore", "to_max", "to_avg")]
+
+
+@register(with_(_O, _rolling_sql("price", [24, 168], "o")))
+def rolling_features(spark, d):
+    return ft.rolling_features(base(spark, d), "price", [24, 168]).select("symbol", "ord", *r6(*_rolling_names([24, 168])))
+
+
+@register(with_(_P, _rolling_sql("total_volume", [24], "p")))
+def rolling_volume(spark, d):
+    return ft.rolling_features(ft.total_volume(base(spark, d)), "total_volume", [24]).select("symbol", "ord", *r6(*_rolling_names([24])))
+
+
+_L = """c AS (SELECT l_returnflag AS symbol, (epoch_ms(l_shipdate) // 86400000) * 86400000 AS timestamp,
+  arg_max(l_extendedprice, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS price FROM lineitem GROUP BY 1, 2),
+f AS (SELECT symbol, timestamp + k * 86400000 AS timestamp, price FROM (SELECT *, unnest(generate_series(0, coalesce((nxt - timestamp) // 86400000 - 1, 0))) AS k
+  FROM (SELECT *, lead(timestamp) OVER (PARTITION BY symbol ORDER BY timestamp) AS nxt FROM c))),
+o AS (SELECT *, (timestamp - min(timestamp) OVER (PARTITION BY symbol)) // 86400000 AS ord FROM f)"""
+
+
+def daily_lines(spark, d):
+    return ordinal.with_ordinal(clean.fill_gaps(candles.line_candles(spark, d), DAY), DAY)
+
+
+@register(with_(_L, _rolling_sql("price", [365], "o")))
+def rolling_features_large(spark, d):
+    return ft.rolling_features(daily_lines(spark, d), "price", [365]).select("symbol", "ord", *r6(*_rolling_names([365])))
+
+
+_K = "TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)"
+
+
+@register(with_(_O, f"SELECT symbol, ord, {_K} AS k, round({_K} / nullif(lag({_K}) OVER (PARTITION BY symbol ORDER BY ord), 0) - 1, 6) AS k_percent FROM o"))
+def indicator_features(spark, d):
+    df = ft.pct_change(ft.explode_indicators(base(spark, d), ["k"]), {"k_percent": "k"})
+    return df.select("symbol", "ord", "k", *r6("k_percent"))
+
+
+_CLOSE = "make_timestamp(timestamp_close * 1000)"
+
+
+@register(with_(_O, f"SELECT symbol, ord, round((month({_CLOSE}) - 1) / 11, 6) AS month, round((day({_CLOSE}) - 1) / (day(last_day({_CLOSE})) - 1), 6) AS day, round((hour({_CLOSE}) * 60 + minute({_CLOSE})) / 1439, 6) AS time, round((isodow({_CLOSE}) - 1) / 6, 6) AS day_of_week FROM o"))
+def calendar_expanded(spark, d):
+    return ft.calendar_features(base(spark, d), "expanded").select("symbol", "ord", *r6("month", "day", "time", "day_of_week"))
+
+
+@register(with_(_O, f"SELECT symbol, ord, round((isodow({_CLOSE}) - 1) / 6, 6) AS day_of_week FROM o"))
+def calendar_dow(spark, d):
+    return ft.calendar_features(base(spark, d), "day_of_week").select("symbol", "ord", *r6("day_of_week"))
+
+
+@register(with_(_O, "SELECT symbol, ord, CAST(timestamp // 1000 AS DOUBLE) AS open_seconds, CAST(timestamp_close // 1000 AS DOUBLE) AS close_seconds FROM o"))
+def calendar_normal(spark, d):
+    return ft.calendar_features(base(spark, d), "normal").select("symbol", "ord", "open_seconds", "close_seconds")
+
+
+def _feature_query(kind: str):
+    def run(spark, d):
+        df, columns = ft.feature_set(base(spark, d), kind, ["k"], "day_of_week")
+        return clean.clean_features(df, [c for c in columns if c != "timestamp_close"]).select("symbol", "ord", *[F.round(F.col(c), 6).alias(f"x{i}") for i, c in enumerate(columns)])
+
+    k = f"{_K} / nullif(lag({_K}) OVER (PARTITION BY symbol ORDER BY ord), 0) - 1" if kind == "all_percents" else _K
+    columns = [*ft.FEATURE_TYPES[kind], k, f"(isodow({_CLOSE}) - 1) / 6"]
+    register(with_(_P, "SELECT symbol, ord, " + ", ".join(f"round(coalesce({c}, 0), 6) AS x{i}" for i, c in enumerate(columns)) + " FROM p"), f"feature_set_{kind}")(run)
+
+
+for _kind in ft.FEATURE_TYPES:
+    _feature_query(_kind)
+
+
+# ---- coarser bars --------------------------------------------------------------------------------------------------
+
+def _resample_query(name: str, mult: int):
+    def run(spark, d):
+        return resample.resample(base(spark, d), mult).select("symbol", "ord", "timestamp", "timestamp_close", "trades_number", *r6(*_PRICES))
+
+    register(with_(_O, f"""SELECT symbol, ord // {mult} AS ord, min(timestamp) AS timestamp, max(timestamp_close) AS timestamp_close, CAST(sum(trades_number) AS BIGINT) AS trades_number,
+  round(arg_min(price_open, ord), 6) AS price_open, round(max(price_high), 6) AS price_high, round(min(price_low), 6) AS price_low, round(arg_max(price, ord), 6) AS price,
+  round(sum(volume), 6) AS volume, round(sum(asset_volume_quote), 6) AS asset_volume_quote FROM o GROUP BY 1, ord // {mult} HAVING count(*) = {mult}""".replace("GROUP BY 1, ord", "GROUP BY symbol, ord")), name)(run)
+
+
+for _name, _mult in (("resample_4h", 4), ("resample_1d", 24), ("resample_1w", 168)):
+    _resample_query(_name, _mult)
+
+
+@register(with_(_O, """SELECT symbol, (ord - 3) % 4 AS phase, (ord - 3) // 4 AS ord, ord AS end_ord, round(price, 6) AS price, round(max(price_high) OVER w, 6) AS price_high, round(sum(volume) OVER w, 6) AS volume
+FROM o WINDOW w AS (PARTITION BY symbol ORDER BY ord ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) QUALIFY count(*) OVER w = 4"""))
+def resample_phases_4h(spark, d):
+    return resample.resample_phases(base(spark, d), 4).select("symbol", F.col("phase").cast("long").alias("phase"), "ord", "end_ord", *r6("price", "price_high", "volume"))
+
+
+@register(with_(_O, """, x AS (SELECT symbol, ord, price, ord // 4 AS o4, ord % 4 AS phase FROM o)
+SELECT symbol, (ord - 3) % 4 AS phase, ord AS end_ord, round(price / nullif(lag(price) OVER (PARTITION BY symbol, (ord - 3) % 4 ORDER BY ord), 0) - 1, 6) AS price_percent FROM x WHERE ord >= 3""".replace("\nSELECT", "\nSELECT", 1)))
+def phase_features_4h(spark, d):
+    bars = resample.resample_phases(base(spark, d), 4)
+    df = ft.pct_change(bars, {"price_percent": "price"}, key=["symbol", "phase"])
+    return df.select("symbol", F.col("phase").cast("long").alias("phase"), "end_ord", *r6("price_percent"))
+
+
+_PAIRS = [("1m", "15m"), ("1m", "1h"), ("1m", "1d"), ("1m", "1w"), ("5m", "1h"), ("15m", "1d"), ("30m", "4h"), ("1h", "4h"), ("1h", "1d"), ("1h", "1w")]
+
+
+@register("SELECT event_id, " + ", ".join(f"(((epoch_ms(ts) // 60000) + {4320 if b == '1w' else 0}) % {resample.MINUTES[b]}) // {resample.MINUTES[a]} AS slot_{a}_{b}" for a, b in _PAIRS) + " FROM events")
+def phase_slots(spark, d):
+    df = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    return df.select("event_id", *[resample.phase_slot(F.col("ms"), a, b).cast("long").alias(f"slot_{a}_{b}") for a, b in _PAIRS])
+
+
+@register(with_(_O, """, b AS (SELECT symbol, ord // 24 AS ord, max(timestamp_close) + 1 AS key FROM o GROUP BY symbol, ord // 24 HAVING count(*) = 24)
+SELECT o.symbol, o.ord, coalesce(b.ord, -1) AS day_ord FROM o ASOF LEFT JOIN b ON o.symbol = b.symbol AND o.timestamp_close + 1 >= b.key"""))
+def asof_daily(spark, d):
+    df = base(spark, d)
+    return resample.align_bars(df, resample.resample(df, 24), "day_ord").select("symbol", "ord", "day_ord")
+
+
+@register("""WITH l AS (SELECT DISTINCT epoch_ms(l_shipdate) // 86400000 AS day FROM lineitem), p AS (SELECT DISTINCT epoch_ms(o_orderdate) // 86400000 AS day FROM orders)
+SELECT p.day, coalesce(l.day, -1) AS ship_day FROM p ASOF LEFT JOIN l ON p.day >= l.day""")
+def asof_orders_lines(spark, d):
+    day = lambda c: F.floor(F.unix_millis(F.col(c).cast("timestamp")) / DAY).alias("day")
+    orders = spark.read.parquet(f"{d}/orders.parquet").select(day("o_orderdate")).distinct()
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select(day("l_shipdate")).distinct().withColumn("found", F.col("day"))
+    return ordinal.asof_align(orders, lines, "day", "found", "ship_day", key=None).select("day", "ship_day")
+
+
+@register(with_(_O, """, b AS (SELECT symbol, ord // 24 AS ord, max(timestamp_close) + 1 AS key FROM o GROUP BY symbol, ord // 24 HAVING count(*) = 24)
+SELECT o.symbol, o.ord, b.ord AS day_ord FROM o ASOF JOIN b ON o.symbol = b.symbol AND o.timestamp_close + 1 >= b.key WHERE b.ord >= 4"""))
+def complete_rows(spark, d):
+    df = base(spark, d)
+    aligned = resample.align_bars(df, resample.resample(df, 24), "day_ord")
+    return resample.drop_incomplete(aligned, ["day_ord"], 5).select("symbol", "ord", "day_ord")
+
+
+# ---- look-back windows ---------------------------------------------------------------------------------------------
+
+def _text(column, n=4):
+    return F.concat_ws(",", F.transform(column, lambda x: F.format_string(f"%.{n}f", x)))
+
+
+@register(with_(_P, """SELECT symbol, ord, array_to_string(list_transform(list(price) OVER w, lambda x: printf('%.4f', x)), ',') AS prices FROM p
+WINDOW w AS (PARTITION BY symbol ORDER BY ord ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) QUALIFY count(*) OVER w = 8"""))
+def lookback_8(spark, d):
+    df = windows.lookback(ft.assemble(base(spark, d), ["price"]), 8)
+    return df.select("symbol", "ord", _text(F.flatten("window")).alias("prices"))
+
+
+@register(with_(_O, """SELECT symbol, ord AS end_ord, array_to_string(list_transform([lag(price, 4) OVER v, price, lag(price, 1) OVER v, price], lambda x: printf('%.4f', x)), ',') AS layers FROM o
+WINDOW v AS (PARTITION BY symbol ORDER BY ord) QUALIFY ord >= 7"""))
+def multi_lookback(spark, d):
+    df = base(spark, d)
+    fine = ft.assemble(df.withColumns({"end_ord": F.col("ord"), "phase": F.lit(0)}), ["price"])
+    coarse = ft.assemble(resample.resample_phases(df, 4), ["price"])
+    both = windows.multi_lookback({"coarse": coarse, "fine": fine}, 2)
+    return both.select("symbol", "end_ord", _text(windows.flatten_layer_major("coarse", "fine")).alias("layers"))
+
+
+@register(with_(_O, """SELECT symbol, ord AS end_ord, array_to_string(list_transform([lag(price, 4) OVER v, lag(price, 1) OVER v, price, price], lambda x: printf('%.4f', x)), ',') AS times FROM o
+WINDOW v AS (PARTITION BY symbol ORDER BY ord) QUALIFY ord >= 7"""))
+def multi_lookback_time_major(spark, d):
+    df = base(spark, d)
+    fine = ft.assemble(df.withColumns({"end_ord": F.col("ord"), "phase": F.lit(0)}), ["price"])
+    both = windows.multi_lookback({"coarse": ft.assemble(resample.resample_phases(df, 4), ["price"]), "fine": fine}, 2)
+    return both.select("symbol", "end_ord", _text(windows.flatten_time_major("coarse", "fine")).alias("times"))
+
+
+# ---- labels --------------------------------------------------------------------------------------------------------
+
+_RUNS = _O + """, u AS (SELECT *, lead(price) OVER (PARTITION BY symbol ORDER BY ord) > price AS up FROM o),
+v AS (SELECT *, coalesce(lag(up) OVER (PARTITION BY symbol ORDER BY ord), FALSE) AS was FROM u),
+w AS (SELECT *, sum(CASE WHEN up AND NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ord) AS pairs FROM v),
+runs AS (SELECT *, CAST(CASE WHEN up IS NULL THEN 0 ELSE (CASE WHEN up <> was THEN pairs + 1 ELSE 1 END) * (CASE WHEN up THEN 1 ELSE -1 END) END AS INTEGER) AS signal_buy_sell FROM w)"""
+
+
+@register(with_(_RUNS, "SELECT symbol, ord, signal_buy_sell, CAST(sign(signal_buy_sell) AS INTEGER) AS trend, signal_buy_sell > 1 AS perfect_buy, signal_buy_sell < -1 AS perfect_sell FROM runs"))
+def label_runs(spark, d):
+    return labels.label_turns(labels.label_trend(labels.label_runs(base(spark, d)))).select("symbol", "ord", "signal_buy_sell", "trend", "perfect_buy", "perfect_sell")
+
+
+PROFIT, WAIT = 0.3, 6
+_DIPS = _O + f""", a AS (SELECT symbol, ord, price, price_low, list(price) OVER (PARTITION BY symbol ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND {WAIT} FOLLOWING) AS ahead FROM o),
+r AS (SELECT *, coalesce(list_transform(ahead, lambda x: x / nullif(price, 0) - 1), []) AS returns FROM a),
+q AS (SELECT *, coalesce(list_position(list_transform(returns, lambda x: x >= {PROFIT}), TRUE), 0) AS hit FROM r),
+dips AS (SELECT symbol, ord, price, price_low, CAST(CASE WHEN len(returns) = 0 THEN 0 WHEN hit > 0 THEN hit ELSE len(returns) + 1 END AS INTEGER) AS signal_buy_profitable,
+  least(0, coalesce(list_min(returns[1:CASE WHEN hit > 0 THEN hit ELSE len(returns) END]), 0)) AS signal_buy_drawdown FROM q)"""
+
+
+def dipped(spark, d):
+    return labels.label_dip(labels.label_profit(base(spark, d), PROFIT, WAIT), 3)
+
+
+@register(with_(_DIPS, "SELECT symbol, ord, signal_buy_profitable, round(signal_buy_drawdown, 6) AS signal_buy_drawdown, signal_buy_profitable <= 3 AS is_dip FROM dips"))
+def label_profit(spark, d):
+    return dipped(spark, d).select("symbol", "ord", "signal_buy_profitable", *r6("signal_buy_drawdown"), "is_dip")
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly candles, repaired, with changes, calendar, direction runs and dip labels."""
+    df = ft.calendar_features(ft.hl_offset(ft.pct_change(base(spark, d), {"price_percent": "price"})), "day_of_week")
+    df = labels.label_dip(labels.label_profit(labels.label_runs(df), PROFIT, WAIT), 3)
+    columns = ["price_percent", "price_high_percent", "price_low_percent", "day_of_week"]
+    return clean.clean_features(df, columns).select("symbol", "ord", *r6(*columns), "signal_buy_sell", "signal_buy_profitable", "is_dip")
+
+
+register(with_(_RUNS, f""", p AS (SELECT symbol, ord, round(coalesce(price / nullif(lag(price) OVER (PARTITION BY symbol ORDER BY ord), 0) - 1, 0), 6) AS price_percent,
+  round(coalesce(price_high / nullif(price, 0) - 1, 0), 6) AS price_high_percent, round(coalesce(price_low / nullif(price, 0) - 1, 0), 6) AS price_low_percent, round((isodow({_CLOSE}) - 1) / 6, 6) AS day_of_week, signal_buy_sell FROM runs)"""
+    + _DIPS[len(_O):] + " SELECT p.*, dips.signal_buy_profitable, dips.signal_buy_profitable <= 3 AS is_dip FROM p JOIN dips USING (symbol, ord)"), "flagship")(flagship)
