@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, licenses, mixing, packing, quality, sharding, tokenbin, urlfilter
+from . import images, jaccard, langid, licenses, mixing, packing, quality, sharding, tokenbin, urlfilter
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_bit_plane_tokens": tokenbin.op3_bit_plane_tokens,
     "op4_pivotal_mix": mixing.op4_pivotal_mix,
     "op5_hilbert_pack": packing.op5_hilbert_pack,
+    "op6_local_descriptors": images.op6_local_descriptors,
     "op7_word_crf": langid.op7_word_crf,
     "op8_temporal_lists": urlfilter.op8_temporal_lists,
     "op9_size_aware_join": jaccard.op9_size_aware_join,
