@@ -20,7 +20,7 @@ def label_runs(df: DataFrame) -> DataFrame:
     df = running(df, {"_pairs": F.when(F.col("_up") & ~F.col("_was"), 1).otherwise(0)})
     size = F.when(F.col("_up") != F.col("_was"), F.col("_pairs") + 1).otherwise(F.lit(1))
     sign = F.when(F.col("_up"), size).otherwise(-size)
-    return df.withColumn("signal_buy_sell", F.coalesce(sign, F.lit(0)).cast("int")).drop("_next", "_here", "_up", "_was", "_pairs")
+    return df.withColumn("signal_buy_sell", F.when(F.col("_up").isNull(), 0).otherwise(sign).cast("int")).drop("_next", "_here", "_up", "_was", "_pairs")
 
 
 def label_profit(df: DataFrame, pct: float, max_wait: int) -> DataFrame:
@@ -37,16 +37,13 @@ def label_profit(df: DataFrame, pct: float, max_wait: int) -> DataFrame:
     return df.withColumns({"signal_buy_profitable": wait.cast("int"), "signal_buy_drawdown": F.coalesce(F.least(low, F.lit(0.0)), F.lit(0.0))}).drop("_ahead", "_returns", "_hit")
 
 
-def label_dip(df: DataFrame, max_wait: int, strict: bool = False) -> DataFrame:
-    """is_dip: profitable within max_wait bars; near the end a miss counts too unless strict."""
+def label_dip(df: DataFrame, max_wait: int, strict: bool = False, pct: float = 0.0) -> DataFrame:
+    """is_dip: profitable within max_wait bars. Near the end a miss counts too; strict asks that the price really rose by pct."""
     near = F.col("signal_buy_profitable") <= max_wait
-    return df.withColumn("is_dip", (near & (F.col("signal_buy_profitable") > 0) & (F.col("ord") + F.col("signal_buy_profitable") <= F.max("ord").over(_whole()))) if strict else near)
-
-
-def _whole():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("symbol")
+    if not strict:
+        return df.withColumn("is_dip", near)
+    best = in_chunks(df, lambda w: {"_best": F.max("price").over(w.rowsBetween(1, max_wait))}, after=max_wait)
+    return best.withColumn("is_dip", near & F.coalesce(F.try_divide(F.col("_best"), F.col("price")) - 1 >= pct, F.lit(False))).drop("_best")
 
 
 def label_trend(df: DataFrame) -> DataFrame:

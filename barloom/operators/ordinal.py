@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -11,6 +12,11 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 16
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once for the several steps that read it; lost parts are made again from its lineage."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def with_ordinal(df: DataFrame, step: int, key: str = "symbol") -> DataFrame:
     """ord: place on the series' grid of step milliseconds, without a sort."""
     first = df.groupBy(key).agg(F.min("timestamp").alias("_first"))

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordinal import forward_fill, in_chunks, running
+from .ordinal import forward_fill, in_chunks, running, settled
 
 #: Bars searched after an entry in its own window, and bars of a block whose extremes tell whether to search it.
 NEAR, BLOCK = 64, 256
@@ -88,7 +88,7 @@ def match_trades(df: DataFrame, cfg: Exits = Exits(), keys: list[str] = ["symbol
         cfg = Exits(cfg.fee, cfg.balance, None, cfg.stop_loss)
     df = df.select(*keys, "ord", "price", "action")
     back = df.withColumns({"_back": -F.col("ord"), "next_sell": F.when(F.col("action") == 2, F.col("ord"))})
-    df = forward_fill(back, ["next_sell"], key=keys, order="_back").drop("_back")
+    df = settled(forward_fill(back, ["next_sell"], key=keys, order="_back").drop("_back"))
     if cfg.trailing is not None:
         exits = _trailing(df, cfg, keys)
     elif cfg.take_profit is None and cfg.stop_loss is None:
@@ -105,7 +105,7 @@ def match_trades(df: DataFrame, cfg: Exits = Exits(), keys: list[str] = ["symbol
     out = taken.join(prices, [*keys, "exit_ord"], "left")
     ratio = (1 - cfg.fee) * (1 - cfg.fee) * F.col("exit_price") / F.col("entry_price")
     reason = F.when(F.col("exit_ord").isNull(), None).when(F.coalesce("_sold", F.lit(False)), 0).otherwise(F.coalesce(F.col("_forced"), _reason(F.col("exit_price"), F.col("entry_price"), cfg)))
-    return out.select(*keys, "entry_ord", "exit_ord", "entry_price", "exit_price", reason.cast("int").alias("reason"), (cfg.balance * (ratio - 1)).alias("profit"), (cfg.fee * cfg.balance + F.coalesce(cfg.balance * (1 - cfg.fee) * F.col("exit_price") / F.col("entry_price") * cfg.fee, F.lit(0.0))).alias("fees"))
+    return settled(out.select(*keys, "entry_ord", "exit_ord", "entry_price", "exit_price", reason.cast("int").alias("reason"), (cfg.balance * (ratio - 1)).alias("profit"), (cfg.fee * cfg.balance + F.coalesce(cfg.balance * (1 - cfg.fee) * F.col("exit_price") / F.col("entry_price") * cfg.fee, F.lit(0.0))).alias("fees")))
 
 
 def _kind(df: DataFrame, column: Column) -> str:
@@ -115,7 +115,8 @@ def _kind(df: DataFrame, column: Column) -> str:
 def ledger(df: DataFrame, trades: DataFrame, cfg: Exits = Exits(), keys: list[str] = ["symbol"]) -> DataFrame:  # noqa: B006
     """Every step with made, reason, bought, sold, in_position (after it), net_worth, drawdown, highest and counters."""
     entries = trades.select(*keys, F.col("entry_ord").alias("ord"), F.col("entry_ord").alias("_e"), F.col("entry_price").alias("_p"), F.coalesce("exit_ord", F.lit(1 << 62)).alias("_x"), F.col("reason").alias("_r"))
-    rows = forward_fill(df.join(entries, [*keys, "ord"], "left"), ["_e", "_p", "_x", "_r"], key=keys)
+    joined = settled(df.join(entries, [*keys, "ord"], "left"))
+    rows = forward_fill(joined, ["_e", "_p", "_x", "_r"], key=keys)
     inside = F.coalesce(F.col("ord") <= F.col("_x"), F.lit(False))
     units = cfg.balance * (1 - cfg.fee) / F.col("_p")
     sold = F.coalesce(F.col("ord") == F.col("_x"), F.lit(False))
@@ -130,6 +131,7 @@ def ledger(df: DataFrame, trades: DataFrame, cfg: Exits = Exits(), keys: list[st
     rows = rows.withColumn("highest", peak)
     island = Window.partitionBy(*keys, trade, "highest").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("drawdown", F.when(F.col("in_position"), F.min("price").over(island) / F.col("highest") - 1).otherwise(0.0))
+    rows = settled(rows)
     counted = running(rows, {"buys": F.col("bought").cast("int"), "sells": F.col("sold").cast("int"), "total_profit": F.when(F.col("sold"), F.col("net_worth") - cfg.balance).otherwise(0.0)}, key=keys)
     return counted.withColumn("entry_price", F.when(F.col("in_position"), F.col("_p"))).drop("_e", "_p", "_x", "_r")
 

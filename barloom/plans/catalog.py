@@ -59,7 +59,8 @@ def with_(prefix: str, tail: str) -> str:
 
 def base(spark: SparkSession, d: str) -> DataFrame:
     """Hourly candles without gaps, with ord."""
-    return ordinal.with_ordinal(clean.fill_gaps(candles.event_candles(spark, d), HOUR), HOUR)
+    bars = ordinal.settled(candles.event_candles(spark, d))
+    return ordinal.settled(ordinal.with_ordinal(clean.fill_gaps(bars, HOUR), HOUR))
 
 
 @register(with_(_C, f"SELECT symbol, timestamp, trades_number, {s6(*_PRICES)} FROM c"))
@@ -329,3 +330,362 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 register(with_(_RUNS, f""", p AS (SELECT symbol, ord, round(coalesce(price / nullif(lag(price) OVER (PARTITION BY symbol ORDER BY ord), 0) - 1, 0), 6) AS price_percent,
   round(coalesce(price_high / nullif(price, 0) - 1, 0), 6) AS price_high_percent, round(coalesce(price_low / nullif(price, 0) - 1, 0), 6) AS price_low_percent, round((isodow({_CLOSE}) - 1) / 6, 6) AS day_of_week, signal_buy_sell FROM runs)"""
     + _DIPS[len(_O):] + " SELECT p.*, dips.signal_buy_profitable, dips.signal_buy_profitable <= 3 AS is_dip FROM p JOIN dips USING (symbol, ord)"), "flagship")(flagship)
+
+
+# ---- signals and trades --------------------------------------------------------------------------------------------
+
+RULE = signals.Rule("k", "k", 20.0, 80.0)
+
+
+@register(with_(_O, "SELECT symbol, ord, CASE WHEN ord = min(ord) OVER s THEN 1 WHEN ord = max(ord) OVER s THEN 2 ELSE 0 END AS action FROM o WINDOW s AS (PARTITION BY symbol)"))
+def signals_hodl(spark, d):
+    return signals.signals_hodl(base(spark, d)).select("symbol", "ord", "action")
+
+
+@register(with_(_O, "SELECT symbol, ord, CASE ((timestamp_close + 1) // 1000) % 86400 WHEN 43200 THEN 1 WHEN 50400 THEN 2 ELSE 0 END AS action FROM o"))
+def signals_time(spark, d):
+    return signals.signals_time(base(spark, d), 1200, 1400).select("symbol", "ord", "action")
+
+
+def acted(spark, d):
+    return signals.signals_threshold(ft.explode_indicators(base(spark, d), ["k"]), RULE)
+
+
+_ACT = _O + f", act AS (SELECT *, CASE WHEN {_K} <= 20 THEN 1 WHEN {_K} >= 80 THEN 2 ELSE 0 END AS action FROM o)"
+
+
+@register(with_(_ACT, "SELECT symbol, ord, action, CASE WHEN action = 2 THEN -1 ELSE action END AS decoded, CASE WHEN action = 2 THEN 0 ELSE action END AS masked FROM act"))
+def signals_threshold(spark, d):
+    df = acted(spark, d).withColumn("decoded", signals.decode_action())
+    return df.select("symbol", "ord", "action", "decoded").join(signals.mask_sell(acted(spark, d)).select("symbol", "ord", F.col("action").alias("masked")), ["symbol", "ord"])
+
+
+@register(with_(_O, f"SELECT symbol, ord, CASE WHEN price <= {_K} * 1.3 THEN 1 WHEN price >= {_K} * 0.7 THEN 2 ELSE 0 END AS action FROM o"))
+def signals_band(spark, d):
+    rule = signals.Rule("k", "k", 1.3, 0.7, True, True, True, True, True, True)
+    return signals.signals_threshold(ft.explode_indicators(base(spark, d), ["k"]), rule).select("symbol", "ord", "action")
+
+
+@register(with_(_ACT, """, n AS (SELECT *, sum(CASE WHEN action <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ord) AS turns FROM act)
+SELECT symbol, ord, CASE WHEN action = 0 THEN 0 WHEN turns % 2 = 1 THEN 1 ELSE 2 END AS action FROM n"""))
+def signals_swap(spark, d):
+    return signals.signals_swap_to_orders(acted(spark, d)).select("symbol", "ord", "action")
+
+
+def _walk(tp: float | None, sl: float | None, source: str = "act") -> str:
+    """The ledger as a recursive walk: state after each step, and what happened at it."""
+    take = f"0.999 * a.price / s.ep - 1 >= {tp}" if tp is not None else "FALSE"
+    stop = f"1 - 0.999 * a.price / s.ep >= {sl}" if sl is not None else "FALSE"
+    return f""", walk AS (SELECT symbol, ord, price, action, CASE WHEN action = 1 THEN price END AS ep, CASE WHEN action = 1 THEN ord END AS eo, action = 1 AS bought, FALSE AS sold, 0 AS reason,
+  CASE WHEN action = 1 THEN price ELSE 0 END AS peak, CASE WHEN action = 1 THEN price ELSE 0 END AS trough, CAST(NULL AS DOUBLE) AS sold_ep, CAST(NULL AS BIGINT) AS sold_eo FROM {source} WHERE ord = 0
+UNION ALL SELECT symbol, ord, price, action, CASE WHEN sold THEN NULL WHEN bought THEN price ELSE ep END, CASE WHEN sold THEN NULL WHEN bought THEN ord ELSE eo END, bought, sold, reason,
+  CASE WHEN sold OR (ep IS NULL AND NOT bought) THEN 0 ELSE greatest(peak, price) END, CASE WHEN sold OR (ep IS NULL AND NOT bought) THEN 0 WHEN price > peak THEN price ELSE least(trough, price) END,
+  CASE WHEN sold THEN ep END, CASE WHEN sold THEN eo END
+  FROM (SELECT a.symbol, a.ord, a.price, a.action, s.ep, s.eo, s.peak, s.trough, s.ep IS NULL AND a.action = 1 AS bought, s.ep IS NOT NULL AND (a.action = 2 OR {take} OR {stop}) AS sold,
+    CASE WHEN s.ep IS NULL OR a.action = 2 THEN 0 WHEN {take} THEN 1 WHEN {stop} THEN -1 ELSE 0 END AS reason
+    FROM walk s JOIN {source} a ON a.symbol = s.symbol AND a.ord = s.ord + 1)),
+led AS (SELECT *, ep IS NOT NULL AS in_position, bought OR sold AS made, CASE WHEN sold THEN 100000 * 0.999 / sold_ep * price * 0.999 WHEN ep IS NOT NULL THEN 100000 * 0.999 / ep * price ELSE 100000 END AS net_worth,
+  CASE WHEN peak > 0 THEN trough / peak - 1 ELSE 0 END AS drawdown FROM walk)"""
+
+
+def recursive(prefix: str, tail: str) -> str:
+    return f"WITH RECURSIVE {prefix}{tail}"
+
+
+_TRADES = """ SELECT symbol, sold_eo AS entry_ord, ord AS exit_ord, round(sold_ep, 6) AS entry_price, round(price, 6) AS exit_price, reason, round(100000 * (0.999 * 0.999 * price / sold_ep - 1), 4) AS profit,
+  round(100 + 100000 * 0.999 * price / sold_ep * 0.001, 4) AS fees FROM led WHERE sold
+UNION ALL SELECT symbol, eo, NULL, round(ep, 6), NULL, NULL, NULL, 100 FROM led l WHERE eo IS NOT NULL AND ord = (SELECT max(ord) FROM act x WHERE x.symbol = l.symbol)"""
+SIGNAL_EXITS, LEVEL_EXITS = trades.Exits(), trades.Exits(take_profit=0.5, stop_loss=0.3)
+
+
+def _trades(cfg: trades.Exits):
+    def run(spark, d):
+        found = trades.match_trades(acted(spark, d), cfg)
+        return found.select("symbol", "entry_ord", "exit_ord", *r6("entry_price", "exit_price"), "reason", F.round("profit", 4).alias("profit"), F.round("fees", 4).alias("fees"))
+
+    return run
+
+
+register(recursive(_ACT, _walk(None, None) + _TRADES), "trades_signal")(_trades(SIGNAL_EXITS))
+register(recursive(_ACT, _walk(0.5, 0.3) + _TRADES), "trades_tpsl")(_trades(LEVEL_EXITS))
+
+
+@register(name="trades_trailing")
+def trades_trailing(spark, d):
+    found = trades.match_trades(acted(spark, d), trades.Exits(take_profit=0.2, stop_loss=0.3, trailing=0.05, trailing_only=True))
+    return found.select("symbol", "entry_ord", "exit_ord", "reason", F.round("profit", 4).alias("profit"))
+
+
+def _ledger(spark, d, source=None):
+    df = acted(spark, d) if source is None else source
+    return trades.ledger(df, trades.match_trades(df, LEVEL_EXITS), LEVEL_EXITS)
+
+
+_LED = _walk(0.5, 0.3)
+
+
+@register(recursive(_ACT, _LED + """ SELECT symbol, ord, made, reason, in_position, round(net_worth, 4) AS net_worth, round(drawdown, 6) AS drawdown, CASE WHEN peak > 0 THEN round(peak, 6) END AS highest,
+  CAST(sum(CASE WHEN bought THEN 1 ELSE 0 END) OVER w AS BIGINT) AS buys, CAST(sum(CASE WHEN sold THEN 1 ELSE 0 END) OVER w AS BIGINT) AS sells,
+  round(sum(CASE WHEN sold THEN net_worth - 100000 ELSE 0 END) OVER w, 3) AS total_profit FROM led WINDOW w AS (PARTITION BY symbol ORDER BY ord)"""))
+def ledger(spark, d):
+    return _ledger(spark, d).select("symbol", "ord", "made", "reason", "in_position", F.round("net_worth", 4).alias("net_worth"), *r6("drawdown", "highest"), "buys", "sells", F.round("total_profit", 3).alias("total_profit"))
+
+
+@register(recursive(_ACT, _LED + """ SELECT symbol, ord, round(CASE WHEN in_position THEN net_worth / 100000 - 1 ELSE 0 END, 6) AS ch_net_worth, round(drawdown, 6) AS ch_drawdown,
+  round(CASE WHEN in_position AND net_worth > 100000 THEN (net_worth / 100000 - 1) / 0.5 ELSE 0 END, 6) AS ch_take_profit, round(CASE WHEN in_position AND net_worth < 100000 THEN (1 - net_worth / 100000) / 0.3 ELSE 0 END, 6) AS ch_stop_loss,
+  CAST(in_position AS DOUBLE) AS ch_position FROM led"""))
+def portfolio_channels(spark, d):
+    df = windows.portfolio_channels(_ledger(spark, d), 0.5, 0.3, 100_000.0)
+    return df.select("symbol", "ord", *r6("ch_net_worth", "ch_drawdown", "ch_take_profit", "ch_stop_loss"), "ch_position")
+
+
+# ---- rewards -------------------------------------------------------------------------------------------------------
+
+MULTIPLIERS = {"combo_sell": 2.0, "combo_buy": 0.5, "combo_noaction": 0.25, "combo_wrongaction": -0.01, "combo_positionprofitpercentage": 3.0, "combo_buy_profitable_offset": 4.0}
+_LABELED = _ACT + _RUNS[len(_O):] + _DIPS[len(_O):]
+_NEAR = """, near AS (SELECT l.*, runs.signal_buy_sell, dips.signal_buy_profitable, dips.signal_buy_drawdown, net_worth / 100000 - 1 AS profit,
+  lead(l.price) OVER w / l.price - 1 AS ahead, l.price / lag(l.price) OVER w - 1 AS behind, lag(l.price) OVER w / l.price - 1 AS flat, 1 - lead(l.price) OVER w / l.price AS fall,
+  net_worth / coalesce(lag(net_worth) OVER w, 100000) - 1 AS change, coalesce(lag(net_worth) OVER w, 100000) / 100000 - 1 AS before
+  FROM led l JOIN runs USING (symbol, ord) JOIN dips USING (symbol, ord) WINDOW w AS (PARTITION BY symbol ORDER BY ord))"""
+_SIDE = "CASE WHEN in_position THEN ahead ELSE -ahead END"
+_SIGNAL = "CASE WHEN sold THEN profit * (CASE WHEN signal_buy_sell < -1 THEN 1.1 ELSE 1 END) * 100 WHEN bought AND signal_buy_sell > 1 THEN 1 ELSE {} END"
+_REWARD_SQL = {
+    "combo": f"CASE WHEN sold THEN profit + change + CAST(signal_buy_sell < -1 AS INTEGER) + drawdown WHEN bought THEN profit + CAST(signal_buy_sell > 1 AS INTEGER) + (4 - signal_buy_profitable) + signal_buy_drawdown ELSE {_SIDE} + drawdown END",
+    "combo_all": "CASE WHEN sold THEN profit * 2 WHEN bought THEN ahead * 0.5 WHEN in_position THEN (profit - before) * 3 WHEN ord > 1 THEN behind * 0.25 ELSE 0 END",
+    "combo_all2": "CASE WHEN sold THEN profit * 2 WHEN bought THEN ahead * 0.5 WHEN in_position THEN (profit - before) * 3 + CASE WHEN action = 1 THEN -0.01 ELSE 0 END WHEN ord > 1 THEN CASE WHEN action = 2 THEN -0.01 ELSE behind * 0.25 END ELSE 0 END",
+    "buy_sell_signal": _SIGNAL.format("0"), "buy_sell_signal2": _SIGNAL.format(f"({_SIDE}) * 3"), "buy_sell_signal3": _SIGNAL.format("drawdown * 3"), "buy_sell_signal4": _SIGNAL.format(f"(({_SIDE}) + drawdown) * 3"),
+    "profit_all": "CASE WHEN sold OR bought THEN profit WHEN in_position THEN change ELSE flat END",
+    "profit_all2": "CASE WHEN sold THEN change + profit WHEN bought THEN profit WHEN in_position THEN change ELSE flat END",
+    "percent_profit": "profit",
+    "profit_percentage2": "CASE WHEN made AND (action = 2 OR reason = -1) THEN profit * 2 ELSE profit END",
+    "profit_percentage3": "CASE WHEN made AND (action = 2 OR reason = -1) THEN profit * 2 WHEN NOT in_position THEN fall * 3 ELSE profit END",
+    "profit_percentage4": "CASE WHEN made AND (action = 2 OR reason = -1) THEN profit * 2 WHEN NOT in_position THEN fall * 3 ELSE ahead END",
+}
+
+
+def _labeled(spark, d):
+    df = ordinal.settled(labels.label_profit(labels.label_runs(base(spark, d)), PROFIT, WAIT))
+    return signals.signals_threshold(ft.explode_indicators(df, ["k"]), RULE)
+
+
+def _reward_query(name: str):
+    def run(spark, d):
+        scored = rewards.rewards(_ledger(spark, d, _labeled(spark, d)), name, MULTIPLIERS)
+        return scored.select("symbol", "ord", *r6("reward"), F.round("total_reward", 4).alias("total_reward"))
+
+    register(recursive(_LABELED, _LED + _NEAR + f", z AS (SELECT symbol, ord, {_REWARD_SQL[name]} AS reward FROM near) SELECT symbol, ord, round(reward, 6) AS reward, round(sum(coalesce(reward, 0)) OVER (PARTITION BY symbol ORDER BY ord), 4) AS total_reward FROM z"), f"reward_{name}")(run)
+
+
+for _kind in _REWARD_SQL:
+    _reward_query(_kind)
+
+
+# ---- statistics ----------------------------------------------------------------------------------------------------
+
+_STAT = """CASE WHEN sold THEN net_worth - 100000 END AS profit, CASE WHEN bought THEN 100 WHEN sold THEN net_worth / 0.999 * 0.001 END AS fee"""
+
+
+@register(recursive(_ACT, _LED + f""", t AS (SELECT *, {_STAT} FROM led)
+SELECT symbol, round(coalesce(sum(profit), 0), 3) AS profit, round((coalesce(product(1 + profit / 100000), 1) - 1) * 100000, 3) AS compound, count(*) FILTER (profit >= 0) AS wins, count(*) FILTER (profit < 0) AS losses,
+  {', '.join(f"round(coalesce({f}(profit) FILTER (profit {o} 0), 0), 3) AS {f}_{n}" for n, o in (('win', '>='), ('loss', '<')) for f in ('avg', 'max', 'min'))},
+  round(coalesce(avg(profit), 0), 3) AS avg_trade, round(-coalesce(sum(fee), 0), 3) AS fees, round(coalesce(sum(net_worth) FILTER (made), 0) + coalesce(sum(fee), 0), 2) AS volume, count(*) FILTER (made) / 2 AS trades,
+  count(*) FILTER (sold AND reason = -1) AS stop_losses, round(coalesce(sum(profit) FILTER (reason = -1), 0), 3) AS stop_loss_sum, round(coalesce(sum(profit), 0) / 100000, 6) AS profit_pct,
+  round(coalesce(100 * count(*) FILTER (profit >= 0) / nullif(count(profit), 0), 0), 6) AS win_pct FROM t GROUP BY symbol"""))
+def trade_summary(spark, d):
+    df = metrics.trade_summary(_ledger(spark, d))
+    three = ["profit", "compound", *[f"{f}_{k}" for k in ("win", "loss") for f in ("avg", "max", "min")], "avg_trade", "fees", "stop_loss_sum"]
+    return df.select("symbol", "wins", "losses", "trades", "stop_losses", *[F.round(c, 3).alias(c) for c in three], F.round("volume", 2).alias("volume"), *r6("profit_pct", "win_pct"))
+
+
+_COUNTS = "sum(CAST(p AND a AS INTEGER)) {0} AS correct, sum(CAST(a AS INTEGER)) {0} AS positives, sum(CAST(p AND NOT a AS INTEGER)) {0} AS wrong, sum(CAST(NOT a AS INTEGER)) {0} AS negatives"
+_QUALITY = """, k AS (SELECT *, coalesce(correct / nullif(positives, 0), 1) AS recall, coalesce(correct / nullif(correct + wrong, 0), 1) AS precision, coalesce((negatives - wrong) / nullif(negatives, 0), 1) AS negative_recall FROM n)"""
+_QUALITY_OUT = """CAST(correct AS BIGINT) AS correct, CAST(positives AS BIGINT) AS positives, CAST(wrong AS BIGINT) AS wrong, CAST(negatives AS BIGINT) AS negatives, round(recall, 6) AS recall, round(precision, 6) AS precision,
+  round(negative_recall, 6) AS negative_recall, round((recall + negative_recall) / 2, 6) AS balanced, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f1, round(coalesce(correct / nullif(wrong, 0), correct), 6) AS ratio,
+  '[' || CAST(correct AS BIGINT) || '/' || CAST(positives AS BIGINT) || ']-[' || CAST(wrong AS BIGINT) || '/' || CAST(negatives AS BIGINT) || ']' AS totals"""
+_QUALITY_COLUMNS = ["correct", "positives", "wrong", "negatives"], ["recall", "precision", "negative_recall", "balanced", "f1", "ratio"]
+
+
+def _quality(df, *keys):
+    return df.select(*keys, *_QUALITY_COLUMNS[0], *r6(*_QUALITY_COLUMNS[1]), "totals")
+
+
+_CALLS = _LABELED + ", calls AS (SELECT act.symbol, act.ord, act.action, act.action = 1 AS p, dips.signal_buy_profitable <= 3 AS a, runs.signal_buy_sell FROM act JOIN dips USING (symbol, ord) JOIN runs USING (symbol, ord))"
+
+
+def _calls(spark, d):
+    return labels.label_dip(_labeled(spark, d), 3)
+
+
+@register(with_(_CALLS, f", n AS (SELECT symbol, {_COUNTS.format('')} FROM calls GROUP BY symbol){_QUALITY} SELECT symbol, {_QUALITY_OUT} FROM k").replace("WITH RECURSIVE", "WITH"))
+def dip_metrics(spark, d):
+    return _quality(metrics.dip_metrics(_calls(spark, d), F.col("action") == 1, F.col("is_dip"), ["symbol"]), "symbol")
+
+
+@register(with_(_CALLS, f", n AS (SELECT symbol, ord, {_COUNTS.format('OVER (PARTITION BY symbol ORDER BY ord)')} FROM calls){_QUALITY} SELECT symbol, ord, {_QUALITY_OUT} FROM k"))
+def dip_metrics_running(spark, d):
+    return _quality(metrics.dip_metrics_running(_calls(spark, d), F.col("action") == 1, F.col("is_dip")), "symbol", "ord")
+
+
+@register(f"WITH q AS (SELECT l.toxic = 1 AS p, l.quality = 0 AS a FROM labels l JOIN documents d ON d.doc_id = l.doc_id), n AS (SELECT {_COUNTS.format('')} FROM q){_QUALITY} SELECT {_QUALITY_OUT} FROM k")
+def label_quality_metrics(spark, d):
+    rows = spark.read.parquet(f"{d}/labels.parquet").join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id"), "doc_id")
+    return _quality(metrics.dip_metrics(rows, F.col("toxic") == 1, F.col("quality") == 0))
+
+
+def _streak_sql(hit: str, counted: str) -> str:
+    return f""", h AS (SELECT symbol, ord, {hit} AS hit, {counted} AS counted, max(ord) OVER (PARTITION BY symbol) AS last FROM calls),
+m AS (SELECT *, sum(CAST(counted AND NOT hit AS INTEGER)) OVER (PARTITION BY symbol ORDER BY ord) - CAST(counted AND NOT hit AS INTEGER) AS island FROM h),
+i AS (SELECT symbol, island, count(*) FILTER (counted AND hit) AS length, bool_or(counted AND NOT hit) AS ended, bool_or(ord = last) AS at_end FROM m GROUP BY symbol, island)
+SELECT symbol, round(avg(length), 6) AS avg_streak, max(length) AS max_streak, count(*) AS streaks FROM i WHERE ended OR at_end GROUP BY symbol"""
+
+
+@register(with_(_CALLS, _streak_sql("p AND a", "p")))
+def hit_streaks_dip(spark, d):
+    calls = F.col("action") == 1
+    return metrics.hit_streaks(_calls(spark, d), calls & F.col("is_dip"), calls).select("symbol", *r6("avg_streak"), "max_streak", "streaks")
+
+
+_HIT = "coalesce((action = 1 AND signal_buy_sell < 0) OR (action = 0 AND signal_buy_sell > 0), FALSE)"
+
+
+@register(with_(_CALLS, _streak_sql(_HIT, "TRUE")))
+def hit_streaks_trend(spark, d):
+    return metrics.hit_streaks(_calls(spark, d), metrics.trend_hit()).select("symbol", *r6("avg_streak"), "max_streak", "streaks")
+
+
+@register(with_(_CALLS, f", h AS (SELECT symbol, ord, CAST({_HIT} AS INTEGER) AS reward FROM calls) SELECT symbol, ord, reward, round(avg(reward) OVER (PARTITION BY symbol ORDER BY ord), 6) AS accuracy FROM h"))
+def trend_metrics(spark, d):
+    return metrics.trend_metrics(_calls(spark, d)).select("symbol", "ord", "reward", *r6("accuracy"))
+
+
+@register(with_(_CALLS, "SELECT symbol, ord, CASE WHEN p AND a THEN 1 WHEN p THEN -1 WHEN a THEN -10 ELSE 0.01 END AS reward FROM calls"))
+def dip_rewards(spark, d):
+    return _calls(spark, d).select("symbol", "ord", metrics.dip_reward(F.col("action") == 1, F.col("is_dip")).alias("reward"))
+
+
+@register(with_(_O, ", x AS (SELECT symbol, price AS t, price_open AS p FROM o) SELECT symbol, round(1 - sum((p - t) * (p - t)) / nullif(var_pop(p) * count(p), 0), 6) AS r2, round(avg(((t - p) / nullif(t, 0)) ** 2), 3) AS relative_error FROM x GROUP BY symbol"))
+def regression_metrics(spark, d):
+    return metrics.regression_metrics(base(spark, d), "price_open", "price", ["symbol"]).select("symbol", *r6("r2"), F.round("relative_error", 3).alias("relative_error"))
+
+
+# ---- sweeps --------------------------------------------------------------------------------------------------------
+
+_GRID = "grid AS (SELECT b.v AS low, h.v AS high, translate(b.v || '_' || h.v, '.|', '~]') AS run_id FROM (VALUES ('10.0'), ('20.0'), ('30.0')) b(v), (VALUES ('70.0'), ('90.0')) h(v))"
+
+
+@register(recursive(_O + f", {_GRID}, act AS (SELECT o.*, g.run_id || '|' || o.symbol AS run, CASE WHEN {_K} <= CAST(g.low AS DOUBLE) THEN 1 WHEN {_K} >= CAST(g.high AS DOUBLE) THEN 2 ELSE 0 END AS action FROM o, grid g)",
+    ", keyed AS (SELECT run AS symbol, ord, price, action FROM act)" + _walk(0.5, 0.3, "keyed") + f", t AS (SELECT *, {_STAT} FROM led) SELECT string_split(symbol, '|')[1] AS run_id, string_split(symbol, '|')[2] AS symbol, round(coalesce(sum(profit), 0), 3) AS profit, count(*) FILTER (profit >= 0) AS wins, count(*) FILTER (profit < 0) AS losses, count(*) FILTER (made) / 2 AS trades FROM t GROUP BY ALL"))
+def param_sweep(spark, d):
+    grid = sweep.param_grid(spark, {"low": [10.0, 20.0, 30.0], "high": [70.0, 90.0]})
+    runs = sweep.run_matrix(ft.explode_indicators(base(spark, d), ["k"]), grid)
+    df = runs.withColumn("action", F.when(F.col("k") <= F.col("low"), 1).when(F.col("k") >= F.col("high"), 2).otherwise(0))
+    keys = ["run_id", "symbol"]
+    done = metrics.trade_summary(trades.ledger(df, trades.match_trades(df, LEVEL_EXITS, keys), LEVEL_EXITS, keys), keys)
+    return done.select("run_id", "symbol", F.round("profit", 3).alias("profit"), "wins", "losses", "trades")
+
+
+@register(recursive(_ACT, _LED + f""", t AS (SELECT *, {_STAT} FROM led) SELECT symbol AS "Data", round(coalesce(sum(profit), 0), 3) AS "$", count(*) FILTER (profit >= 0) AS "Wins", count(*) FILTER (profit < 0) AS "Losses", count(*) FILTER (made) / 2 AS "#trades", '1.000;0.500;' AS "Multipliers" FROM t GROUP BY symbol"""))
+def results_layout(spark, d):
+    done = metrics.trade_summary(_ledger(spark, d)).withColumns({"data": F.col("symbol"), "multipliers": metrics.fmt_multipliers([1.0, 0.5])})
+    table = sweep.results_table(done, "trade")
+    return table.select("Data", F.round(F.col("`$`"), 3).alias("$"), "Wins", "Losses", F.col("`#trades`").alias("#trades"), "Multipliers")
+
+
+# ---- experience ----------------------------------------------------------------------------------------------------
+
+def _steps(spark, d):
+    df = labels.label_trend(labels.label_runs(base(spark, d)))
+    return df.withColumns({"reward": F.col("trend").cast("double"), "action": F.pmod("ord", F.lit(3)).cast("int"), "features": F.array("price", "volume")})
+
+
+@register(with_(_RUNS, "SELECT symbol, ord, round(price, 6) AS obs, round(lead(price) OVER w, 6) AS next_obs, CAST(sign(signal_buy_sell) AS DOUBLE) AS reward, CAST(lead(price) OVER w IS NULL AS INTEGER) AS done FROM runs WINDOW w AS (PARTITION BY symbol ORDER BY ord)"))
+def transitions(spark, d):
+    return experience.transitions(_steps(spark, d)).select("symbol", "ord", F.round(F.col("features")[0], 6).alias("obs"), F.round(F.col("next_obs")[0], 6).alias("next_obs"), "reward", "done")
+
+
+@register(with_(_RUNS, """, z AS (SELECT symbol, ord, price, sign(signal_buy_sell) AS r0, sign(lead(signal_buy_sell) OVER w) AS r1, sign(lead(signal_buy_sell, 2) OVER w) AS r2, lead(price, 3) OVER w AS next_price, max(ord) OVER (PARTITION BY symbol) AS last FROM runs WINDOW w AS (PARTITION BY symbol ORDER BY ord))
+SELECT symbol, ord, round(r0 + 0.5 * r1 + 0.25 * r2, 6) AS n_return, CAST(ord + 2 = last AS INTEGER) AS n_done, round(next_price, 6) AS n_next FROM z WHERE ord + 2 <= last"""))
+def n_step_returns(spark, d):
+    df = experience.n_step(experience.transitions(_steps(spark, d)), 3, 0.5)
+    return df.select("symbol", "ord", *r6("n_return"), "n_done", F.round(F.col("n_next_obs")[0], 6).alias("n_next"))
+
+
+@register("SELECT event_id, round(value, 6) AS value FROM events ORDER BY event_id DESC LIMIT 500")
+def cap_newest(spark, d):
+    return experience.cap_newest(spark.read.parquet(f"{d}/events.parquet").select("event_id", *r6("value")), 500, "event_id")
+
+
+def _weighted(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("ord"), (F.pmod("event_id", F.lit(97)) + 1).cast("double").alias("priority"))
+
+
+@register("""WITH t AS (SELECT event_id AS ord, CAST(event_id % 97 + 1 AS DOUBLE) AS p FROM events), s AS (SELECT ord, sum(p) OVER (ORDER BY ord) - p AS at FROM t), d AS (SELECT k, (k + 0.25) / 64 * (SELECT sum(p) FROM t) AS at FROM generate_series(0, 63) g(k))
+SELECT d.k, s.ord AS picked FROM d ASOF JOIN s ON d.at >= s.at""")
+def priority_pick(spark, d):
+    draws = spark.range(64).select(F.col("id").alias("k"), F.lit(0.25).alias("u"))
+    return experience.sample_priority(_weighted(spark, d), draws).select("k", "picked")
+
+
+@register("WITH t AS (SELECT event_id AS ord, CAST(event_id % 97 + 1 AS DOUBLE) AS p FROM events), q AS (SELECT ord, p / (SELECT sum(p) FROM t) AS p FROM t) SELECT ord, round(((SELECT count(*) FROM q) * p) ** -0.4 / (((SELECT count(*) FROM q) * (SELECT min(p) FROM q)) ** -0.4), 6) AS weight FROM q")
+def importance_weights(spark, d):
+    df = _weighted(spark, d)
+    total = df.agg(F.sum("priority").alias("_s"))
+    shares = df.crossJoin(F.broadcast(total)).select("ord", (F.col("priority") / F.col("_s")).alias("p"))
+    return experience.importance_weights(shares, 0.4).select("ord", *r6("weight"))
+
+
+@register("SELECT event_id AS ord, round(CASE WHEN event_id % 10 = 0 THEN (abs(value) + 0.01) ** 0.6 ELSE event_id % 97 + 1 END, 6) AS priority FROM events")
+def priority_upsert(spark, d):
+    updates = spark.read.parquet(f"{d}/events.parquet").filter("event_id % 10 = 0").select(F.col("event_id").alias("ord"), F.abs("value").alias("priority"))
+    return experience.update_priorities(_weighted(spark, d), updates, 0.6, 0.01).select("ord", *r6("priority"))
+
+
+@register()
+def uniform_sample(spark, d):
+    return experience.sample_uniform(spark.read.parquet(f"{d}/events.parquet").select("event_id", "value"), 256, 5)
+
+
+def _linear(x):
+    import numpy as np
+
+    values = np.stack(x.to_numpy()).astype(float)
+    return type(x)(values @ np.cos(np.arange(values.shape[1])))
+
+
+@register("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * cos(i - 1))), 5) AS score FROM embeddings")
+def score_linear(spark, d):
+    df = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding")
+    return signals.score(df, _linear, "embedding", "score").select("vec_id", F.round("score", 5).alias("score"))
+
+
+# ---- markers, live -------------------------------------------------------------------------------------------------
+
+@register(recursive(_ACT, _LED + """ SELECT symbol, ord, CASE WHEN bought THEN round(price, 6) END AS made_buy, CASE WHEN action = 1 THEN round(price, 6) END AS wanted_buy, CASE WHEN sold AND action = 2 THEN round(price, 6) END AS made_sell,
+  CASE WHEN sold AND reason = -1 THEN round(price, 6) END AS stop_loss, CASE WHEN sold AND reason = 1 THEN round(price, 6) END AS take_profit FROM led WHERE ord < 500"""))
+def trade_markers(spark, d):
+    df = markers.limit_rows(markers.trade_markers(_ledger(spark, d)), 500)
+    return df.select("symbol", "ord", *r6("made_buy", "wanted_buy", "made_sell", "stop_loss", "take_profit"))
+
+
+@register(with_(_CALLS, f""", z AS (SELECT symbol, ord, action, CASE WHEN p AND a THEN 1 WHEN p THEN -1 WHEN a THEN -10 ELSE 0.01 END AS reward FROM calls)
+SELECT symbol, ord, round(CASE WHEN signal_buy_profitable = 1 THEN price_low - 200 END, 6) AS strong, round(CASE WHEN signal_buy_profitable >= 2 AND signal_buy_profitable < {WAIT} THEN price_low - 200 END, 6) AS ok,
+  round(CASE WHEN action > 0 AND reward > 0 THEN price - 50 END, 6) AS action_ok, round(CASE WHEN action > 0 AND reward < 0 THEN price + 50 END, 6) AS action_bad FROM z JOIN dips USING (symbol, ord)"""))
+def prediction_markers(spark, d):
+    df = _calls(spark, d).withColumn("reward", metrics.dip_reward(F.col("action") == 1, F.col("is_dip")))
+    return markers.prediction_markers(df, WAIT).select("symbol", "ord", *r6("strong", "ok", "action_ok", "action_bad"))
+
+
+@register(with_(_ACT, 'SELECT symbol AS "tokenPair", arg_max(action, timestamp) AS action, max(timestamp) AS timestamp FROM act GROUP BY symbol'))
+def latest_signal(spark, d):
+    return sinks.latest_signal(acted(spark, d).withColumn("tokenPair", F.col("symbol")))
+
+
+@register(with_(_C, "SELECT symbol, timestamp, round(price, 6) AS price, CAST(row_number() OVER w - 1 AS INTEGER) AS place FROM c WINDOW w AS (PARTITION BY symbol ORDER BY timestamp DESC) QUALIFY row_number() OVER w <= 10"))
+def latest_bars(spark, d):
+    return live.latest_n_batch(candles.event_candles(spark, d)).select("symbol", "timestamp", *r6("price"), F.col("place").cast("int").alias("place"))
+
+
+@register(with_(_C, "SELECT symbol AS label, CAST(unnest(generate_series(0, 3)) AS INTEGER) AS step, unnest([price_open, price_high, price_low, price]) AS value, timestamp FROM c"))
+def metric_rows(spark, d):
+    df = candles.event_candles(spark, d).select(F.col("symbol").alias("label"), F.array("price_open", "price_high", "price_low", "price").alias("values"), "timestamp")
+    return sinks.metrics_to_rows(df).select("label", "step", "value", "timestamp")
