@@ -8,9 +8,13 @@ from barloom.sources import candles, sinks
 from barloom.streaming import live
 
 
+#: Minutes before the first bar: at time 0 a bar would be at the first watermark.
+START = 10_000
+
+
 def files(path, n, symbol="s", part=4):
     for k in range(0, n, part):
-        rows = [{"symbol": symbol, "timestamp": i * 60_000, "timestamp_close": i * 60_000 + 59_999, "price": float(i % 17), "price_open": float(i), "price_high": i + 1.0, "price_low": i - 1.0, "volume": 1.0, "trades_number": 2, "indicators": {"k": str(i)}} for i in range(k, min(n, k + part))]
+        rows = [{"symbol": symbol, "timestamp": (START + i) * 60_000, "timestamp_close": (START + i) * 60_000 + 59_999, "price": float(i % 17), "price_open": float(i), "price_high": i + 1.0, "price_low": i - 1.0, "volume": 1.0, "trades_number": 2, "indicators": {"k": str(i)}} for i in range(k, min(n, k + part))]
         (path / f"{k:04}.json").write_text("\n".join(map(json.dumps, [*rows, rows[0]])))
 
 
@@ -25,7 +29,7 @@ def test_deduped_bars_equal_the_table(spark, tmp_path):
     stream = candles.stream_candles(spark, str(tmp_path))
     assert run(live.dedupe(stream), "deduped").count() == 40
     got = run(live.stream_resample(stream.dropDuplicates(["symbol", "timestamp", "event_time"]), "10 minutes", delay="0 seconds"), "bars").orderBy("timestamp").collect()
-    table = spark.read.schema(candles.CANDLE).json(str(tmp_path)).distinct().withColumn("asset_volume_quote", candles.F.lit(0.0)).withColumn("ord", (candles.F.col("timestamp") / 60_000).cast("long"))
+    table = spark.read.schema(candles.CANDLE).json(str(tmp_path)).dropDuplicates(["symbol", "timestamp"]).withColumn("asset_volume_quote", candles.F.lit(0.0)).withColumn("ord", (candles.F.col("timestamp") / 60_000).cast("long") - START)
     want = resample.resample(table, 10).orderBy("ord").collect()
     assert 2 <= len(got) <= len(want) and all((a.timestamp, a.timestamp_close, a.price, a.price_high, a.volume) == (b.timestamp, b.timestamp_close, b.price, b.price_high, b.volume) for a, b in zip(got, want))
     hops = run(live.stream_resample(stream, "10 minutes", "5 minutes", "0 seconds"), "hops")
@@ -35,7 +39,7 @@ def test_deduped_bars_equal_the_table(spark, tmp_path):
 def test_newest_bars(spark, tmp_path):
     files(tmp_path, 12)
     out = run(live.latest_n(candles.stream_candles(spark, str(tmp_path), maxFilesPerTrigger="1"), 3), "newest", "update").collect()
-    last = sorted({(r.timestamp, r.price) for r in out if r.timestamp >= 540_000})
+    last = sorted({(r.timestamp, r.price) for r in out if r.timestamp >= (START + 9) * 60_000})
     want = {(r.timestamp, r.price) for r in live.latest_n_batch(spark.read.schema(candles.CANDLE).json(str(tmp_path)), 3).collect()}
     assert set(last) == want
 
@@ -46,5 +50,5 @@ def test_signals_reach_the_sink(spark, tmp_path):
     stream = live.stream_signals(candles.stream_candles(spark, str(tmp_path / "in")), Rule("k", "k", 2.0, 6.0), "model", "1m")
     sinks.write_signals(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination(120)
     rows = [(r.key, json.loads(r.value)) for r in spark.read.json(str(tmp_path / "out")).collect()]
-    assert {k for k, _ in rows} == {"model-s-1m"} and {v["timestamp"] // 60_000: v["action"] for _, v in rows} == {0: 1, 1: 1, 2: 1, 3: 0, 4: 0, 5: 0, 6: -1, 7: -1}
+    assert {k for k, _ in rows} == {"model-s-1m"} and {v["timestamp"] // 60_000 - START: v["action"] for _, v in rows} == {0: 1, 1: 1, 2: 1, 3: 0, 4: 0, 5: 0, 6: -1, 7: -1}
     assert sinks.latest_signal(spark.createDataFrame([("p", 1, 5), ("p", 2, 9)], "tokenPair string, action int, timestamp long")).first().action == 2
