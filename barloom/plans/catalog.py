@@ -619,8 +619,8 @@ def _weighted(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("ord"), (F.pmod("event_id", F.lit(97)) + 1).cast("double").alias("priority"))
 
 
-@register("""WITH t AS (SELECT event_id AS ord, CAST(event_id % 97 + 1 AS DOUBLE) AS p FROM events), s AS (SELECT ord, sum(p) OVER (ORDER BY ord) - p AS at FROM t), d AS (SELECT k, (k + 0.25) / 64 * (SELECT sum(p) FROM t) AS at FROM generate_series(0, 63) g(k))
-SELECT d.k, s.ord AS picked FROM d ASOF JOIN s ON d.at >= s.at""")
+@register("""WITH t AS (SELECT event_id AS ord, CAST(event_id % 97 + 1 AS DOUBLE) AS p FROM events), s AS (SELECT ord, sum(p) OVER (ORDER BY ord) - p AS pos FROM t), d AS (SELECT k, (k + 0.25) / 64 * (SELECT sum(p) FROM t) AS pos FROM generate_series(0, 63) g(k))
+SELECT d.k, s.ord AS picked FROM d ASOF JOIN s ON d.pos >= s.pos""")
 def priority_pick(spark, d):
     draws = spark.range(64).select(F.col("id").alias("k"), F.lit(0.25).alias("u"))
     return experience.sample_priority(_weighted(spark, d), draws).select("k", "picked")
