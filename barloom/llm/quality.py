@@ -141,3 +141,35 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     annotated = common.cut(docs, "quality")
     cutoffs = calibrate(annotated, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judge(annotated, cutoffs).select("doc_id", *BASE_COUNTS, "base_failed", "kept")
+
+
+def _sql(limit: float = 0.05, delta: float = 0.05) -> str:
+    share, tests = limit / len(GRIDS), [(r, c) for r in GRIDS for c in GRIDS[r]]
+    score = {
+        "symbols": "coalesce(n_symbols / nullif(word_chars, 0), 0)", "dup_lines": "coalesce(n_dup_lines / nullif(n_lines, 0), 0)", "repeats": "coalesce(n_repeat_words / nullif(n_words, 0), 0)",
+        "long_words": "coalesce(word_chars / nullif(n_words, 0), 0)", "short_words": "-coalesce(word_chars / nullif(n_words, 0), 0)",
+    }
+    long = lambda source, more: " UNION ALL ".join(f"SELECT doc_id, lang, '{r}' AS rule, {s} AS score{more} FROM {source}" for r, s in score.items())
+    return f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+i AS (SELECT doc_id, unnest(generate_series(1, len(w) - 2)) AS i, unnest(list_transform(generate_series(1, len(w) - 2), lambda j: w[j] || ' ' || w[j + 1] || ' ' || w[j + 2])) AS x FROM d WHERE len(w) > 2),
+r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM i),
+p AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS pos FROM r WHERE n > 1) GROUP BY doc_id),
+f AS (SELECT d.doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(p.n, 0) > 50 * len(w) AS base_failed FROM d LEFT JOIN p ON d.doc_id = p.doc_id),
+g AS (SELECT doc_id, min(quality) AS good FROM labels GROUP BY doc_id),
+k AS (SELECT f.*, good FROM f JOIN g ON f.doc_id = g.doc_id WHERE NOT base_failed AND good IS NOT NULL),
+t(rule, cut) AS (VALUES {', '.join(f"('{r}', {c})" for r, c in tests)}),
+s AS ({long('k', ', good')}),
+n AS (SELECT lang, count(*) FILTER (good = 1) AS n FROM k GROUP BY lang),
+m AS (SELECT s.lang, s.rule, t.cut, count(*) FILTER (score > cut AND good = 1) AS k, count(*) FILTER (score > cut AND good = 0) AS bad FROM s JOIN t ON s.rule = t.rule GROUP BY ALL),
+c AS (SELECT m.*, n.n FROM m JOIN n ON m.lang IS NOT DISTINCT FROM n.lang WHERE m.k < n.n * {share} AND m.bad > m.k),
+b AS (SELECT lang, rule, arg_max(cut, (bad - k, cut)) AS cut FROM c
+  WHERE list_sum(list_transform(generate_series(0, k), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({share}) + (n - j) * ln(1 - {share})))) <= {delta} / ({len(tests)} * (SELECT count(*) FROM n)) GROUP BY lang, rule),
+x AS (SELECT DISTINCT a.doc_id FROM ({long('f', '')}) a JOIN b ON a.rule = b.rule AND a.lang IS NOT DISTINCT FROM b.lang AND a.score > b.cut)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND x.doc_id IS NULL AS kept FROM f LEFT JOIN x ON f.doc_id = x.doc_id
+"""
+
+
+OP10_SQL = _sql()

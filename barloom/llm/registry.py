@@ -19,4 +19,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": licenses.OP1_SQL,
     "op8_temporal_lists": urlfilter.OP8_SQL,
+    "op10_quality_rules": quality.OP10_SQL,
 }
