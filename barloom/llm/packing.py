@@ -71,9 +71,10 @@ def _vectors(vocabulary: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plane = projection()
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
-                rows = [np.frombuffer(x, "<u4") for x in tokens.encoder(vocabulary).ids([x or "" for x in part.column(1).to_pylist()])]
+            for k in range(0, b.num_rows, 2048):
+                part = b.slice(k, 2048)
+                ids, ends = tokens.encoder(vocabulary).encode(part.column(1))
+                rows = [ids[a:z] for a, z in zip(ends[:-1], ends[1:])]
                 at = np.array([hashed_vector(r) for r in rows]) @ plane
                 stored = [np.append(r, np.uint32(end)) for r in rows]
                 narrow = [r.astype("<u2").tobytes() if r.max() < 65536 else r.tobytes() for r in stored]
@@ -88,7 +89,7 @@ def _vectors(vocabulary: str, end: int):
 def _cutter(longest: int, bases: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, current = 0, -1
-        for b in batches:
+        for b in (x.slice(k, 512) for x in batches for k in range(0, x.num_rows, 512)):
             out: list[tuple] = []
             for key, n, ids, part in zip(*(b.column(c).to_pylist() for c in ("key", "n", "ids", "part"))):
                 if part != current:
@@ -110,7 +111,7 @@ def pack(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "
     """Pieces: key, start (in the document), length, doc_tokens, sequence_id, offset (in the sequence), ids (unsigned 32-bit)."""
     spark = docs.sparkSession
     columns = ", ".join(f"p{j} double" for j in range(DIMENSIONS))
-    vectors = common.cut(docs.select(F.col(key).cast("long").alias("key"), text).mapInArrow(_vectors(vocabulary, end), f"key long, n long, {columns}, ids binary"), "pack-vectors")
+    vectors = common.cut(docs.select(F.col(key).cast("long").alias("key"), text).mapInArrow(_vectors(vocabulary, end), f"key long, n long, {columns}, ids binary"), "pack-vectors", 2048)
     names = [f"p{j}" for j in range(DIMENSIONS)]
     ends = vectors.agg(F.coalesce(F.sum("n"), F.lit(0)), *[f(c) for c in names for f in (F.min, F.max)]).first()
     low = np.array([x or 0.0 for x in ends[1::2]])

@@ -77,18 +77,15 @@ def _encoder(vocabulary: str, kind: str, block: int, end: int):
 
         for b in batches:
             keys = b.column(0).to_pylist()
-            for k in range(0, len(keys), 256):
-                texts = [x or "" for x in b.column(1).slice(k, 256).to_pylist()]
-                parts = [rest]
-                at = start
-                begun: deque = deque()
-                for key, ids in zip(keys[k : k + 256], tokens.encoder(vocabulary).ids(texts)):
-                    ids = np.append(np.frombuffer(ids, "<u4"), np.uint32(end))
-                    begun.append((key, at, len(ids)))
-                    at += len(ids)
-                    parts.append(ids)
+            for k in range(0, len(keys), 2048):
+                ids, ends = tokens.encoder(vocabulary).encode(b.column(1).slice(k, 2048))
+                stream = np.concatenate([rest, np.insert(ids, ends[1:], np.uint32(end))])
+                sizes = (np.diff(ends) + 1).tolist()
+                begun, at = deque(), start
+                for key, n in zip(keys[k : k + 2048], sizes):
+                    begun.append((key, at, n))
+                    at += n
                 start = at
-                stream = np.concatenate(parts)
                 whole = len(stream) // block * block
                 for j in range(0, whole, block):
                     while begun and begun[0][1] < (number + 1) * block:
@@ -115,7 +112,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, *, key: str = "doc
     shards = max(-(-total // shard_bytes), common.parallelism(docs.sparkSession))
     rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")).withColumn("_tie", F.xxhash64("_text"))
     ordered = rows.repartitionByRange(shards, "_key", "_tie").sortWithinPartitions("_key", "_tie").select("_key", "_text")
-    ordered.mapInArrow(_encoder(vocabulary, kind, block, end), SCHEMA).write.option("compression", "none").parquet(path)
+    with common.batches_of(docs.sparkSession, 2048):
+        ordered.mapInArrow(_encoder(vocabulary, kind, block, end), SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
