@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -33,13 +34,30 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/barloom-{uuid.uuid4().hex}/{label}"
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later jobs survive the loss of any executor."""
+def cut(df: DataFrame, label: str, rows_at_once: int = 0) -> DataFrame:
+    """Write df to the shared folder and read it back: later jobs survive the loss of any executor.
+
+    rows_at_once: most rows that are handed to Python together, where they are long.
+    """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with batches_of(df.sparkSession, rows_at_once):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """For the jobs run inside: most rows of an Arrow batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

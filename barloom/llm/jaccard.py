@@ -9,12 +9,12 @@ prefixes; sizes and positions in the lists exclude most other pairs. Shingles th
 in that order. Only how long lists get depends on the counts, never which pairs are found, so their table may be bounded.
 The boundary is the one with the least cost, from the numbers of small sets and the mean length of lists.
 
-Lists are not expanded into all pairs of sets. Every set has a sketch of 1024 parities; sets differ by at least as many
+Lists are not expanded into all pairs of sets. Every set has a sketch of 512 parities; sets differ by at least as many
 shingles as their sketches by bits, which excludes pairs without a look at the sets. First every set is compared with
-the smallest of a list, the one with the closest sketch; sets that link so are of one component. Then the pairs of a
-list that are of different components still, and whose sizes, positions and sketches allow a link, are found (long
-lists in blocks), and compared, the closest of two components first, until none is left that is untested and of
-different components. So no link between components is lost. Every link is decided on whole sets.
+the smallest set of the lists it is in, the one that it meets most often; sets that link so are of one component. Then
+the pairs of a list that are of different components still, and whose sizes, positions and sketches allow a link, are
+found (long lists in blocks): first the closest pair of any two components in a list, and, when those are compared, all
+that are of different components yet. So no link between components is lost. Every link is decided on whole sets.
 
 Null text, and text without words, has no shingles and no links; a text with fewer words than n is one shingle. Rows
 with equal keys are told apart by their text. Rows with a null key belong to their component, but can't name it or
@@ -37,13 +37,15 @@ from . import common
 from .components import components
 
 #: Words that a worker remembers; shingles that a task counts at once; least count in a task; shingles put last in the order.
-MEMORY, COUNTED, LOCAL, FREQUENT = 300_000, 3_000_000, 3, 1 << 18
+MEMORY, COUNTED, LOCAL, FREQUENT = 200_000, 1_500_000, 3, 1 << 18
+#: Documents, and pairs twice over, whose texts or sets are handed to Python together.
+AT_ONCE = 1024
 #: Bits that mark the documents whose sets are wanted: 2 MB, whatever the corpus.
 MARKS = 1 << 24
 #: Largest size that may count as light.
 LIGHT = 24
 #: Bits of a sketch, and rows of a block of a long list.
-SKETCH, LIST = 1024, 2048
+SKETCH, LIST = 512, 2048
 
 
 class _Hashes(dict):
@@ -255,8 +257,9 @@ def _near(percent: int):
     return run
 
 
-def _list_pairs(percent: int):
-    """Pairs of different components within lists; rows come sorted by (token, i, j), columns as named below."""
+def _list_pairs(percent: int, closest: bool):
+    """Pairs of different components within lists, or only the closest of any two components in a list; rows come
+    sorted by (token, i, j), columns as named below."""
     def pairs(t: pa.Table) -> pa.RecordBatch:
         token, i, j, own, node, n, pos, part = (t.column(c).to_numpy() for c in ("token", "i", "j", "own", "node", "n", "pos", "component"))
         bits = _words(t.column("sketch"))
@@ -276,10 +279,17 @@ def _list_pairs(percent: int):
             d = _distance(bits[a], bits[b])
             ok = _within(n[a], n[b], percent, d)
             if ok.any():
-                a, b = node[a[ok]], node[b[ok]]
-                found.append(np.stack([np.minimum(a, b), np.maximum(a, b), d[ok]], axis=1))
-        rows = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
-        return _batch([rows[:, 0], rows[:, 1], rows[:, 2]], _PAIRS)
+                a, b = a[ok], b[ok]
+                sides = np.sort(np.stack([part[a], part[b]], axis=1), axis=1)
+                found.append(np.column_stack([token[a], sides, d[ok], np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]))
+        if not found:
+            return _batch([[], [], []], _PAIRS)
+        rows = np.concatenate(found)
+        if closest:
+            rows = rows[np.lexsort(rows.T[::-1])]
+            rows = rows[np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1))]
+        rows = np.unique(rows[:, 3:], axis=0)
+        return _batch([rows[:, 1], rows[:, 2], rows[:, 0]], _PAIRS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -316,17 +326,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, n: int, per
     bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
     texts = docs.select(mark.alias("mark"), "text")
     found = texts.mapInArrow(_sets_of(n, docs.sparkSession.sparkContext.broadcast(bits)), "node long, rows binary")
-    sets = common.cut(found.join(ends, "node", "left_semi"), "sets").dropDuplicates(["node"])
+    sets = common.cut(found, "sets", AT_ONCE).dropDuplicates(["node"])
     left = pairs.join(sets.select(F.col("node").alias("u"), F.col("rows").alias("x")), "u")
     both = left.join(sets.select(F.col("node").alias("v"), F.col("rows").alias("y")), "v").select("u", "v", "x", "y")
-    return both.mapInArrow(_linked(percent), "u long, v long")
+    return common.cut(both.mapInArrow(_linked(percent), "u long, v long"), "linked", AT_ONCE // 2)
 
 
 def jaccard_join(docs: DataFrame, *, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (least key of the documents that links reach), one row for each of docs."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    described = common.cut(docs.mapInArrow(_describe(n), "doc_id long, n long, node long, token long, hits long, sketch binary"), "described")
+    described = common.cut(docs.mapInArrow(_describe(n), "doc_id long, n long, node long, token long, hits long, sketch binary"), "described", AT_ONCE)
     documents = described.filter("token IS NULL").select("doc_id", "n", "node")
     nodes = described.filter("token IS NULL AND n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     nodes = common.cut(nodes, "nodes")
@@ -346,45 +356,38 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, percent: int = 80, key: str = "
     index = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent)) + 1
     lead = F.min(F.when((F.col("need") > 0) | (F.col("pos") < index), F.struct("n", "node", "pos"))).over(by)
     lists = entries.select("*", lead.alias("lead"), F.min("node").over(by).alias("_a"), F.max("node").over(by).alias("_b"))
-    lists = common.cut(lists.filter("_a <> _b AND lead IS NOT NULL").drop("_a", "_b"), "lists")
+    lists = common.cut(lists.filter("_a <> _b AND lead IS NOT NULL").drop("_a", "_b"), "lists", AT_ONCE)
 
     # Light: sets that share a subset of the required size link, and the smallest of them links with each.
     light = lists.filter(F.col("need") > 0).filter((100 + percent) * F.col("need") >= percent * (F.col("n") + F.col("lead.n")))
     light = light.select(F.col("node").alias("u"), F.col("lead.node").alias("v")).filter("u <> v").distinct()
 
-    # Heavy: each set with the smallest one of a list first, that with the closest sketch.
+    # Heavy: each set with the smallest set of its lists first, the one that it meets most often.
     heavy = lists.filter(F.col("need") == 0)
     near = heavy.filter((F.col("node") != F.col("lead.node")) & _close((F.col("lead.n"), F.col("lead.pos")), (F.col("n"), F.col("pos")), percent))
-    first = near.select(F.col("node").alias("u"), F.col("lead.node").alias("v")).distinct()
+    met = near.groupBy(F.col("node").alias("u"), F.col("lead.node").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    first = common.cut(met.groupBy("u").agg(F.max_by("v", F.struct("c", "v")).alias("v")), "first-pairs")
     at = lambda side: nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
     sketched = first.join(at("u"), "u").join(at("v"), "v").select("u", "v", "nu", "nv", "su", "sv")
-    closest = sketched.mapInArrow(_near(percent), "u long, v long, d long").groupBy("u").agg(F.min_by("v", F.struct("d", "v")).alias("v"))
-    first = common.cut(closest, "first-pairs")
-    links = common.cut(light.unionByName(_verified(first, docs, nodes, n, percent)), "first-links")
+    tested = common.cut(sketched.mapInArrow(_near(percent), "u long, v long, d long").select("u", "v"), "tested")
+    links = common.cut(light.unionByName(_verified(tested, docs, nodes, n, percent)), "links")
 
     # Then the pairs of lists that hold several components yet.
-    known = components(links)
-    placed = heavy.select("token", "node", "n", "pos").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("_blocks")).filter("_a <> _b")
-    rest = placed.join(mixed.select("token", "_blocks"), "token").join(nodes.select("node", "sketch"), "node")
-    own = F.pmod("node", "_blocks").cast("int")
-    rest = rest.withColumn("own", own).withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    rest = rest.select("token", F.least("own", "_c").alias("i"), F.greatest("own", "_c").alias("j"), "own", "node", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "component", "sketch")
-    sorted_ = rest.repartition(F.col("token"), F.col("i"), F.col("j")).sortWithinPartitions("token", "i", "j")
-    open_ = common.cut(sorted_.mapInArrow(_list_pairs(percent), "u long, v long, d long").groupBy("u", "v").agg(F.min("d").alias("d")), "list-pairs")
-    for attempt in itertools.count():
-        part = lambda side: known.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-        apart = open_.join(part("u"), "u", "left").join(part("v"), "v", "left").withColumns({"cu": F.coalesce("cu", "u"), "cv": F.coalesce("cv", "v")}).filter("cu <> cv")
-        if attempt < 2:
-            best = apart.groupBy(F.least("cu", "cv").alias("a"), F.greatest("cu", "cv").alias("b")).agg(F.min_by(F.struct("u", "v"), F.struct("d", "u", "v")).alias("p"))
-            tested = common.cut(best.select("p.u", "p.v"), "tested")
-        else:
-            tested = common.cut(apart.select("u", "v"), "tested")
-        if tested.isEmpty():
-            break
-        links = common.cut(links.unionByName(_verified(tested, docs, nodes, n, percent)), "more-links")
-        open_ = common.cut(apart.select("u", "v", "d").join(tested, ["u", "v"], "left_anti"), "untested")
+    for closest in (True, False):
         known = components(links)
+        placed = heavy.select("token", "node", "n", "pos").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = placed.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("_blocks")).filter("_a <> _b")
+        rest = placed.join(mixed.select("token", "_blocks"), "token").join(nodes.select("node", "sketch"), "node")
+        own = F.pmod("node", "_blocks").cast("int")
+        rest = rest.withColumn("own", own).withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        rest = rest.select("token", F.least("own", "_c").alias("i"), F.greatest("own", "_c").alias("j"), "own", "node", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "component", "sketch")
+        dealt = rest.repartition(F.col("token"), F.col("i"), F.col("j")).sortWithinPartitions("token", "i", "j")
+        pairs = dealt.mapInArrow(_list_pairs(percent, closest), "u long, v long, d long").select("u", "v").distinct()
+        todo = common.cut(pairs.join(tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"), "todo")
+        if not todo.isEmpty():
+            links = common.cut(links.unionByName(_verified(todo, docs, nodes, n, percent)), "links")
+            tested = tested.unionByName(todo)
+    known = components(links)
 
     named = nodes.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -395,9 +398,13 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, percent: int = 80, key: str = "
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id. Documents without words stay."""
+    """One document of each group of near duplicates: the one with the least id. Documents without words stay.
+
+    Rows that share an id count as one document; rows without an id stay.
+    """
     alone = jaccard_join(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(alone, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = docs.join(alone, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def op9_size_aware_join(spark: SparkSession, sf_dir: str) -> DataFrame:
