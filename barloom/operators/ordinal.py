@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -17,6 +20,22 @@ def settled(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="barloom-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to spark.checkpoint.dir and read back; a temporary folder only on a single machine."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{(folder or _own_folder()).rstrip('/')}/barloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def with_ordinal(df: DataFrame, step: int, key: str = "symbol") -> DataFrame:
     """ord: place on the series' grid of step milliseconds, without a sort."""
     first = df.groupBy(key).agg(F.min("timestamp").alias("_first"))

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .exits import first_exits
 from .ordinal import forward_fill, in_chunks, running, settled
 
 #: Bars searched after an entry in its own window, and bars of a block whose extremes tell whether to search it.
@@ -25,8 +26,6 @@ class Exits:
     stop_loss: float | None = None
     trailing: float | None = None
     trailing_only: bool = False
-    #: Bars after an entry within which a trailing exit is looked for.
-    trailing_bars: int = 1024
 
 
 def _reason(price: Column, entry: Column, cfg: Exits) -> Column:
@@ -67,21 +66,6 @@ def _crossings(df: DataFrame, cfg: Exits, keys: list[str]) -> DataFrame:
     return near.join(far, [*keys, "entry"], "left").withColumn("cross", F.coalesce("cross", "far")).drop("far")
 
 
-def _trailing(df: DataFrame, cfg: Exits, keys: list[str]) -> DataFrame:
-    """Entries with cross by a fold over the bars ahead: the highest price so far, and the first bar that exits."""
-    ahead = in_chunks(df, lambda w: {"_ahead": F.collect_list(F.struct("price", "action", "ord")).over(w.rowsBetween(1, cfg.trailing_bars))}, after=cfg.trailing_bars, key=keys).filter("action = 1")
-
-    def step(acc, x):
-        falls = (acc.high >= F.col("price") * (1 + cfg.take_profit)) & (x.price <= acc.high * (1 - cfg.trailing))
-        out = F.when(acc.cross.isNotNull(), acc.cross).when((x.action != 2) & (falls | _reason(x.price, F.col("price"), cfg).isNotNull()), x.ord)
-        reason = F.when(acc.cross.isNotNull(), acc.reason).when(falls, 1).otherwise(_reason(x.price, F.col("price"), cfg))
-        return F.struct(F.greatest(acc.high, x.price).alias("high"), out.alias("cross"), reason.alias("reason"))
-
-    start = F.struct(F.col("price").alias("high"), F.lit(None).cast("long").alias("cross"), F.lit(None).cast("int").alias("reason"))
-    found = ahead.withColumn("_end", F.aggregate("_ahead", start, step))
-    return found.select(*keys, F.col("ord").alias("entry"), F.col("price").alias("entry_price"), "next_sell", F.col("_end.cross").alias("cross"), F.col("_end.reason").alias("cross_reason"))
-
-
 def match_trades(df: DataFrame, cfg: Exits = Exits(), keys: list[str] = ["symbol"]) -> DataFrame:  # noqa: B006
     """keys, entry_ord, exit_ord (null: open at the end), entry_price, exit_price, reason (1, -1, 0), profit, fees."""
     if cfg.trailing is not None and cfg.take_profit is None:
@@ -90,7 +74,7 @@ def match_trades(df: DataFrame, cfg: Exits = Exits(), keys: list[str] = ["symbol
     back = df.withColumns({"_back": -F.col("ord"), "next_sell": F.when(F.col("action") == 2, F.col("ord"))})
     df = settled(forward_fill(back, ["next_sell"], key=keys, order="_back").drop("_back"))
     if cfg.trailing is not None:
-        exits = _trailing(df, cfg, keys)
+        exits = first_exits(df, cfg, keys)
     elif cfg.take_profit is None and cfg.stop_loss is None:
         exits = df.filter("action = 1").select(*keys, F.col("ord").alias("entry"), F.col("price").alias("entry_price"), "next_sell", F.lit(None).cast("long").alias("cross"))
     else:

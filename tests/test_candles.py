@@ -6,7 +6,7 @@ import random
 import pytest
 
 from barloom.functions import features as ft
-from barloom.operators import clean, experience, labels, metrics, ordinal, resample, signals, trades
+from barloom.operators import clean, exits, experience, labels, metrics, ordinal, resample, signals, trades
 from barloom.operators.metrics import F
 from barloom.schema import EXIT_PRESETS, INDICATOR_SETS
 from barloom.sources import candles
@@ -106,6 +106,27 @@ def test_trades_equal_a_walk(spark, cfg):
     assert [(r.entry_ord, r.exit_ord, r.reason) for r in got] == walk(prices, actions, cfg)
 
 
+def test_trailing_exits_far_from_their_entries(spark):
+    cfg = trades.Exits(0, take_profit=0.2, stop_loss=0.3, trailing=0.05, trailing_only=True)
+    for late, want in ((60, [(0, 3000, -1), (3001, None, None)]), (130, [(0, 3001, 1)])):
+        prices, actions = [100.0] * 3000 + [late, 100, 100], [1] + [0] * 3000 + [1, 0]
+        got = trades.match_trades(series(spark, prices, action=actions), cfg).orderBy("entry_ord").collect()
+        assert [(r.entry_ord, r.exit_ord, r.reason) for r in got] == want == walk(prices, actions, cfg)
+
+
+@pytest.mark.parametrize("size", [150, 1000])
+def test_exits_carried_over_chunks(spark, size):
+    cfg = trades.Exits(take_profit=0.03, stop_loss=0.04, trailing=0.01, trailing_only=True)
+    rng = random.Random(size)
+    prices = [100.0]
+    for _ in range(1200):
+        prices.append(prices[-1] * (1 + rng.gauss(0, 0.002)))
+    df = series(spark, prices, action=[int(i % 7 == 0) for i in range(len(prices))]).withColumn("next_sell", F.lit(None).cast("long"))
+    got = {r.entry: (r.cross, r.cross_reason) for r in exits.first_exits(df, cfg, ["symbol"], size).collect()}
+    want = {i: walk(prices[i:], [1] + [0] * len(prices), cfg)[0] for i in range(0, len(prices), 7)}
+    assert got == {i: (None if at is None else i + at, reason) for i, (_, at, reason) in want.items()}
+
+
 def test_drawdown(spark):
     df = series(spark, [100, 110, 99, 120, 108], action=[1, 0, 0, 0, 0])
     cfg = trades.Exits(0, 100)
