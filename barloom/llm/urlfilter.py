@@ -9,7 +9,8 @@ skewed keys of that join.
 
 The longest active pattern decides, the list of the smallest name among equals. An `allow` list lets a capture pass, any
 other blocks it. A null or unreadable url matches nothing and passes. Of several events of a list, pattern and day the
-removal counts. Repeated captures are judged each; null fetch times match nothing. Empty tables give all captures
+removal counts. Captures are judged by url and fetch time alone, whatever their keys; repeated ones each; null fetch
+times match nothing. Entries are filed under the months that captures have, of any year. Empty tables give all captures
 unmatched, or none. Extra columns of captures stay.
 """
 
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Days in a bucket of the interval index, and the day after which open entries are no longer filed.
-BUCKET, HORIZON = 30, "2026-01-01"
+#: Days in a bucket of the interval index.
+BUCKET = 30
 
 
 def host(url: Column) -> Column:
@@ -51,19 +52,20 @@ def _bucket(day: Column) -> Column:
     return F.floor(F.unix_date(day) / BUCKET)
 
 
-def judge(captures: DataFrame, events: DataFrame, *, key: str = "page_id", url: str = "url", fetched: str = "fetched") -> DataFrame:
-    """captures with n_active (entries in force), list, pattern (those that decide; null if none) and blocked."""
+def judge(captures: DataFrame, events: DataFrame, *, key: str = "page_id", url: str = "url", fetched: str = "fetched") -> DataFrame:  # noqa: ARG001
+    """captures with n_active (entries in force), list, pattern (those that decide; null if none) and blocked. key isn't read."""
     captures = captures.drop(*[c for c in captures.columns if c in ("n_active", "list", "pattern", "blocked")])
-    entries = intervals(events)
-    last = F.coalesce(F.date_sub("valid_to", 1), F.greatest(F.to_date(F.lit(HORIZON)), F.col("valid_from")))
-    filed = entries.withColumn("_bucket", F.explode(F.sequence(_bucket(F.col("valid_from")), _bucket(last))))
-    day = F.to_date(fetched)
-    asked = captures.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(fetched).alias("_at")).filter("_key IS NOT NULL AND _at IS NOT NULL").distinct()
-    asked = asked.withColumns({"_day": F.to_date("_at"), "_pattern": F.explode(patterns(F.col("_url")))}).withColumn("_bucket", _bucket(F.least(F.col("_day"), F.to_date(F.lit(HORIZON)))))
+    asked = captures.select(F.col(url).alias("_url"), F.col(fetched).alias("_at")).filter("_url IS NOT NULL AND _at IS NOT NULL").distinct()
+    asked = asked.withColumns({"_day": F.to_date("_at"), "_pattern": F.explode(patterns(F.col("_url")))}).withColumn("_bucket", _bucket(F.col("_day")))
+    # Entries are filed under the buckets that captures ask for, whatever their year: one row, as many as the calendar has.
+    used = captures.agg(F.collect_set(_bucket(F.to_date(fetched))).alias("_used"))
+    until = F.date_sub("valid_to", 1)
+    touched = F.filter("_used", lambda b: (b >= _bucket(F.col("valid_from"))) & (until.isNull() | (b <= _bucket(until))))
+    filed = intervals(events).crossJoin(F.broadcast(used)).withColumn("_bucket", F.explode(touched)).drop("_used")
     active = asked.join(filed, (asked["_pattern"] == filed["pattern"]) & (asked["_bucket"] == filed["_bucket"]) & (F.col("_day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_day") < F.col("valid_to"))))
     best = F.min(F.struct((-F.length("pattern")).alias("n"), "list", "pattern"))
-    found = active.groupBy("_key", "_url", "_at").agg(F.count(F.lit(1)).alias("n_active"), best.alias("_best"))
-    same = (F.col(key) == F.col("_key")) & F.col(url).eqNullSafe(F.col("_url")) & (F.col(fetched) == F.col("_at"))
+    found = active.groupBy("_url", "_at").agg(F.count(F.lit(1)).alias("n_active"), best.alias("_best"))
+    same = (F.col(url) == F.col("_url")) & (F.col(fetched) == F.col("_at"))
     joined = captures.join(found, same, "left")
     return joined.select(*captures.columns, F.coalesce("n_active", F.lit(0)).alias("n_active"), F.col("_best.list").alias("list"), F.col("_best.pattern").alias("pattern"), F.coalesce(F.col("_best.list") != "allow", F.lit(False)).alias("blocked"))
 

@@ -205,6 +205,17 @@ def test_url_entries_hold_in_their_time(spark):
     assert urlfilter.judge(captures.limit(0), events).count() == 0 and urlfilter.judge(captures, events.limit(0)).filter("blocked").count() == 0
 
 
+def test_lists_of_later_years_and_null_keys(spark):
+    import datetime as dt
+
+    day = dt.date
+    events = spark.createDataFrame([("spam", "new.com", day(2026, 3, 1), "add"), ("spam", "new.com", day(2027, 3, 1), "remove"), ("spam", "old.com", day(1990, 1, 1), "add")], "list string, pattern string, day date, action string")
+    asked = [(1, "new.com", day(2026, 2, 28), False), (None, "new.com", day(2026, 3, 1), True), (2, "new.com", day(2027, 2, 28), True), (3, "new.com", day(2027, 3, 1), False), (None, "old.com", day(2027, 12, 31), True), (4, "old.com", day(1989, 12, 31), False), (None, None, day(2027, 1, 1), False), (5, "old.com", None, False)]
+    captures = spark.createDataFrame([(k, u and f"http://{u}/x", d and dt.datetime(d.year, d.month, d.day, 12), b) for k, u, d, b in asked], "page_id long, url string, fetched timestamp_ntz, want boolean")
+    got = urlfilter.judge(captures.union(captures), events).collect()
+    assert len(got) == 2 * len(asked) and all(r.blocked == r.want for r in got)
+
+
 def brute_components(rows, n, percent):
     def sets(t):
         w = (t or "").encode().lower().split()
