@@ -99,6 +99,24 @@ def test_encoder_equals_library(name):
         assert [flat[a:b].tolist() for a, b in itertools.pairwise(at)] == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_fresh_library_on_special_strings(name):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokens.vocabulary(name))
+    special = [t.content for t in fresh.get_added_tokens_decoder().values()]
+    rng = random.Random(2)
+    parts = special * 3 + list("ab.,\n'1é") + [" "] * 8 + ["  ", "\t", "word", "<|", "|>"]
+    texts = ["a <|endoftext|> b", *special] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(1500)]
+    want = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    e = tokens.Encoder(tokens.vocabulary(name))
+    for _ in range(2):
+        flat, at = e.encode(pa.array(texts))
+        got = [flat[a:b].tolist() for a, b in itertools.pairwise(at)]
+        assert [t for t, g, w in zip(texts, got, want) if g != w] == []
+
+
 def test_token_table_round_trip(spark, docs, rows, empty, tmp_path):
     path = str(tmp_path / "t")
     vocabulary = tokens.vocabulary("byte_bpe_50k.json")
