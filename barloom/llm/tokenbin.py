@@ -6,11 +6,12 @@ byte) j of every id. Each plane is compressed with zstandard by itself; equal hi
 of the table holds one shard: the entries of the documents that begin in a block (key, offset, number of ids), then the
 block with its chunk index (the length of each compressed plane). Shards in order hold the corpus in key order.
 
-Rows are ordered by key, then by a hash of the text; null keys come first and null text is empty (it has the end id
-alone). A hot key's rows spread over shards by that hash. Rows equal in both stay apart as rows. Shards are sized by the
-bytes of the corpus, so what one task holds (one block and its documents' entries) doesn't grow. The table is written
-by Spark's own writer: a task that is lost is run again and leaves no half file. An empty table gives an empty table.
-Other columns aren't stored.
+Rows are ordered by key, then by a hash of the text, then by where they are read; null keys come first and null text is
+empty (it has the end id alone). So the rows of a hot key, and rows equal in all, spread over shards; each is stored.
+Shards are sized by the bytes of the corpus. A task that writes holds one block, a part of a batch and the entries of
+the documents in it; one that reads, a block and the ids of a document, so a very long text costs what it is long. The
+table is written by Spark's own writer: a task that is lost is run again and leaves no half file. Readers sort a shard's
+rows by their number, however a store splits its file. An empty table gives an empty table. Other columns aren't stored.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from . import common, tokens
 
 BLOCK = 16384
 END = 0
+#: Documents that a task encodes at once.
+AT_ONCE = 512
 SCHEMA = "shard int, row long, doc_id long, start long, n_tokens long, block long, n_ids int, kind string, plane_bytes array<int>, planes binary"
 
 
@@ -77,12 +80,12 @@ def _encoder(vocabulary: str, kind: str, block: int, end: int):
 
         for b in batches:
             keys = b.column(0).to_pylist()
-            for k in range(0, len(keys), 2048):
-                ids, ends = tokens.encoder(vocabulary).encode(b.column(1).slice(k, 2048))
+            for k in range(0, len(keys), AT_ONCE):
+                ids, ends = tokens.encoder(vocabulary).encode(b.column(1).slice(k, AT_ONCE))
                 stream = np.concatenate([rest, np.insert(ids, ends[1:], np.uint32(end))])
                 sizes = (np.diff(ends) + 1).tolist()
                 begun, at = deque(), start
-                for key, n in zip(keys[k : k + 2048], sizes):
+                for key, n in zip(keys[k : k + AT_ONCE], sizes):
                     begun.append((key, at, n))
                     at += n
                 start = at
@@ -110,49 +113,55 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, *, key: str = "doc
     """Encode docs into a table of plane blocks at path, one file a shard, shards in key order."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     shards = max(-(-total // shard_bytes), common.parallelism(docs.sparkSession))
-    rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")).withColumn("_tie", F.xxhash64("_text"))
-    ordered = rows.repartitionByRange(shards, "_key", "_tie").sortWithinPartitions("_key", "_tie").select("_key", "_text")
-    with common.batches_of(docs.sparkSession, 2048):
+    rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")).withColumns({"_tie": F.xxhash64("_text"), "_row": F.monotonically_increasing_id()})
+    order = ["_key", "_tie", "_row"]
+    ordered = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("_key", "_text")
+    with common.batches_of(docs.sparkSession, AT_ONCE):
         ordered.mapInArrow(_encoder(vocabulary, kind, block, end), SCHEMA).write.option("compression", "none").parquet(path)
 
 
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with their ids, in file order. A document's entry stands before the block that it begins in."""
-    shard, next_row, waiting, have = None, 0, deque(), []
-    for b in batches:
-        out = []
-        for r in b.to_pylist():
-            if r["row"] == 0:
-                shard, next_row, waiting, have = r["shard"], 0, deque(), []
-            if (r["shard"], r["row"]) != (shard, next_row):
-                raise ValueError(f"shard {r['shard']}: row {r['row']} follows row {next_row - 1} of shard {shard}")
-            next_row += 1
-            if r["planes"] is None:
-                waiting.append((r["doc_id"], r["start"], r["n_tokens"]))
-                continue
-            ids = unpack_planes(r["plane_bytes"], r["planes"], r["n_ids"], r["kind"])
-            at = 0
-            while waiting:
-                need = waiting[0][2] - sum(map(len, have))
-                piece = ids[at : at + need]
-                have.append(piece)
-                at += len(piece)
-                if len(piece) < need:
-                    break
-                doc_id, start, n = waiting.popleft()
-                out.append((shard, doc_id, start, n, np.concatenate(have).tobytes()))
-                have = []
-        if out:
-            yield _batch(out, _READ)
-
-
-_READ = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-
-
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """shard, doc_id, start (in the shard), n_tokens, ids (little-endian unsigned 32-bit). A shard's file is one row group, so one task reads it in order."""
-    table = spark.read.schema(SCHEMA).parquet(path)
-    return table.mapInArrow(_decode, "shard int, doc_id long, start long, n_tokens long, ids binary")
+def _decoder(digest: bool):
+    """Documents with their ids (or the checksum of these) in order of the shards' rows. A document's entry stands before the block that it begins in."""
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, next_row, waiting, have = None, 0, deque(), []
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if r["row"] == 0:
+                    shard, next_row, waiting, have = r["shard"], 0, deque(), []
+                if (r["shard"], r["row"]) != (shard, next_row):
+                    raise ValueError(f"shard {r['shard']}: row {r['row']} follows row {next_row - 1} of shard {shard}")
+                next_row += 1
+                if r["planes"] is None:
+                    waiting.append((r["doc_id"], r["start"], r["n_tokens"]))
+                    continue
+                ids = unpack_planes(r["plane_bytes"], r["planes"], r["n_ids"], r["kind"])
+                at = 0
+                while waiting:
+                    need = waiting[0][2] - sum(map(len, have))
+                    piece = ids[at : at + need]
+                    have.append(piece)
+                    at += len(piece)
+                    if len(piece) < need:
+                        break
+                    doc_id, start, n = waiting.popleft()
+                    data = have[0].tobytes() if len(have) == 1 else np.concatenate(have).tobytes()
+                    out.append((shard, doc_id, start, n, zlib.crc32(data) if digest else data))
+                    have = []
+            if out:
+                yield _batch(out, _DIGEST if digest else _READ)
+
+    return decode
+
+
+_HEAD = [("shard", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())]
+_READ, _DIGEST = pa.schema([*_HEAD, ("ids", pa.binary())]), pa.schema([*_HEAD, ("ids_crc32", pa.int64())])
+
+
+def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """shard, doc_id, start (in the shard), n_tokens, ids (little-endian unsigned 32-bit), or ids_crc32 in their place."""
+    table = spark.read.schema(SCHEMA).parquet(path).repartition("shard").sortWithinPartitions("shard", "row")
+    return table.mapInArrow(_decoder(digest), f"shard int, doc_id long, start long, n_tokens long, {'ids_crc32 long' if digest else 'ids binary'}")
 
 
 def shard_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -162,15 +171,8 @@ def shard_starts(spark: SparkSession, path: str) -> DataFrame:
     return common.starts(sums, "shard", "_n", "shard_start").select("shard", "shard_start")
 
 
-def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        crc = pa.array([zlib.crc32(x) for x in b.column("ids").to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([*b.columns[:4], crc], names=["shard", "doc_id", "start", "n_tokens", "ids_crc32"])
-
-
 def op3_bit_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.new_path(spark, "tokens")
     write_tokens(common.documents(spark, sf_dir), path, tokens.vocabulary("byte_bpe_50k.json"))
-    read = read_tokens(spark, path).mapInArrow(_crc, "shard int, doc_id long, start long, n_tokens long, ids_crc32 long")
-    placed = read.join(shard_starts(spark, path), "shard")
+    placed = read_tokens(spark, path, digest=True).join(shard_starts(spark, path), "shard")
     return placed.select("doc_id", (F.col("shard_start") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")

@@ -1,29 +1,40 @@
 """Token ids of whole texts by the tokenizers library, with a memory of what was encoded before.
 
-A text is cut where a space follows a character that is not white space. Both kinds of vocabulary in use (byte-level,
-and words with an end mark) cut there too, whatever stands around it, so the ids of a text are those of its segments in
-order; texts in which white space precedes a space are encoded whole. Arrow splits the texts of a batch and numbers
-their distinct segments; only those are looked up, and the ids are gathered by number. A segment of a word and its
-punctuation is cut further, where a run of letters ends. Words not met before are encoded by the library many at a
-time, joined, and the ids dealt out by the bytes (or end marks) that their tokens stand for. The memory is bounded.
+Both kinds of vocabulary in use (byte-level, and words with an end mark) cut a text by a public pattern first and encode
+each piece by itself. For texts of common Latin characters that pattern is applied here, by one regular expression whose
+letters and digits are listed, so that it can't differ from the library's. Pieces met before are looked up; the others
+are encoded by the library's model. Texts with any other character, or with what may be a special token, are encoded
+whole by the library. So are all texts of a tokenizer of another kind. The memory is bounded, and the ids of any text,
+however long, are those of the library; null text counts as empty.
 """
 
 from __future__ import annotations
 
 import functools
 import os
-from itertools import islice
+import re
+from array import array
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries of a worker's memories, of segments after a space and of others; when one is full, the entries met first (mostly the frequent ones) stay.
-SPACED, BARE, STAY = 300_000, 100_000, 0.5
-#: Bytes of texts cut up at once, and characters of the longest segment that is remembered.
-AT_ONCE, LONG = 2 << 20, 100
-#: White space before a space.
-_SPACE_RUN = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
+#: Pieces that a worker remembers; when that is full, the half met first (mostly the frequent ones) stays.
+MEMORY, STAY = 150_000, 0.5
+#: Bytes of texts cut up at once, characters of the longest piece that is remembered.
+AT_ONCE, LONG = 1 << 20, 64
+
+# The letters and numbers among the characters that are cut here, and the patterns of the two kinds.
+LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-įı-ňŊ-ž"
+NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
+SPACE = "\t\n\r "
+BYTES_PATTERN = rf"'(?:[sdmt]|ll|ve|re)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+WORDS_PATTERN = rf"'(?:[stmd]|re|ve|ll)|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+"
+#: Byte-level vocabularies write a byte as a printable character: itself, or for the others, in order, those from U+0100 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ňŊ-ž‐-‧€]|<\\|")
 
 
 @functools.cache
@@ -40,119 +51,59 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _plain(word: str) -> bool:
-    """Letters alone, all of the first 256 characters: every Unicode table has them as letters."""
-    return word.isalpha() and (word.isascii() or max(word) < "Ā")
-
-
-def pieces(word: str) -> tuple[str, tuple[str, ...]]:
-    """A head and what follows it, if all can be encoded by themselves; else the word as its own head."""
-    if _plain(word):
-        return word, ()
-    if word[-1:] in (".", ",") and _plain(word[:-1]):
-        return word[:-1], (word[-1],)
-    before, line, after = word.partition(".\n")
-    if line and _plain(before):
-        if _plain(after):
-            return before, (".", "\n", after)
-        if after[-1:] in (".", ",") and _plain(after[:-1]):
-            return before, (".", "\n", after[:-1], after[-1])
-    return word, ()
-
-
 class Encoder:
     """encode(texts): the ids of all texts end to end, and where each text's begin (and the last's end)."""
 
     def __init__(self, path: str) -> None:
-        self.spaced: dict[str, bytes] = {}  # what follows a space
-        self.bare: dict[str, bytes] = {}  # what doesn't
+        self.memory: dict[str, bytes] = {}
         self.library = lib = tokenizer(path)
-        vocab = lib.get_vocab()
-        ends = getattr(lib.model, "end_of_word_suffix", None)
-        self.marked = self.bytes = None
-        if ends:
-            self.marked = np.zeros(max(vocab.values()) + 1, bool)
-            self.marked[[i for t, i in vocab.items() if t.endswith(ends)]] = True
+        self.model, self.cut, self.lower = lib.model, None, False
+        if getattr(lib.model, "end_of_word_suffix", None) and type(lib.pre_tokenizer).__name__ == "Sequence":
+            self.cut, self.lower = re.compile(WORDS_PATTERN).findall, True
         elif lib.normalizer is None and type(lib.pre_tokenizer).__name__ == "ByteLevel":
-            self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)
-            self.bytes[list(vocab.values())] = [len(t) for t in vocab]
+            self.cut = re.compile(BYTES_PATTERN).findall
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = texts.cast(pa.large_string()).fill_null("")
         sizes = pc.binary_length(texts).to_numpy().cumsum()
-        flat, starts, at = [np.empty(0, "<u4")], [np.zeros(1, np.int64)], 0
+        found, at = [], 0
         while at < len(texts):
             end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + AT_ONCE)))
-            ids, ends = self._some(texts.slice(at, end - at))
-            starts.append(ends + starts[-1][-1])
-            flat.append(ids)
+            found += self._some(texts.slice(at, end - at).to_pylist())
             at = end
-        return np.concatenate(flat), np.concatenate(starts)
-
-    def _some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        self.spaced, self.bare = self._room(self.spaced, SPACED), self._room(self.bare, BARE)
-        whole = pc.match_substring_regex(texts, _SPACE_RUN)
-        cut = pc.split_pattern(pc.if_else(whole, pa.scalar("", pa.large_string()), texts), " ")
-        bounds = np.asarray(cut.offsets)
-        segments = cut.flatten()
-        numbered = segments.dictionary_encode()
-        number, distinct = numbered.indices.to_numpy().astype(np.int64), numbered.dictionary.to_pylist()
-        # The first segment of a text follows no space; a text that isn't cut is its own first segment.
-        heads = segments.take(pa.array(bounds[:-1])).to_pylist()
-        for k in np.flatnonzero(whole.to_numpy(zero_copy_only=False)):
-            heads[k] = texts[k].as_py()
-        bare = dict.fromkeys(heads)
-        for k, h in enumerate(bare):
-            bare[h] = k
-        number[bounds[:-1]] = [len(distinct) + bare[h] for h in heads]
-
-        values = list(map(self.spaced.get, distinct))
-        missing = {k: pieces(distinct[k]) for k, v in enumerate(values) if v is None}
-        first = [pieces(h) for h in bare]
-        spaced, other = self.spaced, self.bare
-        self._learn({h for h, _ in missing.values() if h not in spaced}, {p for ps in ((h, *r) for h, r in first) for p in ps if p not in other} | {p for _, r in missing.values() for p in r if p not in other})
-        for k, (head, rest) in missing.items():
-            values[k] = v = spaced[head] + b"".join([other[p] for p in rest]) if rest else spaced[head]
-            if rest:
-                spaced[distinct[k]] = v
-        values += [other[h] + b"".join([other[p] for p in r]) for h, r in first]
-        if max(map(len, distinct), default=0) > LONG:  # what is long isn't kept
-            for w in [distinct[k] for k in missing if len(distinct[k]) > LONG]:
-                spaced.pop(w, None)
-        for h, _ in first:
-            if len(h) > LONG:
-                other.pop(h, None)
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) >> 2
-        begins = np.cumsum(sizes) - sizes
-        ids = np.frombuffer(b"".join(values), "<u4")
-        counts = sizes[number]
-        ends = np.cumsum(counts)
-        take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[number] - ends + counts, counts)
-        return ids[take], np.append(0, ends)[bounds[1:]]
-
-    @staticmethod
-    def _room(memory: dict[str, bytes], most: int) -> dict[str, bytes]:
-        return memory if len(memory) < most else dict(islice(memory.items(), int(most * STAY)))
-
-    def _learn(self, spaced: set[str], bare: set[str]) -> None:
-        kinds = self.marked is not None or self.bytes is not None
-        plain = [w for w in spaced if kinds and _plain(w)]
-        single = [w for w in spaced if not (kinds and _plain(w))]
-        for k in range(0, len(plain), 2000):
-            some = plain[k : k + 2000]
-            ids = np.array(self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            if self.marked is not None:
-                ends = np.flatnonzero(self.marked[ids]) + 1
+        ends = np.cumsum([0, *map(len, found)]) >> 2
+        return np.frombuffer(b"".join(found), "<u4"), ends
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        plain = [self.cut is not None and not _ODD.search(t) for t in texts]
+        whole = iter(self._library([t for t, p in zip(texts, plain) if not p]))
+        pieces = [self.cut(t.lower() if self.lower else t) if p else None for t, p in zip(texts, plain)]
+        memory = self.memory
+        if len(memory) > MEMORY:
+            self.memory = memory = dict(islice(memory.items(), int(MEMORY * STAY)))
+        new = set(chain.from_iterable(p for p in pieces if p)).difference(memory)
+        self._learn(new)
+        known = memory.__getitem__
+        out = [next(whole) if p is None else b"".join(map(known, p)) for p in pieces]
+        for p in new:
+            if len(p) > LONG:
+                del memory[p]
+        return out
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _learn(self, pieces: set[str]) -> None:
+        tokenize, memory, space = self.model.tokenize, self.memory, chr(_BYTES[32])
+        for p in pieces:
+            if p.isascii() and p.isalpha():
+                written = p
+            elif p.isascii() and p[0] == " " and p[1:].isalpha():
+                written = space + p[1:]
             else:
-                ends = np.searchsorted(self.bytes[ids].cumsum(), np.cumsum([len(w.encode()) + 1 for w in some])) + 1
-            if len(ends) != len(some) or ends[-1] != len(ids):
-                single += some
-                continue
-            data, ends = ids.tobytes(), [0, *(ends * 4).tolist()]
-            self.spaced.update(zip(some, [data[a:b] for a, b in zip(ends, ends[1:])]))
-        for memory, words, space in ((self.spaced, single, " "), (self.bare, list(bare), "")):
-            for w, e in zip(words, self.library.encode_batch_fast([space + w for w in words], add_special_tokens=False)):
-                memory[w] = np.array(e.ids, "<u4").tobytes()
+                written = p.encode().decode("latin-1").translate(_BYTES)
+            memory[p] = array("I", [t.id for t in tokenize(written)]).tobytes()
 
 
 @functools.cache
