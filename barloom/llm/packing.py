@@ -6,29 +6,33 @@ the documents: neighbours on the curve have similar vocabulary. A hash of the ke
 equal documents spreads over the ranges. The documents' ids, laid end to end in that order, are cut every `longest`
 ids: all sequences are full but the last of the corpus.
 
-Ranges of the curve are the partitions. Their bounds are quantiles of all keys; the ids in each range are summed first,
-so every range knows where it begins in the stream and is packed by itself in one sorted pass. What is sent to the
-tasks is one bound and one start for each range, of at least range_bytes.
+The vectors are written once, with the ids. What is sorted is light: a document's place on the curve and its number of
+ids, dealt to ranges by sampled bounds. Sums of the ranges, then running sums within each, tell where every document
+begins in the stream, and each is cut by that alone, wherever its ids are. Nothing is gathered by the driver but the
+extremes. A very long text costs its task what it is long.
 
-Null text counts as empty: it has the end id alone. Rows may repeat, each is packed. An empty table gives an empty
+Null text counts as empty: it has the end id alone. Rows may repeat, each is packed; equal places go in order of the rows. An empty table gives an empty
 result. Keys are integers; a null key stays null. Other columns aren't carried.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, tokens
 
 LONGEST, END = 4096, 2
 DIMENSIONS, CELL_BITS, HASHED = 3, 10, 1024
+#: Documents that a task holds at once.
+AT_ONCE = 512
 
 
 def projection(seed: int = 17) -> np.ndarray:
@@ -71,49 +75,48 @@ def _vectors(vocabulary: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plane = projection()
         for b in batches:
-            for k in range(0, b.num_rows, 2048):
-                part = b.slice(k, 2048)
+            for k in range(0, b.num_rows, AT_ONCE):
+                part = b.slice(k, AT_ONCE)
                 ids, ends = tokens.encoder(vocabulary).encode(part.column(1))
-                rows = [ids[a:z] for a, z in zip(ends[:-1], ends[1:])]
+                rows = [ids[a:z] for a, z in itertools.pairwise(ends.tolist())]
                 at = np.array([hashed_vector(r) for r in rows]) @ plane
-                stored = [np.append(r, np.uint32(end)) for r in rows]
-                narrow = [r.astype("<u2").tobytes() if r.max() < 65536 else r.tobytes() for r in stored]
+                narrow = [np.append(r, np.uint32(end)).astype("<u2" if not len(r) or r.max() < 65536 else "<u4").tobytes() for r in rows]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(r) for r in stored], pa.int64()), *[pa.array(at[:, j]) for j in range(DIMENSIONS)], pa.array(narrow, pa.binary())],
+                    [part.column(0), pa.array(np.diff(ends) + 1), *[pa.array(at[:, j]) for j in range(DIMENSIONS)], pa.array(narrow, pa.binary())],
                     names=["key", "n", *[f"p{j}" for j in range(DIMENSIONS)], "ids"],
                 )
 
     return run
 
 
-def _cutter(longest: int, bases: list[int]):
+def _cutter(longest: int, digest: bool):
+    """Pieces of documents (key, n, ids, begin: their place in the stream)."""
+    names = ["key", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32" if digest else "ids"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, current = 0, -1
-        for b in (x.slice(k, 512) for x in batches for k in range(0, x.num_rows, 512)):
+        for b in (x.slice(k, AT_ONCE) for x in batches for k in range(0, x.num_rows, AT_ONCE)):
             out: list[tuple] = []
-            for key, n, ids, part in zip(*(b.column(c).to_pylist() for c in ("key", "n", "ids", "part"))):
-                if part != current:
-                    at, current = bases[part], part
-                width = len(ids) // n
-                ids = np.frombuffer(ids, f"<u{width}").astype("<u4")
-                start = 0
+            for key, n, ids, at in zip(*(b.column(c).to_pylist() for c in ("key", "n", "ids", "begin"))):
+                ids, start = np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4"), 0
                 while start < n:
                     size = min(n - start, longest - at % longest)
-                    out.append((key, start, size, n, at // longest, at % longest, ids[start : start + size].tobytes()))
+                    piece = ids[start : start + size].tobytes()
+                    out.append((key, start, size, n, at // longest, at % longest, zlib.crc32(piece) if digest else piece))
                     start, at = start + size, at + size
-            columns = list(zip(*out)) if out else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 6 else pa.int64()) for i, c in enumerate(columns)], names=["key", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+            columns = list(zip(*out)) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if x == "ids" else pa.int64()) for c, x in zip(columns, names)], names=names)
 
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text", end: int = END, longest: int = LONGEST, range_bytes: int = 64 << 20) -> DataFrame:
-    """Pieces: key, start (in the document), length, doc_tokens, sequence_id, offset (in the sequence), ids (unsigned 32-bit)."""
+def pack(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text", end: int = END, longest: int = LONGEST, range_rows: int = 1 << 20, digest: bool = False) -> DataFrame:
+    """Pieces: key, start (in the document), length, doc_tokens, sequence_id, offset (in the sequence), ids (unsigned 32-bit; or their ids_crc32)."""
     spark = docs.sparkSession
-    columns = ", ".join(f"p{j} double" for j in range(DIMENSIONS))
-    vectors = common.cut(docs.select(F.col(key).cast("long").alias("key"), text).mapInArrow(_vectors(vocabulary, end), f"key long, n long, {columns}, ids binary"), "pack-vectors", 2048)
     names = [f"p{j}" for j in range(DIMENSIONS)]
-    ends = vectors.agg(F.coalesce(F.sum("n"), F.lit(0)), *[f(c) for c in names for f in (F.min, F.max)]).first()
+    columns = ", ".join(f"{c} double" for c in names)
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(_vectors(vocabulary, end), f"key long, n long, {columns}, ids binary")
+    vectors = common.cut(rows.withColumn("row", F.monotonically_increasing_id()), "pack-vectors", AT_ONCE)
+    ends = vectors.agg(F.count(F.lit(1)), *[f(c) for c in names for f in (F.min, F.max)]).first()
     low = np.array([x or 0.0 for x in ends[1::2]])
     span = np.maximum(np.array([x or 0.0 for x in ends[2::2]]) - low, 1e-12)
 
@@ -122,41 +125,25 @@ def pack(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "
         cells = np.clip((np.stack([p0, p1, p2], axis=1) - low) / span * (1 << CELL_BITS), 0, (1 << CELL_BITS) - 1).astype(np.int64)
         return pd.Series(hilbert_index(cells))
 
-    tie = F.pmod(F.xxhash64(F.coalesce("key", F.lit(-1))), F.lit(1 << 32))
-    keyed = vectors.withColumn("curve", F.shiftleft(curve(*names), 32) + tie)
-    parts = max(-(-ends[0] * 2 // range_bytes), common.parallelism(spark))
-    light = common.cut(keyed.select("key", "n", "curve"), "pack-curve")
-    bounds = light.agg(F.percentile_approx("curve", F.lit([j / parts for j in range(1, parts)] or [1.0]), max(10_000, 20 * parts))).first()[0] or []
-    bounds = np.unique(np.array(bounds, np.int64))
-    shared = spark.sparkContext.broadcast(bounds)
-
-    @F.pandas_udf("int")
-    def part(curve: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(shared.value, curve.to_numpy(), side="right").astype(np.int32))
-
-    sums = light.groupBy(part("curve").alias("part")).agg(F.sum("n").alias("n"))
-    # One row for each range, in order.
-    bases, total = [0] * (len(bounds) + 1), 0
-    for p, n in sums.orderBy("part").toLocalIterator():
-        bases[p], total = total, total + n
-    dealt = keyed.withColumn("part", part("curve")).repartition(parts, "part").sortWithinPartitions("part", "curve", "key", "n")
-    begins = _cutter(longest, bases)
-    return dealt.select("key", "n", "ids", "part").mapInArrow(begins, "key long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary").withColumnRenamed("key", key)
-
-
-def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        crc = pa.array([zlib.crc32(x) for x in b.column("ids").to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", "start", "length")], crc, *[b.column(c) for c in ("doc_tokens", "sequence_id", "offset")]], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+    light = vectors.select("row", "n", curve(*names).alias("curve"), F.xxhash64("key").alias("tie"))
+    order = ["curve", "tie", "row"]
+    ranges = max(-(-ends[0] // range_rows), common.parallelism(spark))
+    ranged = common.cut(light.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id()), "pack-curve")
+    heads = common.starts(ranged.groupBy("part").agg(F.sum("n").alias("ids")), "part", "ids", "head").select("part", "head")
+    before = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = ranged.withColumn("run", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    begins = inside.join(heads, "part").select("row", (F.col("head") + F.col("run")).alias("begin"))
+    placed = vectors.select("row", "key", "n", "ids").join(begins, "row").select("key", "n", "ids", "begin")
+    last = "ids_crc32 long" if digest else "ids binary"
+    return placed.mapInArrow(_cutter(longest, digest), f"key long, start long, length long, doc_tokens long, sequence_id long, offset long, {last}").withColumnRenamed("key", key)
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    pieces = pack(docs, tokens.vocabulary("word_bpe_49k.json"))
-    return pieces.mapInArrow(_crc, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return pack(docs, tokens.vocabulary("word_bpe_49k.json"), digest=True)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed."""
+    """Pieces of all documents, packed. Nulls, repeats and empty tables as in pack(); other columns aren't read."""
     return packed(docs)
 
 
