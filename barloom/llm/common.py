@@ -45,6 +45,13 @@ def cut(df: DataFrame, label: str, rows_at_once: int = 0) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that cut() wrote, once nothing reads it any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @contextlib.contextmanager
 def batches_of(spark: SparkSession, rows: int):
     """For the jobs run inside: most rows of an Arrow batch."""

@@ -3,23 +3,33 @@
 Equal sets fall together first, by a fingerprint; what follows works on distinct sets (nodes).
 
 Light: sets of at most `boundary` shingles list all their subsets of every size that a partner may require (few
-elements may be missing, so they are few). Two sets link if and only if they share a subset of the required size.
+elements may be missing, so they are few). Two sets link if and only if they share a subset of the required size, and
+then both link with the smallest set that has it.
 Heavy: larger sets go to inverted lists. Under one order of all shingles, two sets that link share one within their
-prefixes; sizes and positions in the lists exclude most other pairs. Shingles that are frequent within tasks come last
-in that order. Only how long lists get depends on the counts, never which pairs are found, so their table may be bounded.
-The boundary is the one with the least cost, from the numbers of small sets and the mean length of lists.
-
-Lists are not expanded into all pairs of sets. Every set has a sketch of 512 parities; sets differ by at least as many
-shingles as their sketches by bits, which excludes pairs without a look at the sets. First every set is compared with
-the smallest set of the lists it is in, the one that it meets most often; sets that link so are of one component. Then
-the pairs of a list that are of different components still, and whose sizes, positions and sketches allow a link, are
-found (long lists in blocks): first the closest pair of any two components in a list, and, when those are compared, all
-that are of different components yet. So no link between components is lost. Every link is decided on whole sets.
-
-Null text, and text without words, has no shingles and no links; a text with fewer words than n is one shingle. Rows
-with equal keys are told apart by their text. Rows with a null key belong to their component, but can't name it or
-carry its text: one that has no copy with a key stays alone. An empty table gives an empty result. Other columns are
-not carried. Shingles and sets are known by 64-bit hashes.
+prefixes. Shingles that are frequent within tasks come last in that order. Only how long lists get depends on the
+counts, never which pairs are found, so their table may be bounded. The boundary is the one with the least cost, from
+the numbers of small sets and the lengths of the lists that their prefixes would make.
+
+Lists are never expanded into pairs of sets. Each list is known by its smallest set, its lead; lists of one lead make a
+family (lead, node), in which every set stands once however many lists it shares. Every set is compared with the lead
+that it meets most often; links found so join most of a family. A family that still holds several components is judged
+whole: a task (for large ones, one for each two blocks of a bounded number of sets and shingles) finds by size and
+sketch which sets might link with one of another component, and only their whole sets are then brought to the family,
+where a task links them, closest first, until no two components that link are apart. So a task emits fewer links than
+it has sets, and no link between components is lost. The work on a family that falls into many components, and has
+more than a block of sets, is quadratic in its blocks; rows that are sent grow with sets times blocks.
+
+A sketch has the parity of the shingles that fall on each of 512 bits or more (one for each shingle): sets differ by at
+least as many shingles as their sketches by bits, at any size. Every link is decided on whole sets.
+
+Hot shingles (those of the bounded table with HOT hits or more) have their leads by pre-aggregation and a broadcast of
+at most FREQUENT rows, so no task gathers their lists; a lead that many sets are compared with is salted.
+
+Null text, and text without words, has no shingles and no links; a text with fewer words than n is one shingle. Texts
+of any length are read whole. Rows with equal keys are told apart by their text. Rows with a null key belong to their
+component, but can't name it: one that has no copy with a key stays alone. Among equal counts the greatest lead is
+compared; ties don't change a result. An empty table gives an empty result. Other columns are not carried, whatever
+their names. Shingles and sets are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,16 +46,16 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-#: Words that a worker remembers; shingles that a task counts at once; least count in a task; shingles put last in the order.
-MEMORY, COUNTED, LOCAL, FREQUENT = 200_000, 1_500_000, 3, 1 << 18
+#: Words that a worker remembers; shingles that a task counts at once; least count in a task; shingles put last in the order; hits of a hot one.
+MEMORY, COUNTED, LOCAL, FREQUENT, HOT = 100_000, 1_500_000, 3, 1 << 18, 256
 #: Documents, and pairs twice over, whose texts or sets are handed to Python together.
-AT_ONCE = 1024
-#: Bits that mark the documents whose sets are wanted: 2 MB, whatever the corpus.
+AT_ONCE = 512
+#: Bits that mark the documents whose sets are wanted: 2 MB, whatever the corpus. Marks by chance only cost reading.
 MARKS = 1 << 24
 #: Largest size that may count as light.
 LIGHT = 24
-#: Bits of a sketch, and rows of a block of a long list.
-SKETCH, LIST = 512, 2048
+#: Least bits of a sketch; sets and shingles of a block of a family; pairs compared at once; sets that meet one copy of a lead.
+SKETCH, BLOCK, SHINGLES, COMPARED, FAN = 512, 2048, 1 << 20, 1 << 17, 64
 
 
 class _Hashes(dict):
@@ -89,8 +99,17 @@ def fingerprint(rows: np.ndarray) -> int:
 
 
 def sketch(rows: np.ndarray) -> bytes:
-    """Bit j: whether an odd number of shingles falls on j."""
-    return np.packbits(np.bincount(rows.view(np.int64) & (SKETCH - 1), minlength=SKETCH).astype(np.uint8) & 1).tobytes()
+    """Bit j: whether an odd number of shingles falls on j, of SKETCH bits or the next power of two above the set's size."""
+    bits = max(SKETCH, 1 << (len(rows) - 1).bit_length() if len(rows) else 0)
+    return np.packbits(np.bincount(rows.view(np.int64) & (bits - 1), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def folded(data: bytes, size: int = SKETCH // 8) -> np.ndarray:
+    """The sketch of fewer bits that the same set has."""
+    words = np.frombuffer(data, np.uint64)
+    while len(words) * 8 > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
 
 
 def required(a: int, b: int, percent: int) -> int:
@@ -108,10 +127,11 @@ def subset_count(n: int, percent: int) -> int:
 
 
 def light_boundary(sizes: dict[int, int], list_length: float, percent: int) -> int:
-    """The boundary of least cost. sizes: number of sets of each size up to LIGHT; a list entry costs itself and what is read at it."""
+    """The boundary of least cost. sizes: number of sets of each size up to LIGHT; list_length: of the list that an entry
+    of a small set's prefix is in, on average. An entry costs itself and the others of its list; a subset itself."""
     def cost(x: int) -> float:
-        entries = lambda n: (n - lowest(n, percent) + 1) * (2 + list_length)
-        light = sum(c * subset_count(n, percent) for n, c in sizes.items() if n <= x)
+        entries = lambda n: (n - lowest(n, percent) + 1) * (1 + list_length)
+        light = sum(c * 2 * subset_count(n, percent) for n, c in sizes.items() if n <= x)
         return light + sum(c * entries(n) for n, c in sizes.items() if n > x or (x and n >= lowest(x + 1, percent)))
 
     return min(range(LIGHT + 1), key=cost)
@@ -121,11 +141,11 @@ def _batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("token", pa.int64()), ("hits", pa.int64()), ("sketch", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()), ("small", pa.binary()), ("token", pa.int64()), ("hits", pa.int64())])
 
 
 def _describe(n: int):
-    """Rows for documents (doc_id, n, node), and rows (token, hits) for shingles of LOCAL or more distinct sets of a task."""
+    """Rows for documents, and rows (token, hits) for shingles of LOCAL or more distinct sets of a task. small: the set itself, up to LIGHT."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         kept, size = [], 0
@@ -134,14 +154,14 @@ def _describe(n: int):
             token, hits = np.unique(np.concatenate(kept), return_counts=True)
             often = hits >= LOCAL
             none = [None] * int(often.sum())
-            return _batch([none, none, none, token[often].view(np.int64), hits[often], none], _SETS)
+            return _batch([*[none] * 6, token[often].view(np.int64), hits[often]], _SETS)
 
         for b in batches:
             rows = []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for key, text, digest in zip(*(b.column(k).to_pylist() for k in range(3))):
                 s = shingles(text, n)
                 node = fingerprint(s)
-                rows.append((key, len(s), node, None, None, sketch(s)))
+                rows.append((key, digest, len(s), node, sketch(s), s.tobytes() if 0 < len(s) <= LIGHT else None, None, None))
                 if len(s) and node not in seen:
                     seen.add(node)
                     kept.append(s)
@@ -153,49 +173,80 @@ def _describe(n: int):
                 yield _batch(list(zip(*rows)), _SETS)
         if kept:
             yield counted()
+        _known.clear()
 
     return run
 
 
-_ENTRIES = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("need", pa.int32())])
+def _rare_first(s: np.ndarray, frequent: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The set in the order of all shingles, and the hits of each."""
+    if not len(frequent):
+        return s, np.zeros(len(s), np.int64)
+    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+    often = np.where(frequent[at] == s, hits[at], 0)
+    order = np.argsort(often, kind="stable")
+    return s[order], often[order]
 
 
-def _entries(n: int, percent: int, boundary: int, shared):
-    """List entries (pos) of heavy sets and subsets (need) of light ones."""
+def _small_prefixes(percent: int, shared):
+    """Tokens of the prefixes of small sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, hits = shared.value
-        seen: set[int] = set()
         for b in batches:
-            token, node, length, pos, need = [], [], [], [], []
+            sets = [np.frombuffer(x, np.uint64) for x in b.column(0).to_pylist()]
+            found = [_rare_first(s, *shared.value)[0][: len(s) - lowest(len(s), percent) + 1] for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["token"])
+
+    return run
+
+
+def _subsets(percent: int):
+    """Rows (token, need, node, n): the subsets of small sets (node, small)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(k, 64) for x in batches for k in range(0, x.num_rows, 64)):
+            token, need, node, length = [], [], [], []
+            for who, small in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                s = np.frombuffer(small, np.uint64)
+                size, mixed = len(s), _mix(s)
+                for gone in range(size - lowest(size, percent) + 1):
+                    without = np.array(list(itertools.combinations(range(size), gone)), np.int64).reshape(math.comb(size, gone), gone)
+                    sums = mixed.sum() - mixed[without].sum(axis=1, dtype=np.uint64)
+                    token.append(_mix(sums + np.uint64(size - gone)))
+                    need.append(np.full(len(sums), size - gone))
+                    node.append(np.full(len(sums), who))
+                    length.append(np.full(len(sums), size))
+            if token:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), *[pa.array(np.concatenate(x)) for x in (need, node, length)]], names=["token", "need", "node", "n"])
+
+    return run
+
+
+_ENTRIES = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("hot", pa.bool_())])
 
-            def add(rows: np.ndarray, who: int, size: int, at, least) -> None:
-                token.append(rows)
-                node.append(np.full(len(rows), who))
-                length.append(np.full(len(rows), size))
-                pos.append(np.arange(len(rows)) if at is None else np.full(len(rows), at))
-                need.append(np.full(len(rows), least))
 
+def _entries(n: int, percent: int, boundary: int, shared):
+    """List entries of heavy sets, and of the light ones that a heavy set may link with."""
+    least = HOT
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            token, hot, node, length = [], [], [], []
             for text in b.column(0).to_pylist():
                 s = shingles(text, n)
                 who, size = fingerprint(s), len(s)
-                if not size or who in seen:
+                if not size or who in seen or (size <= boundary and size < lowest(boundary + 1, percent)):
                     continue
                 seen.add(who)
-                if size <= boundary:
-                    total = _mix(s).sum()
-                    for gone in range(size - lowest(size, percent) + 1):
-                        sums = np.array([total - np.uint64(0) if not c else total - _mix(np.array(c, np.uint64)).sum() for c in itertools.combinations(s.tolist(), gone)], np.uint64)
-                        add(_mix(sums + np.uint64(size - gone)), who, size, -1, size - gone)
-                if size > boundary or size >= lowest(boundary + 1, percent):
-                    prefix = size - lowest(size, percent) + 1
-                    if len(frequent):
-                        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                        often = np.where(frequent[at] == s, hits[at], 0)
-                        if often.any():
-                            s = s[np.argsort(often, kind="stable")]
-                    add(s[:prefix], who, size, None, 0)
+                prefix = size - lowest(size, percent) + 1
+                s, often = _rare_first(s, *shared.value)
+                token.append(s[:prefix])
+                hot.append(often[:prefix] >= least)
+                node.append(who)
+                length.append(size)
             if token:
-                yield _batch([np.concatenate(token).view(np.int64), *map(np.concatenate, (node, length, pos, need))], _ENTRIES)
+                counts = [len(x) for x in token]
+                yield _batch([np.concatenate(token).view(np.int64), np.repeat(node, counts), np.repeat(length, counts), np.concatenate([np.arange(c) for c in counts]), np.concatenate(hot)], _ENTRIES)
+        _known.clear()
 
     return run
 
@@ -208,101 +259,137 @@ def _sets_of(n: int, shared):
             texts = b.column(1).filter(pa.array((shared.value[mark >> 5] >> (mark & 31) & 1).astype(bool)))
             sets = [shingles(x, n) for x in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "rows"])
+        _known.clear()
 
     return run
 
 
+def links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets link."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    same = int((y[at] == x).sum())
+    return 100 * same >= percent * (len(x) + len(y) - same)
+
+
 def _linked(percent: int):
+    """Of pairs (u, v, x, y) those that link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for u, v, x, y in zip(*(b.column(k).to_pylist() for k in range(4))):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                same = int((y[at] == x).sum())
-                if 100 * same >= percent * (len(x) + len(y) - same):
-                    out.append((u, v))
+            rows = zip(*(b.column(k).to_pylist() for k in range(4)))
+            out = [(u, v) for u, v, x, y in rows if links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     return run
 
 
-def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64)
-
-
-def _words(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
-
-
 def _within(a: np.ndarray, b: np.ndarray, percent: int, distance: np.ndarray) -> np.ndarray:
     """Whether sets of sizes a and b may link by the least number of shingles in which they differ."""
     return distance <= a + b - 2 * (-(-percent * (a + b) // (100 + percent)))
 
 
-_PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("d", pa.int64())])
+def _distances(a: np.ndarray, b: np.ndarray, n: np.ndarray, base: np.ndarray, sketches: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (a, b: rows) those whose sketches allow a link, with the distance; large ones by all bits that both have."""
+    d = np.bitwise_count(base[a] ^ base[b]).sum(axis=1).astype(np.int64)
+    ok = _within(n[a], n[b], percent, d)
+    a, b, d = a[ok], b[ok], d[ok]
+    for k in np.flatnonzero((n[a] > SKETCH) & (n[b] > SKETCH)):
+        size = min(len(sketches[a[k]]), len(sketches[b[k]]))
+        d[k] = np.bitwise_count(folded(sketches[a[k]], size) ^ folded(sketches[b[k]], size)).sum()
+    ok = _within(n[a], n[b], percent, d)
+    return a[ok], b[ok], d[ok]
 
 
 def _near(percent: int):
-    """Pairs (u, v, nu, nv, su, sv) whose sketches allow a link, with the sketches' distance."""
+    """Pairs (u, v) of rows (u, v, nu, nv, su, sv) whose sketches allow a link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             u, v, nu, nv = (b.column(k).to_numpy() for k in range(4))
-            d = _distance(_words(b.column(4)), _words(b.column(5)))
-            ok = _within(nu, nv, percent, d)
-            yield _batch([u[ok], v[ok], d[ok]], _PAIRS)
+            sketches = b.column(4).to_pylist() + b.column(5).to_pylist()
+            base = np.array([folded(s) for s in sketches]).reshape(-1, SKETCH // 64)
+            a, _, _ = _distances(np.arange(len(u)), np.arange(len(u)) + len(u), np.concatenate([nu, nv]), base, sketches, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(u[a]), pa.array(v[a])], names=["u", "v"])
 
     return run
 
 
-def _list_pairs(percent: int, closest: bool):
-    """Pairs of different components within lists, or only the closest of any two components in a list; rows come
-    sorted by (token, i, j), columns as named below."""
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        token, i, j, own, node, n, pos, part = (t.column(c).to_numpy() for c in ("token", "i", "j", "own", "node", "n", "pos", "component"))
-        bits = _words(t.column("sketch"))
-        group = np.append(0, np.cumsum((np.diff(token) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)))
-        index = n - -(-2 * percent * n // (100 + percent)) + 1
-        found = []
-        for k in range(1, int(np.bincount(group).max()) if len(group) else 1):
-            a = np.flatnonzero(group[:-k] == group[k:])
-            b = a + k
-            ok = (part[a] != part[b]) & ((i[a] == j[a]) | (own[a] != own[b]))
-            a, b = a[ok], b[ok]
-            swap = (n[a] > n[b]) | ((n[a] == n[b]) & (node[a] > node[b]))
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            need = -(-percent * (n[a] + n[b]) // (100 + percent))
-            ok = (100 * n[a] >= percent * n[b]) & (pos[a] < index[a]) & (1 + np.minimum(n[a] - pos[a] - 1, n[b] - pos[b] - 1) >= need)
-            a, b = a[ok], b[ok]
-            d = _distance(bits[a], bits[b])
-            ok = _within(n[a], n[b], percent, d)
-            if ok.any():
-                a, b = a[ok], b[ok]
-                sides = np.sort(np.stack([part[a], part[b]], axis=1), axis=1)
-                found.append(np.column_stack([token[a], sides, d[ok], np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]))
-        if not found:
-            return _batch([[], [], []], _PAIRS)
-        rows = np.concatenate(found)
-        if closest:
-            rows = rows[np.lexsort(rows.T[::-1])]
-            rows = rows[np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1))]
-        rows = np.unique(rows[:, 3:], axis=0)
-        return _batch([rows[:, 1], rows[:, 2], rows[:, 0]], _PAIRS)
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups of rows that come sorted by (lead, i, j), each with a column for the group."""
+    def grouped(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        keys = [t.column(c).to_numpy() for c in ("lead", "i", "j")]
+        change = np.append(False, np.any([k[1:] != k[:-1] for k in keys], axis=0)) if len(t) else np.zeros(0, bool)
+        return t, np.cumsum(change)
+
+    held: pa.Table | None = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        held = t if held is None else pa.concat_tables([held, t])
+        _, group = grouped(held)
+        if len(group) and group[-1]:  # all groups but the last are whole
+            at = int(np.searchsorted(group, group[-1]))
+            yield held.slice(0, at).append_column("group", pa.array(group[:at]))
+            held = held.slice(at)
+    if held is not None and len(held):
+        yield held.append_column("group", pa.array(grouped(held)[1]))
+
+
+def _candidates(t: pa.Table, sketches: list[bytes], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows of a group that are of different components, and of different blocks where there are two, and might link."""
+    group, i, j, own, n, part = (t.column(c).to_numpy() for c in ("group", "i", "j", "own", "n", "component"))
+    base = np.array([folded(s) for s in sketches]).reshape(-1, SKETCH // 64)
+    order = np.lexsort([n, group])
+    # Sorted by group and size, the larger partners that a row may have follow it.
+    place = group[order].astype(np.int64) << 32 | n[order]
+    last = np.searchsorted(place, (group[order].astype(np.int64) << 32) + 100 * n[order] // percent, side="right")
+    counts = last - np.arange(len(order)) - 1
+    ends = np.cumsum(counts)
+    at = 0
+    while at < len(order):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COMPARED, side="right")))
+        few = counts[at:end]
+        a = np.repeat(np.arange(at, end), few)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(few) - few, few)
+        a, b, at = order[a], order[b], end
+        ok = (part[a] != part[b]) & ((i[a] == j[a]) | (own[a] != own[b]))
+        yield _distances(a[ok], b[ok], n, base, sketches, percent)
+
+
+def _undecided(percent: int):
+    """The rows of families that might link with a row of another component."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_groups(batches):
+            open_ = np.zeros(len(t), bool)
+            for a, b, _ in _candidates(t, t.column("sketch").to_pylist(), percent):
+                open_[a] = open_[b] = True
+            yield from t.drop_columns(["sketch", "group"]).filter(pa.array(open_)).combine_chunks().to_batches()
+
+    return run
+
 
+def _spanning(percent: int):
+    """Links (u, v), decided on whole sets, that join all components of each group that links join."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            keys = [held.column(c).to_numpy() for c in ("token", "i", "j")]
-            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0))
-            if len(change):  # all groups but the last are whole
-                yield pairs(held.slice(0, int(change[-1]) + 1))
-                held = held.slice(int(change[-1]) + 1)
-        if held is not None and len(held):
-            yield pairs(held)
+        for t in _whole_groups(batches):
+            sets = [np.frombuffer(x, np.uint64) for x in t.column("rows").to_pylist()]
+            group, node, part = (t.column(c).to_pylist() for c in ("group", "node", "component"))
+            up: dict[tuple[int, int], tuple[int, int]] = {}
+
+            def top(x: tuple[int, int]) -> tuple[int, int]:
+                while (y := up.get(x, x)) != x:
+                    up[x] = up.get(y, y)
+                    x = y
+                return x
+
+            out = []
+            for a, b, d in _candidates(t, [sketch(s) for s in sets], percent):
+                for k in np.argsort(d, kind="stable"):
+                    p, q = a[k], b[k]
+                    x, y = top((group[p], part[p])), top((group[q], part[q]))
+                    if x != y and links(sets[p], sets[q], percent):
+                        up[x] = y
+                        out.append((node[p], node[q]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     return run
 
@@ -315,96 +402,131 @@ def _close(small: tuple[Column, Column], large: tuple[Column, Column], percent:
     return (100 * a >= percent * b) & (i < index) & (1 + F.least(a - i - 1, b - j - 1) >= need)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of pairs (u, v) those that link, decided on whole sets. holders: node and a document that has it."""
-    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+def _sets(nodes: DataFrame, docs: DataFrame, holders: DataFrame, n: int) -> DataFrame:
+    """Rows (node, rows) with the whole sets of the given nodes (distinct). holders: node and a document that has it."""
     # A bitmap of MARKS bits tells nearly all other documents where they are read, so no text is shuffled.
     mark = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
-    wanted = holders.join(ends, "node", "left_semi").select(mark.alias("m"))
+    wanted = holders.join(nodes, "node", "left_semi").select(mark.alias("m"))
     words = wanted.groupBy(F.floor(F.col("m") / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(m % 32 as int))")).alias("b")).toPandas()
     bits = np.zeros(MARKS // 32, np.uint32)
     bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
     texts = docs.select(mark.alias("mark"), "text")
-    found = texts.mapInArrow(_sets_of(n, docs.sparkSession.sparkContext.broadcast(bits)), "node long, rows binary")
-    sets = common.cut(found, "sets", AT_ONCE).dropDuplicates(["node"])
-    left = pairs.join(sets.select(F.col("node").alias("u"), F.col("rows").alias("x")), "u")
-    both = left.join(sets.select(F.col("node").alias("v"), F.col("rows").alias("y")), "v").select("u", "v", "x", "y")
-    return common.cut(both.mapInArrow(_linked(percent), "u long, v long"), "linked", AT_ONCE // 2)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    found = common.cut(texts.mapInArrow(_sets_of(n, shared), "node long, rows binary"), "sets", AT_ONCE)
+    shared.destroy()
+    return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
-def jaccard_join(docs: DataFrame, *, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (least key of the documents that links reach), one row for each of docs."""
+def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of pairs (u, v) those that link, decided on whole sets. A v that many u meet goes out in copies, FAN u to each."""
+    ends = common.cut(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "ends")
+    sets = _sets(ends, docs, holders, n)
+    fans = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("fan"))
+    left = pairs.join(fans, "v").withColumn("salt", F.pmod(F.xxhash64("u"), F.col("fan")).cast("int")).join(sets.select(F.col("node").alias("u"), F.col("rows").alias("x")), "u")
+    right = sets.join(fans, F.col("node") == F.col("v")).select("v", F.col("rows").alias("y"), F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"))
+    both = left.join(right, ["v", "salt"]).select("u", "v", "x", "y")
+    return common.cut(both.mapInArrow(_linked(percent), "u long, v long"), "linked", AT_ONCE)
+
+
+def _light(nodes: DataFrame, boundary: int, percent: int) -> DataFrame:
+    """Links (u, v) of small sets: those that share a subset of the required size, each with the smallest of them."""
+    subsets = common.cut(nodes.filter(F.col("n") <= boundary).select("node", "small").mapInArrow(_subsets(percent), "token long, need long, node long, n long"), "subsets")
+    leads = subsets.groupBy("token", "need").agg(F.min(F.struct("n", "node")).alias("lead"), F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a <> _b").drop("_a", "_b")
+    met = subsets.join(leads, ["token", "need"]).filter((100 + percent) * F.col("need") >= percent * (F.col("n") + F.col("lead.n")))
+    return met.select(F.col("node").alias("u"), F.col("lead.node").alias("v")).filter("u <> v").distinct()
+
+
+def _families(docs: DataFrame, boundary: int, shared, n: int, percent: int) -> DataFrame:
+    """Rows (lead, node, n, met, close): the lists of heavy sets, by their leads. met: in how many lists; close: one allows a link with the lead."""
+    entries = common.cut(docs.select("text").mapInArrow(_entries(n, percent, boundary, shared), "token long, node long, n int, pos int, hot boolean"), "entries", AT_ONCE)
+    index = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent)) + 1
+    lead = F.min(F.when(F.col("pos") < index, F.struct("n", "node", "pos")))
+    by = Window.partitionBy("token")
+    cold = entries.filter("NOT hot").select("token", "node", "n", "pos").withColumns({"lead": lead.over(by), "_a": F.min("node").over(by), "_b": F.max("node").over(by)})
+    # Hot shingles are of the bounded table, so there are at most FREQUENT leads.
+    leads = entries.filter("hot").groupBy("token").agg(lead.alias("lead"), F.min("node").alias("_a"), F.max("node").alias("_b"))
+    hot = entries.filter("hot").select("token", "node", "n", "pos").join(F.broadcast(common.cut(leads, "hot-leads")), "token")
+    rows = cold.unionByName(hot).filter("_a <> _b AND lead IS NOT NULL")
+    close = (F.col("node") != F.col("lead.node")) & _close((F.col("lead.n"), F.col("lead.pos")), (F.col("n"), F.col("pos")), percent)
+    found = common.cut(rows.groupBy(F.col("lead.node").alias("lead"), "node").agg(F.min("n").cast("long").alias("n"), F.count(F.lit(1)).alias("met"), F.max(close).alias("close")), "families")
+    common.discard(entries)
+    return found
+
+
+def _across(families: DataFrame, known: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links between the components of each family that holds several."""
+    placed = families.select("lead", "node", "n").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / SHINGLES)).cast("int")
+    mixed = placed.groupBy("lead").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), blocks.alias("_blocks")).filter("_a <> _b").drop("_a", "_b")
+    rest = placed.join(mixed, "lead").withColumn("own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")).withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rest = rest.select("lead", F.least("own", "_c").alias("i"), F.greatest("own", "_c").alias("j"), "own", "node", "n", "component").join(nodes.select("node", "sketch"), "node")
+    dealt = lambda df: df.repartition(F.col("lead"), F.col("i"), F.col("j")).sortWithinPartitions("lead", "i", "j")
+    kind = "lead long, i int, j int, own int, node long, n long, component long"
+    columns = ["lead", "i", "j", "own", "node", "n", "component"]
+    todo = common.cut(dealt(rest.select(*columns, "sketch")).mapInArrow(_undecided(percent), kind), "undecided", 8 * AT_ONCE)
+    whole = _sets(common.cut(todo.select("node").distinct(), "ends"), docs, nodes, n)
+    return common.cut(dealt(todo.join(whole, "node").select(*columns, "rows")).mapInArrow(_spanning(percent), "u long, v long"), "spanning", AT_ONCE)
+
+
+def _placed(docs: DataFrame, n: int, percent: int, boundary: int | None = None) -> DataFrame:
+    """For each row of docs (doc_id, text): doc_id, digest (of the text), n, component_id, kept (it stands for its component: the
+    least key, of equal keys the least set). boundary: if not the one of least cost."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    described = common.cut(docs.mapInArrow(_describe(n), "doc_id long, n long, node long, token long, hits long, sketch binary"), "described", AT_ONCE)
-    documents = described.filter("token IS NULL").select("doc_id", "n", "node")
-    nodes = described.filter("token IS NULL AND n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
-    nodes = common.cut(nodes, "nodes")
+    described = docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(_describe(n), "doc_id long, digest long, n long, node long, sketch binary, small binary, token long, hits long")
+    described = common.cut(described, "described", AT_ONCE)
+    rows = described.filter("token IS NULL")
+    nodes = common.cut(rows.filter("n > 0").groupBy("node").agg(*[F.min(c).alias(c) for c in ("doc_id", "n", "sketch", "small")]), "nodes")
 
     counts = described.filter("token IS NOT NULL").groupBy("token").agg(F.sum("hits").alias("hits"))
     often = np.array(counts.orderBy(F.desc("hits"), "token").limit(FREQUENT).toPandas(), np.int64).reshape(-1, 2)
     token = often[:, 0].astype(np.int64).view(np.uint64)
     order = np.argsort(token)
     shared = spark.sparkContext.broadcast((token[order], often[order, 1]))
-    small = {r[0]: r[1] for r in documents.filter(F.col("n").between(1, LIGHT)).groupBy("n").count().collect()}
-    total = documents.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    squares = counts.agg(F.coalesce(F.sum(F.col("hits").cast("double") * F.col("hits")), F.lit(0.0))).first()[0]
-    boundary = light_boundary(small, squares / max(1, total), percent)
-
-    entries = docs.select("text").mapInArrow(_entries(n, percent, boundary, shared), "token long, node long, n int, pos int, need int")
-    by = Window.partitionBy("token", "need")
-    index = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent)) + 1
-    lead = F.min(F.when((F.col("need") > 0) | (F.col("pos") < index), F.struct("n", "node", "pos"))).over(by)
-    lists = entries.select("*", lead.alias("lead"), F.min("node").over(by).alias("_a"), F.max("node").over(by).alias("_b"))
-    lists = common.cut(lists.filter("_a <> _b AND lead IS NOT NULL").drop("_a", "_b"), "lists", AT_ONCE)
-
-    # Light: sets that share a subset of the required size link, and the smallest of them links with each.
-    light = lists.filter(F.col("need") > 0).filter((100 + percent) * F.col("need") >= percent * (F.col("n") + F.col("lead.n")))
-    light = light.select(F.col("node").alias("u"), F.col("lead.node").alias("v")).filter("u <> v").distinct()
-
-    # Heavy: each set with the smallest set of its lists first, the one that it meets most often.
-    heavy = lists.filter(F.col("need") == 0)
-    near = heavy.filter((F.col("node") != F.col("lead.node")) & _close((F.col("lead.n"), F.col("lead.pos")), (F.col("n"), F.col("pos")), percent))
-    met = near.groupBy(F.col("node").alias("u"), F.col("lead.node").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    first = common.cut(met.groupBy("u").agg(F.max_by("v", F.struct("c", "v")).alias("v")), "first-pairs")
+    if boundary is None:
+        small = nodes.filter(F.col("n") <= LIGHT)
+        sizes = {r[0]: r[1] for r in small.groupBy("n").count().collect()}
+        lists = small.select("small").mapInArrow(_small_prefixes(percent, shared), "token long").groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("c"))
+        boundary = light_boundary(sizes, lists.agg(F.coalesce(F.sum(F.col("c") * F.col("c")) / F.sum("c"), F.lit(0.0))).first()[0], percent)
+
+    families = _families(docs, boundary, shared, n, percent)
+    shared.destroy()
+    first = families.filter("close AND lead <> node").groupBy(F.col("node").alias("u")).agg(F.max_by("lead", F.struct("met", "lead")).alias("v"))
     at = lambda side: nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
-    sketched = first.join(at("u"), "u").join(at("v"), "v").select("u", "v", "nu", "nv", "su", "sv")
-    tested = common.cut(sketched.mapInArrow(_near(percent), "u long, v long, d long").select("u", "v"), "tested")
-    links = common.cut(light.unionByName(_verified(tested, docs, nodes, n, percent)), "links")
-
-    # Then the pairs of lists that hold several components yet.
-    for closest in (True, False):
-        known = components(links)
-        placed = heavy.select("token", "node", "n", "pos").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = placed.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("_blocks")).filter("_a <> _b")
-        rest = placed.join(mixed.select("token", "_blocks"), "token").join(nodes.select("node", "sketch"), "node")
-        own = F.pmod("node", "_blocks").cast("int")
-        rest = rest.withColumn("own", own).withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        rest = rest.select("token", F.least("own", "_c").alias("i"), F.greatest("own", "_c").alias("j"), "own", "node", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "component", "sketch")
-        dealt = rest.repartition(F.col("token"), F.col("i"), F.col("j")).sortWithinPartitions("token", "i", "j")
-        pairs = dealt.mapInArrow(_list_pairs(percent, closest), "u long, v long, d long").select("u", "v").distinct()
-        todo = common.cut(pairs.join(tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"), "todo")
-        if not todo.isEmpty():
-            links = common.cut(links.unionByName(_verified(todo, docs, nodes, n, percent)), "links")
-            tested = tested.unionByName(todo)
-    known = components(links)
+    near = first.join(at("u"), "u").join(at("v"), "v").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(_near(percent), "u long, v long")
+    found = _verified(common.cut(near, "near", AT_ONCE), docs, nodes, n, percent)
+    if boundary:
+        found = found.unionByName(_light(nodes, boundary, percent))
+    found = common.cut(found, "links")
+    more = _across(families, components(found), docs, nodes, n, percent)
+    known = components(found.unionByName(more))
 
     named = nodes.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    members = named.join(names, "component").select("node", "component_id")
-    out = documents.join(members, "node", "left")
-    own = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    keeper = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("keeper")
+    members = named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id"), keeper), "component").select("node", "component_id", "keeper")
+    out = rows.select("doc_id", "digest", "n", "node").join(members, "node", "left")
+    kept = (F.col("node") == F.col("keeper.node")) & F.col("doc_id").eqNullSafe(F.col("keeper.doc_id"))
+    return out.select("doc_id", "digest", "n", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(kept, F.lit(True)).alias("kept"))
+
+
+def jaccard_join(docs: DataFrame, *, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", boundary: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id (least key of the documents that links reach), one row for each of docs."""
+    placed = _placed(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), n, percent, boundary)
+    return placed.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id. Documents without words stay.
+    """One document of each group of near duplicates: the one with the least id, rows without an id last.
 
-    Rows that share an id count as one document; rows without an id stay.
+    Rows that share an id are told apart by their text; of rows equal in both one stays. Rows without words all stay.
+    Columns stay as they are, whatever their names. An empty table gives an empty one.
     """
-    alone = jaccard_join(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(alone, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    placed = _placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), 5, 80)
+    digest = common.spare_name(docs, "_digest")
+    alone = placed.filter("kept AND n > 0").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_d")).distinct()
+    worded = F.coalesce(F.col("text").rlike(common.WORD), F.lit(False))
+    marked = docs.filter(worded).withColumn(digest, F.xxhash64("text"))
+    kept = marked.join(alone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col(digest) == F.col("_d")), "left_semi")
+    return kept.dropDuplicates(["doc_id", digest]).select(*docs.columns).unionByName(docs.filter(~worded))
 
 
 def op9_size_aware_join(spark: SparkSession, sf_dir: str) -> DataFrame:

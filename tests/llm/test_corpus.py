@@ -254,8 +254,11 @@ def brute_components(rows, n, percent):
     return sorted((k, len(x), find(k)) for k, x in s)
 
 
-@pytest.mark.parametrize("n,percent", [(4, 85), (5, 80)])
-def test_jaccard_equals_brute_force(spark, rows, n, percent):
+@pytest.mark.parametrize("n,percent,boundary", [(4, 85, None), (5, 80, None), (4, 85, 0), (5, 80, 10), (4, 85, 24)])
+def test_jaccard_equals_brute_force(spark, rows, n, percent, boundary, monkeypatch):
+    if boundary is not None:  # large families in several blocks, hot shingles, salted leads
+        for name, value in (("BLOCK", 16), ("HOT", 8), ("FAN", 4)):
+            monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(6)
     more, base = list(rows), sentence(rng, 100).split()
     for i in range(60):  # a family of near copies, some of which link and some don't
@@ -265,8 +268,18 @@ def test_jaccard_equals_brute_force(spark, rows, n, percent):
         more.append((1000 + i, " ".join(w)))
     for i in range(60):  # short texts
         more.append((2000 + i, " ".join(rng.choice(WORDS[:3]) for _ in range(rng.randint(1, 14)))))
+    for i in range(60):  # texts of 10 to 28 words, some a word apart
+        w = sentence(random.Random(i // 4), 10 + i // 4 % 18).split()
+        w[rng.choice([0, -1])] = rng.choice(WORDS)
+        more.append((3000 + i, " ".join(w)))
+    long = sentence(rng, 3000).split()
+    for i in range(8):  # long texts, some of which link
+        w = list(long)
+        for _ in range(20 + 25 * i):
+            w[rng.randrange(len(w))] = rng.choice(WORDS) + "y"
+        more.append((4000 + i, " ".join(w)))
     df = spark.createDataFrame([(r[0], r[1], "clash") for r in more], "doc_id long, text string, node string").repartition(5)
-    got = sorted(map(tuple, jaccard.jaccard_join(df, n=n, percent=percent).collect()))
+    got = sorted(map(tuple, jaccard.jaccard_join(df, n=n, percent=percent, boundary=boundary).collect()))
     assert got == brute_components(more, n, percent)
 
 
