@@ -7,7 +7,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What separates words in every operator of this subpackage.
@@ -81,6 +81,12 @@ def spare_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def carried(docs: DataFrame, drop: tuple[str, ...] = (), **named: Column) -> DataFrame:
+    """The named columns, and row: a struct of docs' own columns (but for drop). So no name of docs meets one of an operator's."""
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in drop]
+    return docs.select(*[c.alias(name) for name, c in named.items()], (F.struct(*own) if own else F.struct(F.lit(0).alias("_none"))).alias("row"))
+
+
 def starts(totals: DataFrame, key: str, value: str, out: str, block: int = 4096) -> DataFrame:
     """Running total of value before each key (a non-negative integer, one row each).
 

@@ -407,9 +407,9 @@ def _sets(nodes: DataFrame, docs: DataFrame, holders: DataFrame, n: int) -> Data
     # A bitmap of MARKS bits tells nearly all other documents where they are read, so no text is shuffled.
     mark = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
     wanted = holders.join(nodes, "node", "left_semi").select(mark.alias("m"))
-    words = wanted.groupBy(F.floor(F.col("m") / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(m % 32 as int))")).alias("b")).toPandas()
+    words = wanted.groupBy(F.floor(F.col("m") / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(m % 32 as int))")).alias("b")).toArrow()
     bits = np.zeros(MARKS // 32, np.uint32)
-    bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    bits[words["w"].to_numpy()] = words["b"].to_numpy()
     texts = docs.select(mark.alias("mark"), "text")
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     found = common.cut(texts.mapInArrow(_sets_of(n, shared), "node long, rows binary"), "sets", AT_ONCE)
@@ -478,10 +478,10 @@ def _placed(docs: DataFrame, n: int, percent: int, boundary: int | None = None)
     nodes = common.cut(rows.filter("n > 0").groupBy("node").agg(*[F.min(c).alias(c) for c in ("doc_id", "n", "sketch", "small")]), "nodes")
 
     counts = described.filter("token IS NOT NULL").groupBy("token").agg(F.sum("hits").alias("hits"))
-    often = np.array(counts.orderBy(F.desc("hits"), "token").limit(FREQUENT).toPandas(), np.int64).reshape(-1, 2)
-    token = often[:, 0].astype(np.int64).view(np.uint64)
+    often = counts.orderBy(F.desc("hits"), "token").limit(FREQUENT).toArrow()
+    token, hits = often["token"].to_numpy().view(np.uint64), often["hits"].to_numpy()
     order = np.argsort(token)
-    shared = spark.sparkContext.broadcast((token[order], often[order, 1]))
+    shared = spark.sparkContext.broadcast((token[order], hits[order]))
     if boundary is None:
         small = nodes.filter(F.col("n") <= LIGHT)
         sizes = {r[0]: r[1] for r in small.groupBy("n").count().collect()}

@@ -2,15 +2,17 @@
 
 A word's features are affixes (to four letters), letter n-grams (two and three, with word ends), its own form if it is
 in a language's lexicon, and the lexicons that it is in; they are hashed to a weight table. Transition weights are
-learned with them, from a bounded sample of labelled documents (per_lang documents of each language, their first
-sample_chars characters, both parameters) whose pieces are spliced to code-switched sequences. Forward-backward gives
-each word's label distribution; a document gets the label with the largest mean probability over its words, and that
-mean as its score.
+learned with them, from a bounded number of labelled documents (per_lang of each language, a parameter). Their whole
+texts are cut to pieces, which are spliced to code-switched sequences; every word is in one. Forward-backward gives each
+word's label distribution; a document gets the label with the largest mean probability over its words, and that mean as
+its score.
 
 Words are runs without white space that hold a letter. Null text, or text without a letter, is `und` with score 0. Equal
 probabilities go to the first label by code point. Where nothing is labelled every document is `und`. Predictions see
-the text alone; whole texts are read, and long ones cost no more memory than a batch. An empty table gives an empty
-result. Columns lang_pred and score are replaced if they exist.
+the text alone; whole texts are read, a few megabytes at a time or one longer text. Repeated rows are each predicted, alike.
+Held out is decided by the key; rows with a null key have a null there and aren't learned from. An empty table gives an
+empty result. Extra columns stay, whatever their names, but for lang_pred and score, which are replaced. A stage returns
+the columns that it got.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ from . import common
 UNKNOWN = "und"
 BITS = 16
 #: Words whose emissions a worker remembers, and words that are decoded at once.
-MEMORY, AT_ONCE = 400_000, 400_000
+MEMORY, AT_ONCE = 150_000, 200_000
 LOWEST_SCORE = 0.5
+#: Documents of a batch that are predicted together.
+ROWS = 1024
 
 
 def letters(token: str) -> str:
@@ -116,6 +120,10 @@ class Model:
             known[t] = at[f] if f else -1
         return [list(map(known.__getitem__, tokens)) for tokens in split], self._table
 
+    def forget(self) -> None:
+        """Frees what was remembered: the worker goes on to other tasks."""
+        self._rows, self._table = {}, None
+
     def word_probabilities(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Forward-backward over sequences laid end to end; first: where one begins."""
         return forward_backward(scores, first, self.move, self.begin)
@@ -188,56 +196,65 @@ def forward_backward(scores: np.ndarray, first: np.ndarray, move: np.ndarray, be
     return p / p.sum(axis=1, keepdims=True)
 
 
-def sequences(texts: list[str], langs: list[int], n: int, rng: np.random.Generator, longest: int = 64) -> list[tuple[list[str], list[int]]]:
-    """n code-switched sequences spliced from pieces of the texts, one language a piece."""
-    split = [[w for w in (letters(t) for t in x.split()) if w] for x in texts]
-    usable = {k: [i for i, w in enumerate(split) if w and langs[i] == k] for k in set(langs)}
-    usable = {k: v for k, v in usable.items() if v}
-    keys, out = sorted(usable), []
-    for _ in range(n if keys else 0):
-        words, tags = [], []
-        for _ in range(int(rng.integers(1, 4))):
-            k = keys[rng.integers(len(keys))]
-            doc = split[usable[k][rng.integers(len(usable[k]))]]
+def sequences(texts: list[str], langs: list[int], rng: np.random.Generator, longest: int = 64) -> list[tuple[list[str], list[int]]]:
+    """Code-switched sequences of one to three pieces, one language a piece. The pieces tile the texts."""
+    pieces = []
+    for x, k in zip(texts, langs):
+        w, at = [w for w in (letters(t) for t in x.split()) if w], 0
+        while at < len(w):
             size = int(rng.integers(6, longest // 2))
-            at = int(rng.integers(max(1, len(doc) - size)))
-            words += doc[at : at + size]
-            tags += [k] * len(doc[at : at + size])
-        out.append((words[:longest], tags[:longest]))
+            pieces.append((w[at : at + size], k))
+            at += size
+    order, out, at = rng.permutation(len(pieces)), [], 0
+    while at < len(order):
+        words, tags = [], []
+        for i in order[at : (at := at + int(rng.integers(1, 4)))]:
+            if len(words) + len(pieces[i][0]) > longest:
+                out.append((words, tags))
+                words, tags = [], []
+            words = words + pieces[i][0]
+            tags = tags + [pieces[i][1]] * len(pieces[i][0])
+        out.append((words, tags))
     return out
 
 
-def train(texts: list[str], langs: list[str], *, n_sequences: int = 2400, epochs: int = 5, batch: int = 200, rate: float = 0.08, ridge: float = 1e-4, top: int = 300, seed: int = 3) -> Model:
-    """Fit weights and transitions by Adam on the conditional log-likelihood."""
+def train(texts: list[str], langs: list[str], *, least: int = 12_000, batch: int = 200, rate: float = 0.08, ridge: float = 1e-4, top: int = 300, seed: int = 3) -> Model:
+    """Fit weights and transitions by Adam on the conditional log-likelihood: all sequences, again until there were `least`."""
     labels = sorted(set(langs))
     tags = [labels.index(x) for x in langs]
-    counts = [Counter() for _ in labels]
+    found = [Counter() for _ in labels]
     for x, k in zip(texts, tags):
-        counts[k].update(w for w in (letters(t) for t in x.split()) if w)
+        found[k].update(w for w in (letters(t) for t in x.split()) if w)
     lexicon: dict[str, int] = {}
-    for k, c in enumerate(counts):
+    for k, c in enumerate(found):
         for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:top]:
             lexicon[w] = lexicon.get(w, 0) | 1 << k
     rng, size = np.random.default_rng(seed), len(labels)
-    data = sequences(texts, tags, n_sequences, rng)
+    data = sequences(texts, tags, rng)
     words = {w: i for i, w in enumerate(dict.fromkeys(w for s, _ in data for w in s))}
     rows, owners = features(list(words), lexicon) if words else (np.zeros(0, np.int64),) * 2
-    share = 1 / np.sqrt(np.maximum(1, np.bincount(owners, minlength=len(words))))
+    counts = np.bincount(owners, minlength=len(words))
+    share, rows = 1 / np.sqrt(np.maximum(1, counts)), rows[np.argsort(owners, kind="stable")]
+    heads = np.cumsum(counts) - counts
     params = {"weights": np.zeros((1 << BITS, size)), "move": np.zeros((size, size)), "begin": np.zeros(size)}
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
     clock = 0
-    for _ in range(epochs):
+    for _ in range(-(-least // len(data)) if data else 0):
         order = rng.permutation(len(data))
         for lo in range(0, len(order), batch):
             part = [data[i] for i in order[lo : lo + batch]]
             ids = np.array([words[w] for s, _ in part for w in s])
             tag = np.array([t for _, s in part for t in s])
             first = np.concatenate([[True] + [False] * (len(s) - 1) for s, _ in part])
-            scores = word_scores(params["weights"], rows, owners, share)[ids]
+            met, at = np.unique(ids, return_inverse=True)
+            few = counts[met]
+            own = np.repeat(np.arange(len(met)), few)
+            used = rows[np.arange(few.sum()) + np.repeat(heads[met] - np.cumsum(few) + few, few)]
+            scores = word_scores(params["weights"], used, own, share[met])[at]
             p, pairs = _expected(scores, first, params["move"], params["begin"])
             gap = (np.eye(size)[tag] - p) / len(part)
-            spread = (np.stack([np.bincount(ids, gap[:, k], len(words)) for k in range(size)], axis=1) * share[:, None])[owners]
-            grads = {"weights": np.stack([np.bincount(rows, spread[:, k], 1 << BITS) for k in range(size)], axis=1), "begin": gap[first].sum(axis=0)}
+            spread = (np.stack([np.bincount(at, gap[:, k], len(met)) for k in range(size)], axis=1) * share[met][:, None])[own]
+            grads = {"weights": np.stack([np.bincount(used, spread[:, k], 1 << BITS) for k in range(size)], axis=1), "begin": gap[first].sum(axis=0)}
             inner = np.flatnonzero(~first)
             seen = np.zeros((size, size))
             np.add.at(seen, (tag[inner - 1], tag[inner]), 1.0)
@@ -281,15 +298,15 @@ def _expected(scores: np.ndarray, first: np.ndarray, move: np.ndarray, begin: np
     return p, pairs
 
 
-def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 400, sample_chars: int = 3000, **training) -> Model:
-    """Train on at most about per_lang documents of each language, chosen by a hash of the key."""
+def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 400, **training) -> Model:
+    """Train on the whole texts of at most about per_lang documents of each language, chosen by a hash of the key."""
     known = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
     pick = F.lit(False)
     draw = F.pmod(F.xxhash64(F.lit(5), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
     for name, n in counts.items():
         pick = pick | ((F.col(lang) == name) & (draw < per_lang / n))
-    sample = known.filter(pick).select(F.col(key).cast("string").alias("k"), F.col(lang).alias("lang"), F.substring(text, 1, sample_chars).alias("text"))
+    sample = known.filter(pick).select(F.col(key).cast("string").alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     rows = sorted(sample.orderBy("lang", "k").limit(2 * per_lang * max(1, len(counts))).collect(), key=lambda r: (r.lang, r.k or "", r.text))
     return train([r.text for r in rows], [r.lang for r in rows], **training)
 
@@ -301,10 +318,11 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = shared.value
-        for b in batches:
+        for b in (x.slice(k, ROWS) for x in batches for k in range(0, x.num_rows, ROWS)):
             got = found.predict([x or "" for x in b.column(at).to_pylist()])
             columns = [*b.columns, pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, "lang_pred", "score"])
+        found.forget()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
@@ -336,10 +354,13 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows, recognised with a score of LOWEST_SCORE or more."""
+    """Documents in a language that the model knows, recognised with a score of LOWEST_SCORE or more.
+
+    Documents without a letter go. Nulls, ties, repeats and empty tables as in predict(); columns stay as they are.
+    """
     model = fit(docs.filter(~F.coalesce(held_out(), F.lit(False))))
-    kept = predict(docs, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LOWEST_SCORE))
-    return kept.select(*docs.columns)
+    found = predict(common.carried(docs, text=F.col("text")), model)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LOWEST_SCORE)).select("row.*")
 
 
 def op7_word_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,9 +12,11 @@ leaves one fraction at most. Fractions of fan chunks meet on the next level, and
 source only has more chunks. All draws come from a hash of seed, key and level and chunks are put in order first, so
 reruns agree, on any cluster.
 
-Sources go by code point, a null source last. Rows that share key and source stand or fall together. Null text has no
-words; documents without words are never taken. An empty table gives an empty result. Extra columns travel along; ones
-named like an added column (size, source_size, target, copies) are replaced.
+Sources go by code point, a null source last. Rows that share key and source stand or fall together; rows without a key
+go by their text. Of equal sizes the order of a hash decides who meets first. Null text has no words; documents without
+words are never taken. Texts are counted whole; of long ones only the size is held. An empty table gives an empty
+result. Extra columns travel along, whatever their names; ones named like an added column (size, source_size, target,
+copies) are replaced. A stage returns the columns that it got.
 """
 
 from __future__ import annotations
@@ -90,9 +92,9 @@ def _pivot(seed: int):
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, *, key: str = "doc_id", text: str = "text", source: str = "source", chunk: int = 1024, fan: int = 256, seed: int = 11) -> DataFrame:
     """docs with size (words), source_size, target (of its source) and copies (0 to most) that the mix takes."""
-    docs = docs.drop(*[c for c in docs.columns if c in ADDED])
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(common.WORD)), F.lit(0)).cast("long")
-    units = docs.select(F.col(key).cast("string").alias("_key"), F.col(source).alias("source"), words.alias("size"))
+    unit = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.concat(F.lit("t"), F.xxhash64(text).cast("string")))
+    units = docs.select(unit.alias("_key"), F.col(source).alias("source"), words.alias("size"))
     units = common.cut(units.groupBy("_key", "source").agg(F.sum("size").alias("size")), "mix-units")
     sums = units.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("_rows"))
     chunks = F.greatest(F.ceil(F.col("_rows") / chunk), F.lit(1)).cast("long")
@@ -118,15 +120,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
     for more in decided[1:]:
         taken = taken.unionByName(more)
     copies = units.join(taken.withColumnsRenamed({"_key": "_k", "source": "_s"}), F.col("_key").eqNullSafe(F.col("_k")) & F.col("source").eqNullSafe(F.col("_s")), "left").select("_key", "source", F.coalesce("copies", F.lit(0)).alias("copies"))
-    rows = docs.withColumn("size", words).join(copies.withColumnRenamed("source", "_s"), F.col(key).cast("string").eqNullSafe(F.col("_key")) & F.col(source).eqNullSafe(F.col("_s"))).drop("_key", "_s")
-    out = rows.join(plan.withColumnRenamed("source", "_s"), F.col(source).eqNullSafe(F.col("_s")))
-    return out.select(*docs.columns, "size", "source_size", "target", "copies")
+    rows = common.carried(docs, ADDED, own_key=unit, own_source=F.col(source), size=words)
+    out = rows.join(copies, F.col("own_key").eqNullSafe(F.col("_key")) & F.col("own_source").eqNullSafe(F.col("source"))).select("row", "own_source", "size", "copies")
+    out = out.join(plan, F.col("own_source").eqNullSafe(F.col("source")))
+    return out.select("row.*", "size", "source_size", "target", "copies")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it is taken."""
-    taken = mix(docs).filter("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The mix: each document as often as it is taken. All that is said of mix() holds; columns stay as they are."""
+    taken = mix(common.carried(docs, doc_id=F.col("doc_id"), text=F.col("text"), source=F.col("source"))).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,10 @@ to the most lenient. The limit of a stratum is shared
 equally by the rules, so their union stays within it.
 
 Null text counts as empty. A null stratum is a stratum of its own. Documents of a stratum without enough labels are
-judged by the base rules alone. Labels that appear several times count as good only if all agree. An empty table
-gives an empty result; extra columns stay as they are unless they have the name of an added one, which replaces them.
+judged by the base rules alone, and so is every row without a key or a label for the cutoffs: it is judged, but doesn't
+vote on them. Labels that appear several times count as good only if all agree; repeated rows vote each. A text of any
+length is counted whole, in one row. An empty table gives an empty result; extra columns stay as they are, whatever
+their names, unless they have the name of an added one, which replaces them. A stage returns the columns that it got.
 """
 
 from __future__ import annotations
@@ -31,13 +33,13 @@ GRIDS = {
     "short_words": [-4.5, -4.0, -3.5, -3.0, -2.0],
 }
 BASE_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+ADDED = (*BASE_COUNTS, "n_lines", "base_failed")
 
 
 def annotate(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (long) and base_failed."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    drop = [c for c in docs.columns if c in {*BASE_COUNTS, "n_lines", "base_failed", "_words", "_lines", "_windows", "_twice"}]
-    df = docs.drop(*drop).withColumns({
+    whole = F.coalesce(F.col("text"), F.lit(""))
+    df = common.carried(docs, ADDED, text=F.col(text)).withColumns({
         "_words": F.filter(F.split(whole, common.GAP), lambda w: w != ""),
         "_lines": F.filter(F.split(whole, "\n"), lambda x: x.rlike(common.WORD)),
         "n_symbols": F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long"),
@@ -58,7 +60,7 @@ def annotate(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = F.array_distinct(F.flatten(F.transform(F.filter(twice, lambda x, i: F.coalesce(same(x, i), F.lit(False))), lambda x: F.array(x.i, x.i + 1, x.i + 2))))
     df = df.withColumn("n_repeat_words", F.when(twice.isNull(), F.lit(0)).otherwise(F.size(covered)).cast("long"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return df.withColumn("base_failed", failed).drop("_words", "_lines", "_windows", "_twice")
+    return df.withColumn("base_failed", failed).select("row.*", *ADDED)
 
 
 def scores() -> dict[str, Column]:
@@ -121,8 +123,9 @@ def judge(annotated: DataFrame, cutoffs: DataFrame, *, stratum: str = "lang") ->
     above = F.lit(False)
     for r, c in scores().items():
         above = above | F.coalesce(c > F.col(f"cut_{r}"), F.lit(False))
-    joined = annotated.join(cutoffs, F.col(stratum).cast("string").eqNullSafe(F.col("_stratum")), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~above).select(*[c for c in annotated.columns if c != "kept"], "kept")
+    rows = common.carried(annotated, ("kept",), own=F.col(stratum).cast("string"), **{c: F.col(c) for c in ADDED})
+    joined = rows.join(cutoffs, F.col("own").eqNullSafe(F.col("_stratum")), "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~above).select("row.*", "kept")
 
 
 def rate(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", key: str = "doc_id", **limits) -> DataFrame:
@@ -132,8 +135,9 @@ def rate(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", key: str
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
-    return rate(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("kept").select(*docs.columns)
+    """Documents that the rules keep. All that is said of rate() holds; columns stay as they are."""
+    rows = common.carried(docs, doc_id=F.col("doc_id"), text=F.col("text"), lang=F.col("lang"))
+    return rate(rows, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("kept").select("row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
