@@ -1,19 +1,21 @@
 """Shards of a corpus in random order: a two-pass external shuffle.
 
 Pass one scatters the records by a seeded hash into buckets that fit in memory. Pass two shuffles each bucket by
-Fisher-Yates (the built-in shuffle of an array) and deals the shuffled stream, bucket after bucket, to the shards in
-turn. The law that holds is `rows`: the row counts of any two shards differ by one at most, and slots have no gaps.
-
-The number of buckets follows from the bytes of the corpus, so a bucket holds about bucket_bytes whatever the size. The
-hash covers key and text, so neither a hot key nor a large group of copies meets in one bucket; only rows equal in both
-do. Null text has no bytes. Rows may repeat, keys may be null: every row gets a place of its own. Within a bucket rows
-are put in order before the shuffle, so a lost executor's bucket comes out the same again. An empty table gives an
-empty result. Extra columns travel along; columns named shard or slot are replaced.
+Fisher-Yates (the built-in shuffle of an array) and writes it: the shuffled stream, bucket after bucket, is cut into
+shards, so a bucket goes to one shard or two at their border, and no record moves again. The law that holds is `rows`:
+the row counts of any two shards differ by one at most, and slots have no gaps.
+
+The number of buckets follows from the bytes of the corpus alone and each bucket is a partition with a seed of its own,
+whose rows are put in order before the shuffle. So the order follows from the seed and from how the input is split, not
+from the executors, and a lost bucket comes out the same again. The hash covers key and text, so neither a hot key nor a large group of copies meets in one bucket; of rows
+equal in both, every `group` go to a bucket. Null text has no bytes. Rows may repeat, keys may be null: every row gets a
+place of its own. A very long text makes its bucket larger by that. An empty table gives an empty result. Extra columns
+travel along, whatever their names; columns named shard or slot are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -25,33 +27,46 @@ def byte_size(text: str = "text"):
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
 
 
-def external_shuffle(docs: DataFrame, shards: int = SHARDS, *, key: str = "doc_id", text: str = "text", bucket_bytes: int = 32 << 20, seed: int = 7) -> DataFrame:
+def external_shuffle(docs: DataFrame, shards: int = SHARDS, *, key: str = "doc_id", text: str = "text", bucket_bytes: int = 16 << 20, seed: int = 7, group: int = 64) -> DataFrame:
     """docs, each row with its shard (0 to shards - 1) and slot in it (gapless from 0)."""
-    docs = docs.drop(*[c for c in docs.columns if c in ("shard", "slot")])
-    total = docs.agg(F.coalesce(F.sum(byte_size(text)), F.lit(0))).first()[0]
-    buckets = max(-(-total // bucket_bytes), common.parallelism(docs.sparkSession))
-    scattered = docs.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), F.lit(buckets)))
-    counts = scattered.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    bases = common.starts(counts, "_bucket", "_n", "_base").select("_bucket", "_base")
-    # The merge join deals the records out by bucket, and the grouping below finds them so: one shuffle of the texts.
-    dealt = scattered.join(bases.hint("merge"), "_bucket")
-    record = F.struct(F.col(key).alias("_key"), *[F.col(c) for c in docs.columns if c != key])
-    shuffled = dealt.groupBy("_bucket", "_base").agg(F.shuffle(F.sort_array(F.collect_list(record)), seed).alias("_records"))
-    rows = shuffled.select("_base", F.posexplode("_records").alias("_at", "_record"))
-    place = F.col("_base") + F.col("_at")
-    columns = [F.col("_record._key" if c == key else f"_record.`{c}`").alias(c) for c in docs.columns]
-    return rows.select(*columns, F.pmod(place, F.lit(shards)).cast("int").alias("shard"), F.floor(place / shards).cast("long").alias("slot"))
+    ends = docs.agg(F.coalesce(F.sum(byte_size(text)), F.lit(0)), F.count(F.lit(1))).first()
+    buckets, total = max(-(-ends[0] // bucket_bytes), 1), max(ends[1], 1)
+    # Rows equal in key and text part by where they are read; which of them goes where makes no difference.
+    part = F.floor(F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20)) / group)
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text), part), F.lit(buckets)).cast("int")
+    scattered = common.carried(docs, ("shard", "slot"), bucket=bucket, key=F.col(key), text=F.col(text))
+    counts = scattered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    bases = common.starts(counts, "bucket", "n", "base").select(F.col("bucket").alias("b"), "base")
+    # Spark broadcasts the bases where they are few, else merges; the grouping finds each bucket in its partition.
+    dealt = scattered.join(bases, F.col("bucket") == F.col("b")).repartitionById(buckets, "bucket")
+    record = F.struct("key", F.xxhash64("text").alias("digest"), "row")
+    shuffled = dealt.groupBy("bucket", "base").agg(F.shuffle(F.array_sort(F.collect_list(record), _by_digest), seed).alias("records"))
+    rows = shuffled.select("base", F.posexplode("records").alias("at", "record")).select((F.col("base") + F.col("at")).alias("place"), F.col("record.row").alias("row"))
+    shard = F.floor(((F.col("place") + 1) * shards - 1) / total).cast("int")
+    return rows.select("row.*", shard.alias("shard"), (F.col("place") - F.floor(shard.cast("long") * total / shards)).cast("long").alias("slot"))
+
+
+def _by_digest(a: Column, b: Column) -> Column:
+    """Order of records; those equal in key and digest of the text are alike."""
+    x, y = F.struct(a.key, a.digest), F.struct(b.key, b.digest)
+    return F.when(x < y, -1).when(x > y, 1).otherwise(0)
 
 
 def write_shards(placed: DataFrame, path: str) -> None:
-    """One folder for each shard, rows in slot order within each file; large shards take several files of 2^20 slots."""
-    part = F.floor(F.col("slot") / (1 << 20))
-    placed.repartition("shard", part).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """One folder for each shard; a bucket's rows go to one file of it, or of two shards, in slot order."""
+    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    return spark.read.schema(like.schema).parquet(path).select(*[F.col(f"`{c}`") for c in like.columns])
 
 
 def op2_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = external_shuffle(common.documents(spark, sf_dir))
-    return placed.select(
+    """The digest of every document, from the shards as they were written."""
+    placed = external_shuffle(common.documents(spark, sf_dir).select("doc_id", "text"))
+    path = common.new_path(spark, "shards")
+    write_shards(placed, path)
+    return read_shards(spark, path, placed).select(
         "doc_id", byte_size().alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"),
         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
