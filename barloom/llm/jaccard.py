@@ -402,8 +402,8 @@ def _close(small: tuple[Column, Column], large: tuple[Column, Column], percent:
     return (100 * a >= percent * b) & (i < index) & (1 + F.least(a - i - 1, b - j - 1) >= need)
 
 
-def _sets(nodes: DataFrame, docs: DataFrame, holders: DataFrame, n: int) -> DataFrame:
-    """Rows (node, rows) with the whole sets of the given nodes (distinct). holders: node and a document that has it."""
+def _sets(nodes: DataFrame, docs: DataFrame, holders: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (node, rows) with the whole sets of the given nodes (distinct), and the table that they are read from. holders: node and a document that has it."""
     # A bitmap of MARKS bits tells nearly all other documents where they are read, so no text is shuffled.
     mark = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
     wanted = holders.join(nodes, "node", "left_semi").select(mark.alias("m"))
@@ -414,18 +414,20 @@ def _sets(nodes: DataFrame, docs: DataFrame, holders: DataFrame, n: int) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     found = common.cut(texts.mapInArrow(_sets_of(n, shared), "node long, rows binary"), "sets", AT_ONCE)
     shared.destroy()
-    return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    return found.join(nodes, "node", "left_semi").dropDuplicates(["node"]), found
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, n: int, percent: int) -> DataFrame:
     """Of pairs (u, v) those that link, decided on whole sets. A v that many u meet goes out in copies, FAN u to each."""
     ends = common.cut(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "ends")
-    sets = _sets(ends, docs, holders, n)
+    sets, table = _sets(ends, docs, holders, n)
     fans = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("fan"))
     left = pairs.join(fans, "v").withColumn("salt", F.pmod(F.xxhash64("u"), F.col("fan")).cast("int")).join(sets.select(F.col("node").alias("u"), F.col("rows").alias("x")), "u")
     right = sets.join(fans, F.col("node") == F.col("v")).select("v", F.col("rows").alias("y"), F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"))
     both = left.join(right, ["v", "salt"]).select("u", "v", "x", "y")
-    return common.cut(both.mapInArrow(_linked(percent), "u long, v long"), "linked", AT_ONCE)
+    out = common.cut(both.mapInArrow(_linked(percent), "u long, v long"), "linked", AT_ONCE)
+    common.discard(table)
+    return out
 
 
 def _light(nodes: DataFrame, boundary: int, percent: int) -> DataFrame:
@@ -464,8 +466,10 @@ def _across(families: DataFrame, known: DataFrame, docs: DataFrame, nodes: DataF
     kind = "lead long, i int, j int, own int, node long, n long, component long"
     columns = ["lead", "i", "j", "own", "node", "n", "component"]
     todo = common.cut(dealt(rest.select(*columns, "sketch")).mapInArrow(_undecided(percent), kind), "undecided", 8 * AT_ONCE)
-    whole = _sets(common.cut(todo.select("node").distinct(), "ends"), docs, nodes, n)
-    return common.cut(dealt(todo.join(whole, "node").select(*columns, "rows")).mapInArrow(_spanning(percent), "u long, v long"), "spanning", AT_ONCE)
+    whole, table = _sets(common.cut(todo.select("node").distinct(), "ends"), docs, nodes, n)
+    out = common.cut(dealt(todo.join(whole, "node").select(*columns, "rows")).mapInArrow(_spanning(percent), "u long, v long"), "spanning", AT_ONCE)
+    common.discard(table)
+    return out
 
 
 def _placed(docs: DataFrame, n: int, percent: int, boundary: int | None = None) -> DataFrame:
@@ -499,6 +503,7 @@ def _placed(docs: DataFrame, n: int, percent: int, boundary: int | None = None)
     found = common.cut(found, "links")
     more = _across(families, components(found), docs, nodes, n, percent)
     known = components(found.unionByName(more))
+    common.discard(families)
 
     named = nodes.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     keeper = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("keeper")

@@ -131,7 +131,12 @@ def judge(annotated: DataFrame, cutoffs: DataFrame, *, stratum: str = "lang") ->
 def rate(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", key: str = "doc_id", **limits) -> DataFrame:
     """docs with the counts, base_failed and kept. The annotated rows are written once: calibration and verdict read them."""
     annotated = common.cut(annotate(docs), "quality")
-    return judge(annotated, calibrate(annotated, labels, stratum=stratum, key=key, **limits), stratum=stratum)
+    return judge(annotated, _cutoffs(annotated, labels, stratum=stratum, key=key, **limits), stratum=stratum)
+
+
+def _cutoffs(counts: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """The cutoffs as a table, whose size Spark knows when it plans the join of the verdict."""
+    return common.cut(calibrate(counts, labels, **how), "cutoffs")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -143,7 +148,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = annotate(common.documents(spark, sf_dir)).select("doc_id", "lang", *BASE_COUNTS, "n_lines", "base_failed")
     annotated = common.cut(docs, "quality")
-    cutoffs = calibrate(annotated, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    cutoffs = _cutoffs(annotated, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judge(annotated, cutoffs).select("doc_id", *BASE_COUNTS, "base_failed", "kept")
 
 
