@@ -7,7 +7,6 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -15,11 +14,6 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 16
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed once for the several steps that read it; lost parts are made again from its lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 @functools.cache
 def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="barloom-")
@@ -36,6 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, written once for the several steps that read it: plans stay short however many steps follow, nothing stays in
+    memory, and what a lost executor held is read again."""
+    return cut(df)
+
+
 def with_ordinal(df: DataFrame, step: int, key: str = "symbol") -> DataFrame:
     """ord: place on the series' grid of step milliseconds, without a sort."""
     first = df.groupBy(key).agg(F.min("timestamp").alias("_first"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exits import first_exits
-from .ordinal import forward_fill, in_chunks, running, settled
+from .ordinal import CHUNK, forward_fill, in_chunks, running, settled
 
 #: Bars searched after an entry in its own window, and bars of a block whose extremes tell whether to search it.
 NEAR, BLOCK = 64, 256
@@ -109,7 +109,8 @@ def ledger(df: DataFrame, trades: DataFrame, cfg: Exits = Exits(), keys: list[st
         "bought": F.coalesce(F.col("ord") == F.col("_e"), F.lit(False)), "sold": sold, "in_position": inside & ~sold, "net_worth": worth,
         "reason": F.when(sold, F.coalesce("_r", F.lit(0))).otherwise(0),
     }).withColumn("made", F.col("bought") | F.col("sold"))
-    trade = F.when(F.col("in_position"), F.col("_e"))
+    # Rows out of position need no peak: they are dealt by chunks of time.
+    trade = F.when(F.col("in_position"), F.col("_e")).otherwise(-1 - F.floor(F.col("ord") / CHUNK))
     since = Window.partitionBy(*keys, trade).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     peak = F.when(F.col("in_position"), F.max("price").over(since))
     rows = rows.withColumn("highest", peak)
