@@ -37,10 +37,11 @@ def new_path(spark: SparkSession, label: str) -> str:
 def cut(df: DataFrame, label: str, rows_at_once: int = 0) -> DataFrame:
     """Write df to the shared folder and read it back: later jobs survive the loss of any executor.
 
-    rows_at_once: most rows that are handed to Python together, where they are long.
+    rows_at_once: most rows that are handed to Python together, where they are long. The shuffle files of the job go
+    when it ends.
     """
     path = new_path(df.sparkSession, label)
-    with batches_of(df.sparkSession, rows_at_once):
+    with batches_of(df.sparkSession, rows_at_once), setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -53,18 +54,21 @@ def discard(df: DataFrame) -> None:
 
 
 @contextlib.contextmanager
-def batches_of(spark: SparkSession, rows: int):
-    """For the jobs run inside: most rows of an Arrow batch."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def setting(spark: SparkSession, name: str, value: str):
+    """For the jobs run inside: a setting of the session."""
     before = spark.conf.get(name)
-    if rows:
-        spark.conf.set(name, str(rows))
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def batches_of(spark: SparkSession, rows: int):
+    """For the jobs run inside: most rows of an Arrow batch."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)) if rows else contextlib.nullcontext()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
