@@ -37,11 +37,10 @@ def new_path(spark: SparkSession, label: str) -> str:
 def cut(df: DataFrame, label: str, rows_at_once: int = 0) -> DataFrame:
     """Write df to the shared folder and read it back: later jobs survive the loss of any executor.
 
-    rows_at_once: most rows that are handed to Python together, where they are long. The shuffle files of the job go
-    when it ends.
+    rows_at_once: most rows that are handed to Python together, where they are long.
     """
     path = new_path(df.sparkSession, label)
-    with batches_of(df.sparkSession, rows_at_once), setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+    with batches_of(df.sparkSession, rows_at_once), tidy(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -69,6 +68,11 @@ def batches_of(spark: SparkSession, rows: int):
     return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)) if rows else contextlib.nullcontext()
 
 
+def tidy(spark: SparkSession):
+    """For the jobs run inside: their shuffle files go when they end."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
