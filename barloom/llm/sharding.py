@@ -7,10 +7,11 @@ the row counts of any two shards differ by one at most, and slots have no gaps.
 
 The number of buckets follows from the bytes of the corpus alone and each bucket is a partition with a seed of its own,
 whose rows are put in order before the shuffle. So the order follows from the seed and from how the input is split, not
-from the executors, and a lost bucket comes out the same again. The hash covers key and text, so neither a hot key nor a large group of copies meets in one bucket; of rows
-equal in both, every `group` go to a bucket. Null text has no bytes. Rows may repeat, keys may be null: every row gets a
-place of its own. A very long text makes its bucket larger by that. An empty table gives an empty result. Extra columns
-travel along, whatever their names; columns named shard or slot are replaced.
+from the executors, and a lost bucket comes out the same again. The hash covers key and text, so neither a hot key nor a
+large group of copies meets in one bucket; of rows equal in both, every `group` go to a bucket. Null text has no bytes.
+Rows may repeat, keys may be null: every row gets a place of its own. A very long text makes its bucket larger by that.
+An empty table gives an empty result. Extra columns travel along, whatever their names; columns named shard or slot are
+replaced.
 """
 
 from __future__ import annotations
@@ -34,12 +35,13 @@ def external_shuffle(docs: DataFrame, shards: int = SHARDS, *, key: str = "doc_i
     # Rows equal in key and text part by where they are read; which of them goes where makes no difference.
     part = F.floor(F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20)) / group)
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text), part), F.lit(buckets)).cast("int")
-    scattered = common.carried(docs, ("shard", "slot"), bucket=bucket, key=F.col(key), text=F.col(text))
+    scattered = common.carried(docs, ("shard", "slot"), bucket=bucket, key=F.col(key), digest=F.xxhash64(text))
     counts = scattered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    bases = common.starts(counts, "bucket", "n", "base").select(F.col("bucket").alias("b"), "base")
-    # Spark broadcasts the bases where they are few, else merges; the grouping finds each bucket in its partition.
+    # A table of known size: Spark broadcasts the bases where they are few, else merges.
+    bases = common.cut(common.starts(counts, "bucket", "n", "base").select(F.col("bucket").alias("b"), "base"), "bases")
+    # The grouping finds each bucket in its partition.
     dealt = scattered.join(bases, F.col("bucket") == F.col("b")).repartitionById(buckets, "bucket")
-    record = F.struct("key", F.xxhash64("text").alias("digest"), "row")
+    record = F.struct("key", "digest", "row")
     shuffled = dealt.groupBy("bucket", "base").agg(F.shuffle(F.array_sort(F.collect_list(record), _by_digest), seed).alias("records"))
     rows = shuffled.select("base", F.posexplode("records").alias("at", "record")).select((F.col("base") + F.col("at")).alias("place"), F.col("record.row").alias("row"))
     shard = F.floor(((F.col("place") + 1) * shards - 1) / total).cast("int")
@@ -54,7 +56,8 @@ def _by_digest(a: Column, b: Column) -> Column:
 
 def write_shards(placed: DataFrame, path: str) -> None:
     """One folder for each shard; a bucket's rows go to one file of it, or of two shards, in slot order."""
-    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    with common.tidy(placed.sparkSession):
+        placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
