@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import images, jaccard, langid, licenses, mixing, packing, quality, sharding, tokenbin, urlfilter
+from . import collocation, images, jaccard, langid, licenses, mixing, packing, quality, sharding, tokenbin, urlfilter
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_temporal_lists": urlfilter.op8_temporal_lists,
     "op9_size_aware_join": jaccard.op9_size_aware_join,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op13_tiled_collocations": collocation.op13_tiled_collocations,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": licenses.OP1_SQL,
     "op8_temporal_lists": urlfilter.OP8_SQL,
     "op10_quality_rules": quality.OP10_SQL,
+    "op13_tiled_collocations": collocation.OP13_SQL,
 }
