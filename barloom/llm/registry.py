@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collocation, crosstok, images, jaccard, langid, licenses, mixing, packing, quality, sharding, tokenbin, urlfilter
+from . import collocation, crosstok, images, jaccard, langid, licenses, mixing, nearest, packing, quality, sharding, tokenbin, urlfilter
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_size_aware_join": jaccard.op9_size_aware_join,
     "op10_quality_rules": quality.op10_quality_rules,
     "op11_token_spans": crosstok.op11_token_spans,
+    "op12_adaptive_scan": nearest.op12_adaptive_scan,
     "op13_tiled_collocations": collocation.op13_tiled_collocations,
 }
 ORACLE_SQL: dict[str, str] = {
