@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.ordinal import in_chunks, running
+from barloom.operators.ordinal import forward_fill, in_chunks, join_on, running
 from barloom.schema import INDICATOR_SETS
 
 #: Frames of up to this many rows run natively; larger ones by prefix sums and block extremes.
@@ -16,9 +16,17 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
-def pct_change(df: DataFrame, columns: dict[str, str], key: list[str] = ["symbol"]) -> DataFrame:  # noqa: B006
-    """Out column <- in column: change against the bar before; null where there is none or it is 0."""
-    return in_chunks(df, lambda w: {out: ratio(F.col(c), F.lag(c).over(w)) - 1 for out, c in columns.items()}, before=1, key=key)
+def pct_change(df: DataFrame, columns: dict[str, str], key: list[str] = ["symbol"], fill: bool = True) -> DataFrame:  # noqa: B006
+    """Out column <- in column: change against the bar before; null where there is none or it is 0.
+
+    Nulls count as the last value before them (fill), so the change at such a bar is 0; the columns themselves stay as
+    they are. Without fill a null makes both changes that it is part of null.
+    """
+    names = {c: f"_filled_{i}" for i, c in enumerate(dict.fromkeys(columns.values()))}
+    if fill:
+        df = forward_fill(df.withColumns({f: F.col(c) for c, f in names.items()}), list(names.values()), key=key)
+    source = lambda c: F.col(names[c] if fill else c)
+    return in_chunks(df, lambda w: {out: ratio(source(c), F.lag(source(c)).over(w)) - 1 for out, c in columns.items()}, before=1, key=key).drop(*names.values())
 
 
 def hl_offset(df: DataFrame) -> DataFrame:
@@ -54,12 +62,12 @@ def _large(df: DataFrame, column: str, w: int, key: list[str]) -> DataFrame:
     """
     center = df.groupBy(*key).agg(F.avg(column).alias("_c"))
     x = F.col(column) - F.col("_c")
-    df = running(df.join(center, key), {"_s": x, "_q": x * x}, key=key)
+    df = running(join_on(df, center, key), {"_s": x, "_q": x * x}, key=key)
     head = in_chunks(df, lambda o: {"_head": F.max(column).over(o.rowsBetween(Window.unboundedPreceding, 0)), "_tail": F.max(column).over(o.rowsBetween(0, Window.unboundedFollowing))}, key=key, size=w)
     # What stands w rows before, by an equi-join on its place.
     back = head.select(*key, (F.col("ord") + w).alias("ord"), F.col("_s").alias("_s0"), F.col("_q").alias("_q0"))
     edge = head.select(*key, (F.col("ord") + (w - 1)).alias("ord"), F.col("_tail").alias("_tail0"))
-    out = head.join(back, [*key, "ord"], "left").join(edge, [*key, "ord"], "left")
+    out = join_on(join_on(head, back, [*key, "ord"], "left"), edge, [*key, "ord"], "left")
     full = F.col("ord") >= w - 1
     s, q = F.col("_s") - F.coalesce("_s0", F.lit(0.0)), F.col("_q") - F.coalesce("_q0", F.lit(0.0))
     return out.withColumns({
@@ -68,9 +76,9 @@ def _large(df: DataFrame, column: str, w: int, key: list[str]) -> DataFrame:
     }).drop("_c", "_s", "_q", "_head", "_tail", "_s0", "_q0", "_tail0")
 
 
-def rolling_features(df: DataFrame, column: str, windows: list[int], key: list[str] = ["symbol"]) -> DataFrame:  # noqa: B006
-    """zscore_<w>, to_max_<w> and to_avg_<w> of a column."""
-    df = rolling(df, column, windows, key)
+def rolling_features(df: DataFrame, column: str, windows: list[int], key: list[str] = ["symbol"], by: str = "rows", step: int = 1) -> DataFrame:  # noqa: B006
+    """zscore_<w>, to_max_<w> and to_avg_<w> of a column. Windows count rows, or by="time" milliseconds on bars of step."""
+    df = rolling(df, column, windows, key) if by == "rows" else rolling_by_time(df, column, windows, step, key)
     x = F.col(column)
     made = {}
     for w in windows:
@@ -78,6 +86,25 @@ def rolling_features(df: DataFrame, column: str, windows: list[int], key: list[s
     return df.withColumns(made).drop(*[f"{k}_{w}" for w in windows for k in ("mean", "std", "max")])
 
 
+def rolling_by_time(df: DataFrame, column: str, spans: list[int], step: int, key: list[str] = ["symbol"], at: str = "timestamp", size: int = 1 << 16) -> DataFrame:  # noqa: B006
+    """mean_<ms>, std_<ms>, max_<ms> of the rows of the last so many milliseconds, however many there are.
+
+    Null until the series has lasted so long. Rows are dealt to chunks of time no shorter than the longest span; those
+    within that span of a chunk's end are also seen by the next one.
+    """
+    length = max(*spans, size * step)
+    chunk = F.floor(F.col(at) / length)
+    near = F.col(at) > (chunk + 1) * length - max(spans)
+    first = df.groupBy(*key).agg(F.min(at).alias("_first"))
+    rows = join_on(df, first, key).withColumn("_chunk", F.explode(F.array_compact(F.array(chunk, F.when(near, chunk + 1)))))
+    w, made = Window.partitionBy(*key, "_chunk").orderBy(at), {}
+    for span in spans:
+        f = w.rangeBetween(-(span - 1), 0)
+        full = F.col(at) - F.col("_first") + step >= span
+        made |= {f"{name}_{span}": F.when(full, fn(column).over(f)) for name, fn in (("mean", F.avg), ("std", F.stddev_samp), ("max", F.max))}
+    return rows.withColumns(made).filter(F.col("_chunk") == chunk).drop("_chunk", "_first")
+
+
 def explode_indicators(df: DataFrame, names: list[str] | str) -> DataFrame:
     """Columns of the indicators map: a bundle's name, or names. What is missing or isn't a number is null."""
     names = INDICATOR_SETS.get(names, [names]) if isinstance(names, str) else names
@@ -88,9 +115,13 @@ def indicator_names(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.map_keys("indicators")).alias("name")).distinct()
 
 
+def ms_to_ts(column: str) -> Column:
+    return F.timestamp_millis(F.col(column))
+
+
 def calendar_features(df: DataFrame, mode: str, at: str = "timestamp_close") -> DataFrame:
     """expanded: month, day, time and day_of_week scaled to 0..1; day_of_week; normal: open and close in epoch seconds."""
-    ts = F.timestamp_millis(F.col(at))
+    ts = ms_to_ts(at)
     weekday = F.weekday(ts) / 6
     if mode == "expanded":
         return df.withColumns({
@@ -117,15 +148,15 @@ FEATURE_TYPES = {
 }
 
 
-def feature_set(df: DataFrame, kind: str, indicator: str | list[str] = "none", timestamp: str = "none") -> tuple[DataFrame, list[str]]:
+def feature_set(df: DataFrame, kind: str, indicator: str | list[str] = "none", timestamp: str = "none", key: list[str] = ["symbol"]) -> tuple[DataFrame, list[str]]:
     """The table with the columns of a feature type, and their names in order. Nulls are left for clean_features()."""
     columns = list(FEATURE_TYPES[kind])
-    df = hl_offset(pct_change(df, {"price_percent": "price", "volume_percent": "volume"}))
+    df = hl_offset(pct_change(df, {"price_percent": "price", "volume_percent": "volume"}, key))
     if indicator != "none":
         names = indicator if isinstance(indicator, list) else INDICATOR_SETS.get(indicator, [indicator])
         df = explode_indicators(df, names)
         if kind == "all_percents":
-            df = pct_change(df, {f"{n}_percent": n for n in names})
+            df = pct_change(df, {f"{n}_percent": n for n in names}, key)
             names = [f"{n}_percent" for n in names]
         columns += names
     if timestamp != "none":

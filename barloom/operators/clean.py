@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordinal import following
+
 
 def find_gaps(df: DataFrame, step: int) -> DataFrame:
     """Rows whose close does not meet the next open: symbol, timestamp, next_timestamp, missing (bars)."""
-    w = Window.partitionBy("symbol").orderBy("timestamp")
-    gaps = df.select("symbol", "timestamp", "timestamp_close").withColumn("next_timestamp", F.lead("timestamp").over(w))
+    gaps = following(df.select("symbol", "timestamp", "timestamp_close"), "next_timestamp", step)
     missing = F.floor((F.col("next_timestamp") - F.col("timestamp") - step) / step).cast("long")
     return gaps.filter(F.col("timestamp_close") + 1 != F.col("next_timestamp")).select("symbol", "timestamp", "next_timestamp", missing.alias("missing"))
 
@@ -20,12 +21,10 @@ def fill_gaps(df: DataFrame, step: int, flat: bool = False, pad_to_day: bool = F
     Other columns are copied; flat also sets the open to the close and the counts to nothing. The close time of a bar
     before a gap is mended. pad_to_day carries the last bar on to midnight.
     """
-    w = Window.partitionBy("symbol").orderBy("timestamp")
-    following = F.lead("timestamp").over(w)
+    spaced = following(df, "_next", step)
     if pad_to_day:
         day = 86_400_000
-        following = F.coalesce(following, (F.floor(F.col("timestamp") / day) + 1) * day)
-    spaced = df.withColumn("_next", following)
+        spaced = spaced.withColumn("_next", F.coalesce("_next", (F.floor(F.col("timestamp") / day) + 1) * day))
     extra = F.greatest(F.floor((F.col("_next") - F.col("timestamp")) / step).cast("int") - 1, F.lit(0))
     rows = spaced.withColumn("_k", F.explode(F.sequence(F.lit(0), F.coalesce(extra, F.lit(0)))))
     added = F.col("_k") > 0
@@ -51,10 +50,5 @@ def clean_features(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.when(odd(c), 0.0).otherwise(F.col(c)) for c in columns})
 
 
-def close_boundary(column: str = "timestamp_close") -> Column:
-    """A bar that ends at 11:59:59.999 meets 12:00."""
-    return F.col(column) + 1
-
-
 def stride(df: DataFrame, start: int, k: int, order: str = "ord") -> DataFrame:
     return df.filter((F.col(order) >= start) & (F.pmod(F.col(order) - start, F.lit(k)) == 0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordinal import asof_align, in_chunks, running
+from .ordinal import asof_align, in_chunks, join_on, running
 
 
 def transitions(df: DataFrame, obs: str = "features") -> DataFrame:
@@ -27,8 +27,10 @@ def cap_newest(df: DataFrame, size: int, order: str = "ord") -> DataFrame:
     return df.orderBy(F.desc(order)).limit(size)
 
 
-def sample_uniform(df: DataFrame, n: int, seed: int) -> DataFrame:
-    return df.orderBy(F.rand(seed)).limit(n)
+def sample_uniform(df: DataFrame, n: int, seed: int, key: list[str] = ["ord"]) -> DataFrame:  # noqa: B006
+    """n rows without replacement: those with the smallest digests of seed and key, so reruns agree however rows are dealt."""
+    named = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *named)), *key).limit(n)
 
 
 def sample_priority(df: DataFrame, draws: DataFrame, alpha: float = 1.0, stratified: bool = True, key: str = "ord") -> DataFrame:
@@ -46,11 +48,14 @@ def sample_priority(df: DataFrame, draws: DataFrame, alpha: float = 1.0, stratif
     return asof_align(asked, begins, "_at", key, "picked", key=None).drop("_at")
 
 
-def importance_weights(df: DataFrame, beta: float, probability: str = "p") -> DataFrame:
-    """(N P)^-beta over its maximum in the table."""
-    raw = df.agg(F.count(F.lit(1)).alias("_n"), F.min(probability).alias("_low"))
+def importance_weights(df: DataFrame, beta: float, probability: str = "p", batch: str | None = None, size: int | None = None) -> DataFrame:
+    """(N P)^-beta over its maximum: in the table, or in the row's batch if df holds several. N: size, or the rows of the table."""
     weight = lambda p: F.pow(F.col("_n") * p, F.lit(-beta))
-    return df.crossJoin(F.broadcast(raw)).withColumn("weight", weight(F.col(probability)) / weight(F.col("_low"))).drop("_n", "_low")
+    rows = df.agg(F.count(F.lit(1)).alias("_n"), F.min(probability).alias("_low"))
+    counted = df.crossJoin(F.broadcast(rows.withColumn("_n", F.lit(size)) if size else rows))  # one row
+    if batch:
+        counted = join_on(counted.drop("_low"), df.groupBy(batch).agg(F.min(probability).alias("_low")), [batch])
+    return counted.withColumn("weight", weight(F.col(probability)) / weight(F.col("_low"))).drop("_n", "_low")
 
 
 def update_priorities(df: DataFrame, updates: DataFrame, alpha: float, epsilon: float = 0.0, key: str = "ord") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordinal import running
+from .ordinal import join_on, running
 
 
 def trade_summary(ledger: DataFrame, keys: list[str] = ["symbol"], balance: float = 100_000.0, fee: float = 0.001) -> DataFrame:  # noqa: B006
@@ -55,12 +55,12 @@ def dip_metrics_running(df: DataFrame, predicted: Column, actual: Column, keys:
     return _quality(running(df, _counts(predicted, actual), key=keys))
 
 
-def hit_streaks(df: DataFrame, hit: Column, counted: Column | None = None, keys: list[str] = ["symbol"], closes_last: Column | None = None) -> DataFrame:  # noqa: B006
+def hit_streaks(df: DataFrame, hit: Column, counted: Column | None = None, keys: list[str] = ["symbol"]) -> DataFrame:  # noqa: B006
     """Streaks of hits among the counted rows: every miss ends one (of 0 or more), the end of the series the open one,
     unless the last row was a miss. keys, avg_streak, max_streak, streaks."""
     counted = F.lit(True) if counted is None else counted
     last = df.groupBy(*keys).agg(F.max("ord").alias("_end"))
-    rows = df.withColumns({"_hit": F.coalesce(hit, F.lit(False)), "_counted": F.coalesce(counted, F.lit(False))}).join(last, keys)
+    rows = join_on(df.withColumns({"_hit": F.coalesce(hit, F.lit(False)), "_counted": F.coalesce(counted, F.lit(False))}), last, keys)
     rows = running(rows, {"_misses": (F.col("_counted") & ~F.col("_hit")).cast("int")}, key=keys)
     miss = F.col("_counted") & ~F.col("_hit")
     island = F.col("_misses") - miss.cast("int")

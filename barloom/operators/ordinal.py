@@ -1,45 +1,38 @@
-"""Dense ordinals, windows over chunks with a halo, prefix sums and as-of matches."""
+"""Dense ordinals, windows over chunks with a halo, prefix sums and as-of matches.
+
+Keys are compared null-safely: rows without a symbol are a series of their own.
+"""
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from barloom.storage import cut
+
 #: Bars of a series that one task holds; a series of any length takes as many tasks as it has chunks.
 CHUNK = 1 << 16
 
-
-@functools.cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="barloom-")
+#: Written once for the several steps that read it: plans stay short however many steps follow, nothing stays in memory,
+#: and what a lost executor held is read again.
+settled = cut
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to spark.checkpoint.dir and read back; a temporary folder only on a single machine."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"{(folder or _own_folder()).rstrip('/')}/barloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df, written once for the several steps that read it: plans stay short however many steps follow, nothing stays in
-    memory, and what a lost executor held is read again."""
-    return cut(df)
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which null keys meet null keys; the keys of right don't come along."""
+    named = right.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_on_{k}"))
+    return left.join(named, cond, how).drop(*[f"_on_{k}" for k in keys])
 
 
 def with_ordinal(df: DataFrame, step: int, key: str = "symbol") -> DataFrame:
     """ord: place on the series' grid of step milliseconds, without a sort."""
     first = df.groupBy(key).agg(F.min("timestamp").alias("_first"))
-    return df.join(first, key).withColumn("ord", ((F.col("timestamp") - F.col("_first")) / step).cast("long")).drop("_first")
+    return join_on(df, first, [key]).withColumn("ord", ((F.col("timestamp") - F.col("_first")) / step).cast("long")).drop("_first")
 
 
 def in_chunks(df: DataFrame, columns: Callable[[WindowSpec], dict[str, Column]], before: int = 0, after: int = 0, key: list[str] = ["symbol"], order: str = "ord", size: int = CHUNK) -> DataFrame:  # noqa: B006
@@ -63,7 +56,7 @@ def running(df: DataFrame, sums: dict[str, Column], key: list[str] = ["symbol"],
     earlier = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     heads = totals.select(*key, "_chunk", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_h_{n}") for n in sums])
     inside = Window.partitionBy(*key, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = chunked.join(heads, [*key, "_chunk"])
+    out = join_on(chunked, heads, [*key, "_chunk"])
     return out.withColumns({n: F.col(f"_h_{n}") + F.coalesce(F.sum(f"_x_{n}").over(inside), F.lit(0)) for n in sums}).drop("_chunk", *[f"_{p}_{n}" for n in sums for p in "xh"])
 
 
@@ -74,18 +67,49 @@ def forward_fill(df: DataFrame, columns: list[str], key: list[str] = ["symbol"],
     earlier = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     heads = last.select(*key, "_chunk", *[F.last(f"_l_{c}", ignorenulls=True).over(earlier).alias(f"_h_{c}") for c in columns])
     inside = Window.partitionBy(*key, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = chunked.join(heads, [*key, "_chunk"])
+    out = join_on(chunked, heads, [*key, "_chunk"])
     return out.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_h_{c}")) for c in columns}).drop("_chunk", *[f"_h_{c}" for c in columns])
 
 
+def running_best(df: DataFrame, column: str, out: str, best: Callable[[str], Column], key: list[str], order: str = "ord", size: int = CHUNK) -> DataFrame:
+    """Running extreme (best is F.max or F.min) of a column within each key; however long a key is, a task holds a chunk of it."""
+    chunked = df.withColumn("_chunk", F.floor(F.col(order) / size))
+    ends = chunked.groupBy(*key, "_chunk").agg(best(column).alias("_end"))
+    earlier = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    heads = ends.select(*key, "_chunk", best("_end").over(earlier).alias("_head"))
+    inside = Window.partitionBy(*key, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    pick = F.greatest if best is F.max else F.least
+    return join_on(chunked, heads, [*key, "_chunk"]).withColumn(out, pick("_head", best(column).over(inside))).drop("_chunk", "_head")
+
+
+def following(df: DataFrame, out: str, step: int, key: list[str] = ["symbol"], at: str = "timestamp", size: int = CHUNK) -> DataFrame:  # noqa: B006
+    """The next row's time, which may be far ahead: rows are cut into chunks of time, and a chunk's last row takes the first
+    time of the next chunk that has rows. At equal times a row follows the other."""
+    chunked = df.withColumn("_chunk", F.floor(F.col(at) / (step * size)))
+    first = chunked.groupBy(*key, "_chunk").agg(F.min(at).alias("_first"))
+    chain = first.select(*key, "_chunk", F.lead("_first").over(Window.partitionBy(*key).orderBy("_chunk")).alias("_later"))
+    inside = F.lead(at).over(Window.partitionBy(*key, "_chunk").orderBy(at))
+    return join_on(chunked, chain, [*key, "_chunk"]).withColumn(out, F.coalesce(inside, "_later")).drop("_chunk", "_later")
+
+
 def asof_align(base: DataFrame, other: DataFrame, on: str, value: str, out: str, key: str | None = "symbol", default: int = -1) -> DataFrame:
     """For each base row the value of the last other row whose `on` is not later; default before the first.
 
-    One shuffle: both sides are laid together and the value is carried forward, rows of other first on ties.
+    Both sides are laid together, rows of other first on ties, and dealt to ranges of (key, on) that Spark samples, so that
+    a key of any size and any number of ties are split. Within a range the value is carried forward; of each range one value
+    for each key goes on to the later ranges of that key. Rows whose `on` is null get the default.
     """
     keys = [key] if key else []
     left = base.select(*keys, F.col(on).alias("_on"), F.lit(1).alias("_side"), F.lit(None).cast(other.schema[value].dataType).alias("_v"), F.struct(*base.columns).alias("_row"))
-    right = other.select(*keys, F.col(on).alias("_on"), F.lit(0).alias("_side"), F.col(value).alias("_v"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"))
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_on", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right).withColumn("_v", F.last("_v", ignorenulls=True).over(w))
-    return both.filter("_side = 1").select("_row.*", F.coalesce("_v", F.lit(default)).alias(out))
+    right = other.filter(F.col(on).isNotNull()).select(*keys, F.col(on).alias("_on"), F.lit(0).alias("_side"), F.col(value).alias("_v"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"))
+    n = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = left.unionByName(right).withColumn("_tie", F.monotonically_increasing_id())
+    ranged = cut(both.repartitionByRange(n, *keys, "_on", "_side", "_tie").withColumn("_range", F.spark_partition_id()), "ranges")
+    last = ranged.filter("_side = 0 AND _v IS NOT NULL").groupBy(*keys, "_range").agg(F.max_by("_v", F.struct("_on", "_tie")).alias("_last"))
+    ranges = ranged.select(*keys, "_range").distinct()
+    held = join_on(ranges, last, [*keys, "_range"], "left")
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    heads = held.select(*keys, "_range", F.last("_last", ignorenulls=True).over(earlier).alias("_head"))
+    inside = Window.partitionBy("_range", *keys).orderBy("_on", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    rows = join_on(ranged, heads, [*keys, "_range"]).withColumn("_v", F.coalesce(F.last("_v", ignorenulls=True).over(inside), "_head"))
+    return rows.filter("_side = 1").select("_row.*", F.coalesce("_v", F.lit(default)).alias(out))

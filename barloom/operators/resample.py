@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.schema import MINUTES
 
-from .ordinal import asof_align
+from .ordinal import asof_align, join_on
 
 
 def _bars(grouped, at: str = "ord") -> DataFrame:
@@ -25,13 +25,27 @@ def resample(df: DataFrame, mult: int, offset: int = 0) -> DataFrame:
 
 
 def resample_phases(df: DataFrame, mult: int, step: int = 1, offset: int = 0) -> DataFrame:
-    """Bars of mult rows that start at every step-th row: phase, and ord within the phase. One table for all phases."""
-    phases = mult // step
-    start = F.col("ord") - offset
-    starts = F.filter(F.transform(F.sequence(F.lit(0), F.lit(phases - 1)), lambda p: F.floor((start - p * step) / mult) * mult + p * step), lambda s: s >= 0)
-    rows = df.filter(start >= 0).withColumn("_start", F.explode(starts))
-    out = _bars(rows.groupBy("symbol", "_start")).filter(F.col("_rows") == mult)
-    return out.withColumns({"phase": (F.pmod(F.col("_start"), F.lit(mult)) / step).cast("int"), "ord": F.floor(F.col("_start") / mult)}).drop("_rows", "_start")
+    """Bars of mult rows that start at every step-th row: phase, and ord within the phase. One table for all phases.
+
+    A bar's rows are the end of one block of mult rows and the beginning of the next. So running sums and extremes from
+    both ends of each block give every phase by one join of a row with the row mult - 1 before it: what is shuffled
+    doesn't grow with mult. ord must be dense.
+    """
+    place, block = F.col("ord") - offset, F.floor((F.col("ord") - offset) / mult)
+    sums, kinds = ["volume", "asset_volume_quote", "trades_number"], {"price_high": (F.max, F.greatest), "price_low": (F.min, F.least)}
+    rows = df.filter(place >= 0).select("symbol", "ord", "timestamp", "timestamp_close", "price", "price_open", *kinds, *sums).withColumn("_block", block)
+    w = Window.partitionBy("symbol", "_block").orderBy("ord")
+    head, tail = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    best = {**{c: F.sum for c in sums}, **{c: k[0] for c, k in kinds.items()}}
+    rows = rows.withColumns({**{f"_h_{c}": f(c).over(head) for c, f in best.items()}, **{f"_t_{c}": f(c).over(tail) for c, f in best.items()}})
+    first = rows.filter(F.pmod(F.pmod(place, F.lit(mult)), F.lit(step)) == 0).select("symbol", (F.col("ord") + (mult - 1)).alias("ord"), F.col("timestamp").alias("_start"), F.col("price_open").alias("_open"), F.col("_block").alias("_first"), *[F.col(f"_t_{c}").alias(f"_f_{c}") for c in best])
+    both = join_on(rows.drop(*[f"_t_{c}" for c in best]), first, ["symbol", "ord"])
+    two = F.col("_first") != F.col("_block")
+    made = {c: F.when(two, F.col(f"_f_{c}") + F.col(f"_h_{c}")).otherwise(F.col(f"_h_{c}")) for c in sums}
+    made |= {c: F.when(two, k[1](f"_f_{c}", f"_h_{c}")).otherwise(F.col(f"_h_{c}")) for c, k in kinds.items()}
+    start = F.col("end_ord") - (mult - 1) - offset
+    out = both.select("symbol", F.col("_start").alias("timestamp"), "timestamp_close", "price", F.col("_open").alias("price_open"), *[made[c].alias(c) for c in (*kinds, *sums)], F.col("ord").alias("end_ord"))
+    return out.withColumns({"phase": (F.pmod(start, F.lit(mult)) / step).cast("int"), "ord": F.floor(start / mult)}).filter(F.pmod(start, F.lit(mult)) < mult // step * step)
 
 
 def multiplier(layer: str, fidelity: str = "1m") -> int:
@@ -49,16 +63,28 @@ def phase_slot(ms: Column, run: str, layer: str) -> Column:
     return F.floor(since / unit).cast("int")
 
 
-def warmup(mults: list[int], lookback: int, divider: int = 1) -> tuple[int, int]:
-    """Rows before every layer has a full look-back, and the first row to run from."""
+def run_divider(fidelity: str, run: str) -> int:
+    """Input rows in one step of a run."""
+    if run not in ("1m", "5m", "10m", "15m", "30m", "1h") or MINUTES[run] % MINUTES[fidelity]:
+        raise ValueError(f"no run at {run} on bars of {fidelity}")
+    return MINUTES[run] // MINUTES[fidelity]
+
+
+def warmup(mults: list[int], lookback: int, rows: int | None = None, divider: int = 1) -> tuple[int, int, int | None]:
+    """Rows before every layer has a full look-back, the first row to run from, and the steps of a series of so many rows."""
     offset = max(mults) * lookback
-    return offset, offset - 1
+    return offset, offset - 1, None if rows is None else max(0, (rows - offset) // divider)
+
+
+def close_boundary(column: str = "timestamp_close") -> Column:
+    """A bar that ends at 11:59:59.999 meets 12:00."""
+    return F.col(column) + 1
 
 
 def align_bars(base: DataFrame, other: DataFrame, out: str = "other_ord") -> DataFrame:
     """The last bar of other that has closed when each base bar closes; -1 before the first."""
-    key = F.col("timestamp_close") + 1
-    return asof_align(base.withColumn("close_key", key), other.withColumn("close_key", key), "close_key", "ord", out)
+    keyed = lambda df: df.withColumn("close_key", close_boundary())
+    return asof_align(keyed(base), keyed(other), "close_key", "ord", out)
 
 
 def drop_incomplete(df: DataFrame, counts: list[str], lookback: int) -> DataFrame:

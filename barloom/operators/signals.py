@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordinal import running
+from .ordinal import join_on, running
 
 
 def signals_hodl(df: DataFrame) -> DataFrame:
     """Buy on the first bar, sell on the last."""
     ends = df.groupBy("symbol").agg(F.min("ord").alias("_a"), F.max("ord").alias("_b"))
-    return df.join(ends, "symbol").withColumn("action", F.when(F.col("ord") == F.col("_a"), 1).when(F.col("ord") == F.col("_b"), 2).otherwise(0)).drop("_a", "_b")
+    return join_on(df, ends, ["symbol"]).withColumn("action", F.when(F.col("ord") == F.col("_a"), 1).when(F.col("ord") == F.col("_b"), 2).otherwise(0)).drop("_a", "_b")
 
 
 def signals_time(df: DataFrame, buy: int, sell: int) -> DataFrame:

@@ -24,20 +24,37 @@ def param_grid(spark: SparkSession, fields: Mapping[str, Iterable]) -> DataFrame
     return grid.withColumn("run_id", run_id(*[F.col(c).cast("string") for c in fields]))
 
 
+def run_count(grid: DataFrame) -> int:
+    return grid.count()
+
+
+#: Most runs of a grid that is broadcast.
+BROADCAST_RUNS = 10_000
+
+
 def run_matrix(data: DataFrame, grid: DataFrame) -> DataFrame:
-    """Every run over all rows. The grid is broadcast: it has a row for each configuration."""
-    return data.crossJoin(F.broadcast(grid))
+    """Every run over all rows. A grid of up to BROADCAST_RUNS runs is broadcast; a larger one is left to Spark."""
+    return data.crossJoin(F.broadcast(grid) if run_count(grid.limit(BROADCAST_RUNS + 1)) <= BROADCAST_RUNS else grid)
+
+
+def filter_runs(runs: DataFrame, kinds: Iterable[str] = ("deep", "hodl"), kind: str = "kind") -> DataFrame:
+    """Runs of these kinds of strategy alone, as where rule strategies are skipped; without it all runs are evaluated."""
+    return runs.filter(F.col(kind).isin(*kinds))
 
 
 def repeat(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
-def results_table(df: DataFrame, kind: str) -> DataFrame:
-    """The layout of trade or dip results; what df lacks is null."""
+def results_table(df: DataFrame, kind: str, more: Iterable[str] = ()) -> DataFrame:
+    """The layout of trade or dip results, and more columns behind; what df lacks is null."""
     names, source = (TRADE_RESULT, _TRADE_FROM) if kind == "trade" else (DIP_RESULT, _DIP_FROM)
-    return df.select(*[(F.col(s) if s in df.columns else F.lit(None).cast("string")).alias(n) for n, s in zip(names, source)])
+    return df.select(*[(F.col(s) if s in df.columns else F.lit(None).cast("string")).alias(n) for n, s in zip(names, source)], *more)
+
+
+# Columns that the compact report leaves out.
+DETAIL = ["Data", "Env", "Acc%", "Prec%", "Rec%", "-Rec%", "AvgStreak", "MaxStreak", "Multipliers"]
 
 
 def compact_report(df: DataFrame) -> DataFrame:
-    return df.drop("Data", "Env", "Acc%", "Prec%", "Rec%", "-Rec%", "AvgStreak", "MaxStreak", "Multipliers")
+    return df.drop(*DETAIL)

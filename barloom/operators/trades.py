@@ -8,14 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chains import taken
 from .exits import first_exits
-from .ordinal import CHUNK, forward_fill, in_chunks, running, settled
-
-#: Bars searched after an entry in its own window, and bars of a block whose extremes tell whether to search it.
-NEAR, BLOCK = 64, 256
+from .ordinal import CHUNK, forward_fill, join_on, running, running_best, settled
 
 
 @dataclass(frozen=True)
@@ -28,44 +26,6 @@ class Exits:
     trailing_only: bool = False
 
 
-def _reason(price: Column, entry: Column, cfg: Exits) -> Column:
-    """1 take-profit, -1 stop-loss, null neither."""
-    worth = (1 - cfg.fee) * price / entry
-    out = F.when(F.lit(False), 0)
-    if cfg.take_profit is not None and not cfg.trailing_only:
-        out = out.when(worth - 1 >= cfg.take_profit, 1)
-    if cfg.stop_loss is not None:
-        out = out.when(1 - worth >= cfg.stop_loss, -1)
-    return out
-
-
-def _crossings(df: DataFrame, cfg: Exits, keys: list[str]) -> DataFrame:
-    """Entries (keys, entry) with cross, the first later row without a sell at which a level is met."""
-    near = in_chunks(df, lambda w: {"_ahead": F.collect_list(F.struct("price", "action")).over(w.rowsBetween(1, NEAR))}, after=NEAR, key=keys).filter("action = 1")
-    hits = F.transform("_ahead", lambda x: F.when((x.action != 2) & _reason(x.price, F.col("price"), cfg).isNotNull(), 1).otherwise(0))
-    at = F.array_position(hits, 1)
-    near = near.select(*keys, F.col("ord").alias("entry"), F.col("price").alias("entry_price"), "next_sell", F.when(at > 0, F.col("ord") + at).alias("cross"))
-    open_ = near.filter(F.col("cross").isNull() & (F.coalesce("next_sell", F.lit(1 << 62)) > F.col("entry") + NEAR))
-    # The first block behind that crosses a level, by its extremes among rows without a sell; then the row in it.
-    quiet = df.filter("action <> 2").withColumn("_block", F.floor(F.col("ord") / BLOCK))
-    blocks = quiet.groupBy(*[F.col(k).alias(f"b_{k}") for k in keys], F.col("_block")).agg(F.max("price").alias("_hi"), F.min("price").alias("_lo"), F.max("ord").alias("_last"))
-    same = lambda p: [F.col(k).eqNullSafe(F.col(f"{p}_{k}")) for k in keys]
-    meets = _reason(F.col("_hi"), F.col("entry_price"), cfg).isNotNull() | _reason(F.col("_lo"), F.col("entry_price"), cfg).isNotNull()
-    behind = (F.col("_last") > F.col("entry") + NEAR) & ((F.col("_block")) * BLOCK <= F.coalesce("next_sell", F.lit(1 << 62)))
-    cond = meets & behind
-    for c in same("b"):
-        cond = cond & c
-    first = open_.join(blocks, cond).groupBy(*keys, "entry", "entry_price").agg(F.sort_array(F.collect_set("_block")).alias("_blocks"))
-    # Only the entry's own partial block can cross before the entry; so the first two candidates suffice.
-    wanted = first.withColumn("_block", F.explode(F.slice("_blocks", 1, 2))).drop("_blocks")
-    rows = quiet.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("_block").alias("r_block"), F.col("ord").alias("r_ord"), F.col("price").alias("r_price"))
-    inside = (F.col("_block") == F.col("r_block")) & (F.col("r_ord") > F.col("entry") + NEAR) & _reason(F.col("r_price"), F.col("entry_price"), cfg).isNotNull()
-    for c in same("r"):
-        inside = inside & c
-    far = wanted.join(rows, inside).groupBy(*keys, "entry").agg(F.min("r_ord").alias("far"))
-    return near.join(far, [*keys, "entry"], "left").withColumn("cross", F.coalesce("cross", "far")).drop("far")
-
-
 def match_trades(df: DataFrame, cfg: Exits = Exits(), keys: list[str] = ["symbol"]) -> DataFrame:  # noqa: B006
     """keys, entry_ord, exit_ord (null: open at the end), entry_price, exit_price, reason (1, -1, 0), profit, fees."""
     if cfg.trailing is not None and cfg.take_profit is None:
@@ -73,33 +33,24 @@ def match_trades(df: DataFrame, cfg: Exits = Exits(), keys: list[str] = ["symbol
     df = df.select(*keys, "ord", "price", "action")
     back = df.withColumns({"_back": -F.col("ord"), "next_sell": F.when(F.col("action") == 2, F.col("ord"))})
     df = settled(forward_fill(back, ["next_sell"], key=keys, order="_back").drop("_back"))
-    if cfg.trailing is not None:
-        exits = first_exits(df, cfg, keys)
-    elif cfg.take_profit is None and cfg.stop_loss is None:
-        exits = df.filter("action = 1").select(*keys, F.col("ord").alias("entry"), F.col("price").alias("entry_price"), "next_sell", F.lit(None).cast("long").alias("cross"))
+    if cfg.take_profit is None and cfg.stop_loss is None:
+        exits = df.filter("action = 1").select(*keys, F.col("ord").alias("entry"), F.col("price").alias("entry_price"), "next_sell", F.lit(None).cast("long").alias("cross"), F.lit(None).cast("int").alias("cross_reason"))
     else:
-        exits = _crossings(df, cfg, keys)
+        exits = first_exits(df, cfg, keys)
     exits = exits.withColumn("exit", F.least("next_sell", "cross"))
-    forced = "cross_reason" in exits.columns
-    candidate = F.struct("entry", "exit", "entry_price", (F.col("cross_reason") if forced else F.lit(None).cast("int")).alias("forced"), (F.col("exit") == F.col("next_sell")).alias("sold"))
-    start = F.struct(F.lit(-1).cast("long").alias("free"), F.array().cast(f"array<{_kind(exits, candidate)}>").alias("kept"))
-    chain = exits.groupBy(*keys).agg(F.sort_array(F.collect_list(candidate)).alias("_c")).select(*keys, F.aggregate("_c", start, lambda a, x: F.when(x.entry > a.free, F.struct(F.coalesce(x.exit, F.lit(1 << 62)).alias("free"), F.concat(a.kept, F.array(x)).alias("kept"))).otherwise(a)).kept.alias("_kept"))
-    taken = chain.select(*keys, F.explode("_kept").alias("t")).select(*keys, F.col("t.entry").alias("entry_ord"), F.col("t.exit").alias("exit_ord"), F.col("t.entry_price").alias("entry_price"), F.col("t.forced").alias("_forced"), F.col("t.sold").alias("_sold"))
+    kept = taken(exits.select(*keys, "entry", "exit", "entry_price", F.col("cross_reason").alias("_forced"), (F.col("exit") == F.col("next_sell")).alias("_sold")), keys)
+    kept = kept.select(*keys, F.col("entry").alias("entry_ord"), F.col("exit").alias("exit_ord"), "entry_price", "_forced", "_sold")
     prices = df.select(*keys, F.col("ord").alias("exit_ord"), F.col("price").alias("exit_price"))
-    out = taken.join(prices, [*keys, "exit_ord"], "left")
+    out = join_on(kept, prices, [*keys, "exit_ord"], "left")
     ratio = (1 - cfg.fee) * (1 - cfg.fee) * F.col("exit_price") / F.col("entry_price")
-    reason = F.when(F.col("exit_ord").isNull(), None).when(F.coalesce("_sold", F.lit(False)), 0).otherwise(F.coalesce(F.col("_forced"), _reason(F.col("exit_price"), F.col("entry_price"), cfg)))
+    reason = F.when(F.col("exit_ord").isNull(), None).when(F.coalesce("_sold", F.lit(False)), 0).otherwise(F.col("_forced"))
     return settled(out.select(*keys, "entry_ord", "exit_ord", "entry_price", "exit_price", reason.cast("int").alias("reason"), (cfg.balance * (ratio - 1)).alias("profit"), (cfg.fee * cfg.balance + F.coalesce(cfg.balance * (1 - cfg.fee) * F.col("exit_price") / F.col("entry_price") * cfg.fee, F.lit(0.0))).alias("fees")))
 
 
-def _kind(df: DataFrame, column: Column) -> str:
-    return df.select(column.alias("x")).schema["x"].dataType.simpleString()
-
-
 def ledger(df: DataFrame, trades: DataFrame, cfg: Exits = Exits(), keys: list[str] = ["symbol"]) -> DataFrame:  # noqa: B006
     """Every step with made, reason, bought, sold, in_position (after it), net_worth, drawdown, highest and counters."""
     entries = trades.select(*keys, F.col("entry_ord").alias("ord"), F.col("entry_ord").alias("_e"), F.col("entry_price").alias("_p"), F.coalesce("exit_ord", F.lit(1 << 62)).alias("_x"), F.col("reason").alias("_r"))
-    joined = settled(df.join(entries, [*keys, "ord"], "left"))
+    joined = settled(join_on(df, entries, [*keys, "ord"], "left"))
     rows = forward_fill(joined, ["_e", "_p", "_x", "_r"], key=keys)
     inside = F.coalesce(F.col("ord") <= F.col("_x"), F.lit(False))
     units = cfg.balance * (1 - cfg.fee) / F.col("_p")
@@ -110,12 +61,10 @@ def ledger(df: DataFrame, trades: DataFrame, cfg: Exits = Exits(), keys: list[st
         "reason": F.when(sold, F.coalesce("_r", F.lit(0))).otherwise(0),
     }).withColumn("made", F.col("bought") | F.col("sold"))
     # Rows out of position need no peak: they are dealt by chunks of time.
-    trade = F.when(F.col("in_position"), F.col("_e")).otherwise(-1 - F.floor(F.col("ord") / CHUNK))
-    since = Window.partitionBy(*keys, trade).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    peak = F.when(F.col("in_position"), F.max("price").over(since))
-    rows = rows.withColumn("highest", peak)
-    island = Window.partitionBy(*keys, trade, "highest").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("drawdown", F.when(F.col("in_position"), F.min("price").over(island) / F.col("highest") - 1).otherwise(0.0))
+    rows = rows.withColumn("_trade", F.when(F.col("in_position"), F.col("_e")).otherwise(-1 - F.floor(F.col("ord") / CHUNK)))
+    rows = running_best(rows, "price", "_peak", F.max, [*keys, "_trade"])
+    rows = running_best(rows, "price", "_trough", F.min, [*keys, "_trade", "_peak"])
+    rows = rows.withColumns({"highest": F.when(F.col("in_position"), F.col("_peak")), "drawdown": F.when(F.col("in_position"), F.col("_trough") / F.col("_peak") - 1).otherwise(0.0)}).drop("_trade", "_peak", "_trough")
     rows = settled(rows)
     counted = running(rows, {"buys": F.col("bought").cast("int"), "sells": F.col("sold").cast("int"), "total_profit": F.when(F.col("sold"), F.col("net_worth") - cfg.balance).otherwise(0.0)}, key=keys)
     return counted.withColumn("entry_price", F.when(F.col("in_position"), F.col("_p"))).drop("_e", "_p", "_x", "_r")
@@ -124,7 +73,7 @@ def ledger(df: DataFrame, trades: DataFrame, cfg: Exits = Exits(), keys: list[st
 def until_ruin(ledger_: DataFrame, keys: list[str] = ["symbol"], least: float = 0.1) -> DataFrame:  # noqa: B006
     """Steps up to the first with a net worth of least or less."""
     end = ledger_.filter(F.col("net_worth") <= least).groupBy(*keys).agg(F.min("ord").alias("_end"))
-    return ledger_.join(end, keys, "left").filter(F.col("ord") <= F.coalesce("_end", F.lit(1 << 62))).drop("_end")
+    return join_on(ledger_, end, keys, "left").filter(F.col("ord") <= F.coalesce("_end", F.lit(1 << 62))).drop("_end")
 
 
 def check_mode(mode: str) -> None:

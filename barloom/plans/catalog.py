@@ -91,8 +91,8 @@ def gap_filled_to_day(spark, d):
 @register(with_(_C, f"SELECT symbol, timestamp, {s6('price', 'volume')}, CASE WHEN timestamp < (SELECT min(timestamp) + 864000000 FROM c) THEN 'train' ELSE 'test' END AS part FROM c"))
 def train_test_split(spark, d):
     df = candles.select_raw(candles.event_candles(spark, d), ["symbol", "timestamp", "price", "volume"])
-    cut = df.agg(F.min("timestamp")).first()[0] + 10 * DAY
-    parts = [candles.split_by_time(df, end=cut).withColumn("part", F.lit("train")), candles.split_by_time(df, start=cut).withColumn("part", F.lit("test"))]
+    first = df.agg((F.min("timestamp") + 10 * DAY).alias("cut")).scalar()
+    parts = [candles.split_by_time(df, end=first).withColumn("part", F.lit("train")), candles.split_by_time(df, start=first).withColumn("part", F.lit("test"))]
     return parts[0].unionByName(parts[1]).select("symbol", "timestamp", *r6("price", "volume"), "part")
 
 
@@ -115,6 +115,31 @@ def pct_features(spark, d):
     return clean.clean_features(df, [*_PCT, "total_volume"]).select("symbol", "ord", *r6(*_PCT, "total_volume"))
 
 
+@register(with_(_O, """, n AS (SELECT symbol, ord, CASE WHEN ord % 5 <> 3 AND ord % 11 > 1 THEN price END AS q FROM o), z AS (SELECT *, last_value(q IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ord) AS f FROM n)
+SELECT symbol, ord, round(q, 6) AS q, round(f / nullif(lag(f) OVER (PARTITION BY symbol ORDER BY ord), 0) - 1, 6) AS filled, round(q / nullif(lag(q) OVER (PARTITION BY symbol ORDER BY ord), 0) - 1, 6) AS bare FROM z"""))
+def pct_change_nulls(spark, d):
+    """Changes of a price of which some are missing."""
+    df = base(spark, d).withColumn("q", F.when((F.col("ord") % 5 != 3) & (F.col("ord") % 11 > 1), F.col("price")))
+    df = ft.pct_change(ft.pct_change(df, {"filled": "q"}), {"bare": "q"}, fill=False)
+    return df.select("symbol", "ord", *r6("q", "filled", "bare"))
+
+
+def _span_sql(spans: list[int]) -> str:
+    parts = []
+    for w in spans:
+        f = f"OVER (PARTITION BY symbol ORDER BY timestamp RANGE BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
+        full = f"CASE WHEN timestamp - min(timestamp) OVER (PARTITION BY symbol) + 3600000 >= {w} THEN "
+        parts += [f"round({full}(price - avg(price) {f}) / nullif(stddev_samp(price) {f}, 0) END, 6) AS zscore_{w}", f"round({full}price / nullif(max(price) {f}, 0) END, 6) AS to_max_{w}", f"round({full}price / nullif(avg(price) {f}, 0) END, 6) AS to_avg_{w}"]
+    return f"SELECT symbol, timestamp, {', '.join(parts)} FROM c"
+
+
+@register(with_(_C, _span_sql([12 * HOUR, 7 * DAY])))
+def rolling_by_time(spark, d):
+    """Windows of half a day and of a week on candles with gaps."""
+    df = ft.rolling_features(candles.event_candles(spark, d), "price", [12 * HOUR, 7 * DAY], by="time", step=HOUR)
+    return df.select("symbol", "timestamp", *r6(*_rolling_names([12 * HOUR, 7 * DAY])))
+
+
 def _rolling_sql(column: str, sizes: list[int], source: str) -> str:
     parts = []
     for w in sizes:
@@ -157,7 +182,11 @@ def rolling_features_large(spark, d):
 _K = "TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)"
 
 
-@register(with_(_O, f"SELECT symbol, ord, {_K} AS k, round({_K} / nullif(lag({_K}) OVER (PARTITION BY symbol ORDER BY ord), 0) - 1, 6) AS k_percent FROM o"))
+# Changes of indicators run over the last values that are numbers.
+_KF = f", kf AS (SELECT *, {_K} AS k, last_value({_K} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ord) AS kk FROM "
+
+
+@register(with_(_O, _KF + "o) SELECT symbol, ord, k, round(kk / nullif(lag(kk) OVER (PARTITION BY symbol ORDER BY ord), 0) - 1, 6) AS k_percent FROM kf"))
 def indicator_features(spark, d):
     df = ft.pct_change(ft.explode_indicators(base(spark, d), ["k"]), {"k_percent": "k"})
     return df.select("symbol", "ord", "k", *r6("k_percent"))
@@ -186,9 +215,9 @@ def _feature_query(kind: str):
         df, columns = ft.feature_set(base(spark, d), kind, ["k"], "day_of_week")
         return clean.clean_features(df, [c for c in columns if c != "timestamp_close"]).select("symbol", "ord", *[F.round(F.col(c), 6).alias(f"x{i}") for i, c in enumerate(columns)])
 
-    k = f"{_K} / nullif(lag({_K}) OVER (PARTITION BY symbol ORDER BY ord), 0) - 1" if kind == "all_percents" else _K
+    k = "kk / nullif(lag(kk) OVER (PARTITION BY symbol ORDER BY ord), 0) - 1" if kind == "all_percents" else "k"
     columns = [*ft.FEATURE_TYPES[kind], k, f"(isodow({_CLOSE}) - 1) / 6"]
-    register(with_(_P, "SELECT symbol, ord, " + ", ".join(f"round(coalesce({c}, 0), 6) AS x{i}" for i, c in enumerate(columns)) + " FROM p"), f"feature_set_{kind}")(run)
+    register(with_(_P, _KF + "p) SELECT symbol, ord, " + ", ".join(f"round(coalesce({c}, 0), 6) AS x{i}" for i, c in enumerate(columns)) + " FROM kf"), f"feature_set_{kind}")(run)
 
 
 for _kind in ft.FEATURE_TYPES:
@@ -224,6 +253,15 @@ def phase_features_4h(spark, d):
     return df.select("symbol", F.col("phase").cast("long").alias("phase"), "end_ord", *r6("price_percent"))
 
 
+@register(with_(_O, """SELECT symbol, (ord - 173) % 168 // 6 AS phase, (ord - 173) // 168 AS ord, ord AS end_ord, lag(timestamp, 167) OVER v AS timestamp, CAST(sum(trades_number) OVER w AS BIGINT) AS trades_number, round(lag(price_open, 167) OVER v, 6) AS price_open,
+  round(price, 6) AS price, round(max(price_high) OVER w, 6) AS price_high, round(min(price_low) OVER w, 6) AS price_low, round(sum(volume) OVER w, 4) AS volume
+FROM o WHERE ord >= 6 WINDOW v AS (PARTITION BY symbol ORDER BY ord), w AS (PARTITION BY symbol ORDER BY ord ROWS BETWEEN 167 PRECEDING AND CURRENT ROW) QUALIFY count(*) OVER w = 168 AND (ord - 173) % 6 = 0"""))
+def resample_phases_1w(spark, d):
+    """Weeks that start every six hours, from the seventh bar on."""
+    df = resample.resample_phases(base(spark, d), 168, 6, 6)
+    return df.select("symbol", F.col("phase").cast("long").alias("phase"), "ord", "end_ord", "timestamp", "trades_number", *r6("price_open", "price", "price_high", "price_low"), F.round("volume", 4).alias("volume"))
+
+
 _PAIRS = [("1m", "15m"), ("1m", "1h"), ("1m", "1d"), ("1m", "1w"), ("5m", "1h"), ("15m", "1d"), ("30m", "4h"), ("1h", "4h"), ("1h", "1d"), ("1h", "1w")]
 
 
@@ -289,6 +327,15 @@ def multi_lookback_time_major(spark, d):
     return both.select("symbol", "end_ord", _text(windows.flatten_time_major("coarse", "fine")).alias("times"))
 
 
+@register(with_(_O, """SELECT symbol, ord AS end_ord, array_to_string(list_transform([price, volume, price], lambda x: printf('%.4f', x)), ',') AS layers FROM o WHERE ord >= 3"""))
+def multi_lookback_one(spark, d):
+    """A look-back of one row: the layers' features one after the other."""
+    df = base(spark, d)
+    fine = ft.assemble(df.withColumns({"end_ord": F.col("ord"), "phase": F.lit(0)}), ["price", "volume"])
+    both = windows.multi_lookback({"fine": fine, "coarse": ft.assemble(resample.resample_phases(df, 4), ["price"])}, 1)
+    return both.select("symbol", "end_ord", _text(windows.flatten_layer_major("fine", "coarse")).alias("layers"))
+
+
 # ---- labels --------------------------------------------------------------------------------------------------------
 
 _RUNS = _O + """, u AS (SELECT *, lead(price) OVER (PARTITION BY symbol ORDER BY ord) > price AS up FROM o),
@@ -410,7 +457,18 @@ register(recursive(_ACT, _walk(None, None) + _TRADES), "trades_signal")(_trades(
 register(recursive(_ACT, _walk(0.5, 0.3) + _TRADES), "trades_tpsl")(_trades(LEVEL_EXITS))
 
 
-@register(name="trades_trailing")
+_TRAIL = """, walk AS (SELECT symbol, ord, price, action, CASE WHEN action = 1 THEN price END AS ep, CASE WHEN action = 1 THEN ord END AS eo, CASE WHEN action = 1 THEN price END AS high, FALSE AS sold, 0 AS reason,
+  CAST(NULL AS DOUBLE) AS sold_ep, CAST(NULL AS BIGINT) AS sold_eo FROM act WHERE ord = 0
+UNION ALL SELECT symbol, ord, price, action, CASE WHEN sold THEN NULL WHEN ep IS NULL AND action = 1 THEN price ELSE ep END, CASE WHEN sold THEN NULL WHEN ep IS NULL AND action = 1 THEN ord ELSE eo END,
+  CASE WHEN sold THEN NULL WHEN ep IS NULL THEN CASE WHEN action = 1 THEN price END ELSE greatest(high, price) END, sold, reason, CASE WHEN sold THEN ep END, CASE WHEN sold THEN eo END
+  FROM (SELECT a.symbol, a.ord, a.price, a.action, s.ep, s.eo, s.high, s.ep IS NOT NULL AND (a.action = 2 OR (s.high >= s.ep * 1.2 AND a.price <= s.high * 0.95) OR 1 - 0.999 * a.price / s.ep >= 0.3) AS sold,
+    CASE WHEN s.ep IS NULL OR a.action = 2 THEN 0 WHEN s.high >= s.ep * 1.2 AND a.price <= s.high * 0.95 THEN 1 ELSE -1 END AS reason
+    FROM walk s JOIN act a ON a.symbol = s.symbol AND a.ord = s.ord + 1))
+SELECT symbol, sold_eo AS entry_ord, ord AS exit_ord, reason, round(100000 * (0.999 * 0.999 * price / sold_ep - 1), 4) AS profit FROM walk WHERE sold
+UNION ALL SELECT symbol, eo, NULL, NULL, NULL FROM walk l WHERE eo IS NOT NULL AND ord = (SELECT max(ord) FROM act x WHERE x.symbol = l.symbol)"""
+
+
+@register(recursive(_ACT, _TRAIL))
 def trades_trailing(spark, d):
     found = trades.match_trades(acted(spark, d), trades.Exits(take_profit=0.2, stop_loss=0.3, trailing=0.05, trailing_only=True))
     return found.select("symbol", "entry_ord", "exit_ord", "reason", F.round("profit", 4).alias("profit"))
@@ -439,6 +497,17 @@ def portfolio_channels(spark, d):
     return df.select("symbol", "ord", *r6("ch_net_worth", "ch_drawdown", "ch_take_profit", "ch_stop_loss"), "ch_position")
 
 
+@register(recursive(_ACT, _LED + """, ch AS (SELECT symbol, ord, price, CASE WHEN in_position THEN net_worth / 100000 - 1 ELSE 0 END AS nw, drawdown AS dd, CAST(in_position AS DOUBLE) AS ps FROM led),
+m AS (SELECT symbol, ord, price, nw, dd, CASE WHEN nw > 0 THEN nw / 0.5 ELSE 0 END AS tp, CASE WHEN nw < 0 THEN -nw / 0.3 ELSE 0 END AS sl, ps FROM ch)
+SELECT symbol, ord, array_to_string(list_transform(flatten(list([price, nw, dd, tp, sl, ps]) OVER w), lambda x: printf('%.3f', x + 0.0)), ',') AS observation FROM m WINDOW w AS (PARTITION BY symbol ORDER BY ord ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) QUALIFY count(*) OVER w = 3"""))
+def observations(spark, d):
+    """Three rows of features, each followed by its portfolio channels."""
+    led = ordinal.settled(windows.portfolio_channels(_ledger(spark, d), 0.5, 0.3, 100_000.0))
+    own = windows.lookback(ft.assemble(led, ["price"]), 3, out="own").select("symbol", F.col("ord").alias("end_ord"), "own")
+    both = windows.with_channels(own, led, 3, "own")
+    return both.select("symbol", F.col("end_ord").alias("ord"), _text(F.transform("observation", lambda x: F.round(x, 12) + 0.0), 3).alias("observation"))
+
+
 # ---- rewards -------------------------------------------------------------------------------------------------------
 
 MULTIPLIERS = {"combo_sell": 2.0, "combo_buy": 0.5, "combo_noaction": 0.25, "combo_wrongaction": -0.01, "combo_positionprofitpercentage": 3.0, "combo_buy_profitable_offset": 4.0}
@@ -591,6 +660,28 @@ def results_layout(spark, d):
     return table.select("Data", F.round(F.col("`$`"), 3).alias("$"), "Wins", "Losses", F.col("`#trades`").alias("#trades"), "Multipliers")
 
 
+@register(with_(_CALLS, f""", n AS (SELECT symbol, {_COUNTS.format('')} FROM calls GROUP BY symbol){_QUALITY}, rated AS (SELECT symbol, {_QUALITY_OUT} FROM k),
+st AS ({_streak_sql("p AND a", "p").replace(", h AS", "WITH h AS", 1)}), rw AS (SELECT symbol, sum(CASE WHEN p AND a THEN 1 WHEN p THEN -1 WHEN a THEN -10 ELSE 0.01 END) AS reward FROM calls GROUP BY symbol)
+SELECT symbol AS "Data", 'dip' AS "Env", 'k' AS "Name", round(reward, 4) AS "Rewards", f1 AS "F1", ratio AS "Ratio", balanced AS "Acc%", precision AS "Prec%", recall AS "Rec%", negative_recall AS "-Rec%", avg_streak AS "AvgStreak", max_streak AS "MaxStreak", totals AS "Totals", '1.000;-1.000;' AS "Multipliers"
+FROM rated JOIN st USING (symbol) JOIN rw USING (symbol)"""))
+def results_layout_dip(spark, d):
+    calls = ordinal.settled(_calls(spark, d))
+    called = F.col("action") == 1
+    quality = _quality(metrics.dip_metrics(calls, called, F.col("is_dip"), ["symbol"]), "symbol")
+    streaks = metrics.hit_streaks(calls, called & F.col("is_dip"), called).select("symbol", *r6("avg_streak"), "max_streak")
+    sums = calls.groupBy("symbol").agg(F.round(F.sum(metrics.dip_reward(called, F.col("is_dip"))), 4).alias("total_reward"))
+    done = quality.join(streaks, "symbol").join(sums, "symbol").withColumns({"data": F.col("symbol"), "env": F.lit("dip"), "name": F.lit("k"), "multipliers": metrics.fmt_multipliers([1.0, -1.0])})
+    return sweep.results_table(done, "dip")
+
+
+@register(recursive(_ACT, _LED + f""", t AS (SELECT *, {_STAT} FROM led) SELECT 'x' AS "Name", round(coalesce(sum(profit), 0), 3) AS "$", count(*) FILTER (profit >= 0) AS "Wins", count(*) FILTER (profit < 0) AS "Losses", count(*) FILTER (made) / 2 AS "#trades", r AS repeat FROM t, (VALUES (0), (1), (2)) x(r) GROUP BY symbol, r"""))
+def compact_repeats(spark, d):
+    """The compact report of runs that are repeated three times."""
+    done = sweep.repeat(metrics.trade_summary(_ledger(spark, d)).withColumns({"data": F.col("symbol"), "name": F.lit("x")}), 3)
+    report = sweep.compact_report(sweep.results_table(done, "trade", ["repeat"]))
+    return report.select("Name", F.round(F.col("`$`"), 3).alias("$"), "Wins", "Losses", F.col("`#trades`").alias("#trades"), "repeat")
+
+
 # ---- experience ----------------------------------------------------------------------------------------------------
 
 def _steps(spark, d):
@@ -626,6 +717,21 @@ def priority_pick(spark, d):
     return experience.sample_priority(_weighted(spark, d), draws).select("k", "picked")
 
 
+@register("""WITH t AS (SELECT event_id AS ord, CAST(event_id % 97 + 1 AS DOUBLE) ** 0.5 AS p FROM events), s AS (SELECT ord, sum(p) OVER (ORDER BY ord) - p AS pos FROM t), d AS (SELECT k, ((k * 37) % 256 + 0.5) / 256 * (SELECT sum(p) FROM t) AS pos FROM generate_series(0, 255) g(k))
+SELECT d.k, s.ord AS picked FROM d ASOF JOIN s ON d.pos >= s.pos""")
+def proportional_pick(spark, d):
+    """Draws with replacement, by the square root of the priority."""
+    draws = spark.range(256).select(F.col("id").alias("k"), ((F.pmod(F.col("id") * 37, F.lit(256)) + 0.5) / 256).alias("u"))
+    return experience.sample_priority(_weighted(spark, d), draws, 0.5, stratified=False).select("k", "picked")
+
+
+@register("WITH t AS (SELECT event_id AS ord, event_id % 16 AS batch, (event_id % 97 + 1) / 4753.0 AS p FROM events) SELECT ord, round((50000 * p) ** -0.4 / ((50000 * min(p) OVER (PARTITION BY batch)) ** -0.4), 6) AS weight FROM t")
+def importance_weights_batch(spark, d):
+    """Weights over the greatest of each row's batch."""
+    rows = _weighted(spark, d).select("ord", F.pmod("ord", F.lit(16)).alias("batch"), (F.col("priority") / 4753.0).alias("p"))
+    return experience.importance_weights(rows, 0.4, batch="batch", size=50_000).select("ord", *r6("weight"))
+
+
 @register("WITH t AS (SELECT event_id AS ord, CAST(event_id % 97 + 1 AS DOUBLE) AS p FROM events), q AS (SELECT ord, p / (SELECT sum(p) FROM t) AS p FROM t) SELECT ord, round(((SELECT count(*) FROM q) * p) ** -0.4 / (((SELECT count(*) FROM q) * (SELECT min(p) FROM q)) ** -0.4), 6) AS weight FROM q")
 def importance_weights(spark, d):
     df = _weighted(spark, d)
@@ -640,9 +746,9 @@ def priority_upsert(spark, d):
     return experience.update_priorities(_weighted(spark, d), updates, 0.6, 0.01).select("ord", *r6("priority"))
 
 
-@register()
+@register("SELECT event_id, value FROM events ORDER BY md5('5:' || CAST(event_id AS VARCHAR)), event_id LIMIT 256")
 def uniform_sample(spark, d):
-    return experience.sample_uniform(spark.read.parquet(f"{d}/events.parquet").select("event_id", "value"), 256, 5)
+    return experience.sample_uniform(spark.read.parquet(f"{d}/events.parquet").select("event_id", "value"), 256, 5, ["event_id"])
 
 
 def _linear(x):
@@ -689,3 +795,27 @@ def latest_bars(spark, d):
 def metric_rows(spark, d):
     df = candles.event_candles(spark, d).select(F.col("symbol").alias("label"), F.array("price_open", "price_high", "price_low", "price").alias("values"), "timestamp")
     return sinks.metrics_to_rows(df).select("label", "step", "value", "timestamp")
+
+
+@register(with_(_P, "SELECT symbol, timestamp, " + ", ".join(f"round(coalesce({c}, 0), 6) AS x{i}" for i, c in enumerate(["price_percent", "price_high_percent", "price_low_percent", "volume_percent", *["CAST(0 AS DOUBLE)"] * 4])) + " FROM p WHERE ord >= 7"))
+def live_observation(spark, d):
+    """What a live model sees: the features of each bar from its last eight bars alone, and four channels of zero."""
+    rows = base(spark, d).withColumn("bar", F.struct("timestamp", *live.BAR))
+    held = windows.lookback(rows, 8, "bar", "bars").select("symbol", "timestamp", F.col("bars.timestamp").alias("times"), *[F.col(f"bars.{c}").alias(c) for c in live.BAR])
+    seen = live.live_features(held, step=HOUR)
+    return seen.select("symbol", "timestamp", *[F.round(F.col("observation")[i], 6).alias(f"x{i}") for i in range(8)])
+
+
+@register(with_(_C, "SELECT symbol, timestamp, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, round(coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0), 6) AS cleaned FROM c"))
+def lenient_numbers(spark, d):
+    df = candles.event_candles(spark, d).select("symbol", "timestamp", F.col("indicators")["k"].alias("k"))
+    typed = clean.to_double(df, ["k"]).withColumn("cleaned", F.col("k"))
+    return clean.clean_features(typed, ["cleaned"]).select("symbol", "timestamp", "k", *r6("cleaned"))
+
+
+@register("SELECT layer, CAST(m // 5 AS INTEGER) AS rows_in_bar, CAST(3 AS INTEGER) AS divider, count(*) AS events FROM (VALUES ('15m', 15), ('1h', 60), ('1d', 1440)) l(layer, m), events GROUP BY layer, m")
+def layer_table(spark, d):
+    """Rows in a bar of each layer and in a step of a 15m run, on 5m input."""
+    n = spark.read.parquet(f"{d}/events.parquet").agg(F.count(F.lit(1)).alias("events"))
+    layers = spark.createDataFrame([(x, resample.multiplier(x, "5m"), resample.run_divider("5m", "15m")) for x in ("15m", "1h", "1d")], "layer string, rows_in_bar int, divider int")
+    return layers.crossJoin(F.broadcast(n))

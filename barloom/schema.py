@@ -38,5 +38,6 @@ INDICATOR_SETS = {
 }
 
 # Take-profit, stop-loss and trailing presets; label presets (return, most bars waited).
-EXIT_PRESETS = [(tp, sl, 0.001) for tp in (0.001, 0.002, 0.005, 0.01) for sl in (0.03, 0.02, 0.01)]
+EXIT_PRESETS = [(tp, sl, 0.001) for sl in (0.03, 0.02, 0.01) for tp in (0.001, 0.002, 0.005, 0.01)]
 LABEL_PRESETS = {"1m": (0.01, 240), "5m": (0.005, 12), "10m": (0.01, 24), "15m": (0.01, 16), "1h": (0.005, 1)}
+TEST_LABEL_PRESETS = {"1m": (0.01, 240), "5m": (0.005, 60), "10m": (0.01, 240), "15m": (0.01, 240), "1h": (0.005, 60)}

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,13 +14,55 @@ from barloom.schema import CANDLE, RAW
 HOUR, DAY = 3_600_000, 86_400_000
 
 
+#: What stands between the records of an array, as one text for a whole file; bytes that are looked at to find it.
+_BETWEEN, _HEAD = re.compile(rb"\}(\s*,\s*)\{"), 1 << 16
+_TEXT = "symbol string, timestamp long, timestamp_close long, " + ", ".join(f"{f.name} string" for f in CANDLE.fields[3:11]) + ", trades_number string, indicators map<string,string>"
+
+
+def _separators(spark: SparkSession, paths: list[str]) -> dict[str | None, list[str]]:
+    """Files by what separates their records (None: unknown, as with a single record), from the first bytes of each."""
+    found: dict[str | None, list[str]] = {}
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    for p in paths:
+        fs = path(p).getFileSystem(conf)
+        for status in fs.globStatus(path(p)) or []:
+            files = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+            for f in files:
+                name = f.getPath().toString()
+                if f.isDirectory() or f.getPath().getName().startswith(("_", ".")):
+                    continue
+                with contextlib.closing(fs.open(f.getPath())) as stream:
+                    head = bytes(stream.readNBytes(_HEAD))
+                # A record's object follows a comma; the one of its indicators follows a colon.
+                between = _BETWEEN.search(head) if head.lstrip()[:1] == b"[" and not name.endswith(".gz") else None
+                found.setdefault(between and between[0].decode(), []).append(name)
+    return found
+
+
+def _array_records(spark: SparkSession, files: list[str], between: str) -> DataFrame:
+    """Candles of array files, split between records: a large file is read by many tasks. Files must keep to one way of
+    separating records; another one is an error, not a loss."""
+    rows = spark.read.text(files, lineSep=between)
+    body = F.regexp_replace(F.regexp_replace("value", r"^\s*\[\s*\{", ""), r"\}\s*\]\s*$", "")
+    odd = body.rlike(r"\}\s*,\s*\{")
+    record = F.when(odd, F.raise_error(F.lit("records of a candle file are separated in more than one way"))).otherwise(F.concat(F.lit("{"), body, F.lit("}")))
+    return rows.select(F.from_json(record, _TEXT, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
 def read_candles(spark: SparkSession, paths: str | list[str], symbol: str | None = None, form: str = "json") -> DataFrame:
-    """Candles of JSON array files (numbers may be text) or of a parquet lake. A symbol given stands for all rows."""
+    """Candles of JSON array files (numbers may be text) or of a parquet lake. A symbol given stands for all rows.
+
+    Array files are split between records, wherever Spark splits files; one whose separator isn't seen in its first bytes
+    (a single record, compressed, or JSON lines) is read whole.
+    """
+    paths = [paths] if isinstance(paths, str) else paths
     if form == "parquet":
-        df = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
+        df = spark.read.parquet(*paths)
     else:
-        text = "symbol string, timestamp long, timestamp_close long, " + ", ".join(f"{f.name} string" for f in CANDLE.fields[3:11]) + ", trades_number string, indicators map<string,string>"
-        df = spark.read.schema(text).option("multiLine", True).json(paths)
+        parts = [_array_records(spark, files, between) if between else spark.read.schema(_TEXT).option("multiLine", True).json(files) for between, files in _separators(spark, paths).items()]
+        if not parts:
+            raise FileNotFoundError(f"no candle files at {paths}")
+        df = reduce(DataFrame.unionByName, parts)
         df = df.withColumns({f.name: F.col(f.name).try_cast(f.dataType) for f in CANDLE.fields[3:12]})
     return df.withColumn("symbol", F.lit(symbol)) if symbol else df
 
@@ -25,7 +71,7 @@ def select_raw(df: DataFrame, columns: list[str] = RAW) -> DataFrame:
     return df.select(*(["symbol"] if "symbol" in df.columns and "symbol" not in columns else []), *columns)
 
 
-def split_by_time(df: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
+def split_by_time(df: DataFrame, start: int | Column | None = None, end: int | Column | None = None) -> DataFrame:
     """Bars that open from start (inclusive) to end (exclusive), epoch milliseconds; the filter reaches the scan."""
     if start is not None:
         df = df.filter(F.col("timestamp") >= start)

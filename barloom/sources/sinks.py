@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def write_results(df: DataFrame, path: str, form: str = "csv") -> None:
+    """The run table under a folder, named by the time of writing where path ends in a slash."""
+    if path.endswith("/"):
+        path = f"{path}results_{datetime.now(UTC):%Y%m%d_%H%M%S}"
     df.write.option("header", True).format(form).save(path)
 
 
@@ -14,11 +19,18 @@ def channel():
     return F.concat_ws("-", "identifier", "tokenPair", "interval")
 
 
-def write_signals(stream: DataFrame, path: str, checkpoint: str, **options: str):
-    """Signals keyed by their channel, as JSON lines; another format and its options may be given (kafka)."""
+def write_signals(stream: DataFrame, path: str, checkpoint: str, every: str | None = None, **options: str):
+    """Signals keyed by their channel, as JSON lines; another format and its options may be given (kafka).
+
+    every: the interval of a polling trigger ("10 seconds"); without it what is there is worked off once.
+    """
     form = options.pop("format", "json")
     rows = stream.select(channel().alias("key"), F.to_json(F.struct("identifier", "tokenPair", "interval", "timestamp", "action", "certainty")).alias("value"))
-    return rows.writeStream.format(form).options(path=path, checkpointLocation=checkpoint, **options).trigger(availableNow=True).start()
+    return rows.writeStream.format(form).options(path=path, checkpointLocation=checkpoint, **options).trigger(**trigger(every)).start()
+
+
+def trigger(every: str | None) -> dict:
+    return {"processingTime": every} if every else {"availableNow": True}
 
 
 def latest_signal(df: DataFrame) -> DataFrame:
