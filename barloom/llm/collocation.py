@@ -4,11 +4,11 @@ Texts are lower-cased (A-Z), split into pieces at punctuation and line ends and
 if it occurs `least` times within pieces, overlaps included, in the texts of its language (null: `und`).
 
 The corpus is counted in chunks of some megabytes of one language. A chunk's words become a stream of codes of its own,
-with a code for what parts pieces. Words that are frequent in the corpus get ids by falling frequency; a chunk gets back
-the ids of its own words alone, so nothing that grows with the corpus is broadcast. Neighbours in the stream are pairs:
-their ids are ranked within the chunk and cut into tiles of 1024 x 1024. A tile with many occurrences is a dense array
-that bincount addresses directly; all others are one sorted list of coordinates with counts. Counts of chunks are added
-up by Spark. Frequent pairs are ranked in turn and replace the words of the stream, so that a pair of neighbouring pairs,
+with a code for what parts pieces. Counts of all chunks are added up by word; a chunk gets back ids and counts of those of its
+own words that are frequent in the corpus, so nothing that grows with the corpus is broadcast. Neighbours in the stream
+are pairs: words are ranked by falling count and pairs of ranks cut into tiles of 1024 x 1024. A tile with many
+occurrences is a dense array that bincount addresses directly; all others are one sorted list of coordinates with counts.
+Frequent pairs are ranked in turn and replace the words of the stream, so that a pair of neighbouring pairs,
 which share a word, is a phrase of three words, and a pair of these one of four. Every part of a frequent phrase is
 frequent, so no phrase is missed and no other is ever counted.
 
@@ -38,9 +38,12 @@ TILE_BITS = 10
 #: Occurrences from which a tile is counted in a dense array: an eighth of its cells.
 DENSE = 1 << 2 * TILE_BITS - 3
 
+#: Bits that tell which rows may be of a frequent phrase (8 MB).
+MARKS = 1 << 26
+
 _PARTS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d", b"\n" * 10)
 _WORD = re.compile(rb"\n|[^\x20\x09\n]+")
-_STREAM = "chunk long, lang string, stream binary, code int, n long"
+_STREAM = "chunk long, stream binary, code int, n long"
 
 
 def packed(codes: np.ndarray) -> bytes:
@@ -75,19 +78,19 @@ class _Chunk:
         stream = np.concatenate(self.streams)
         counts = np.bincount(stream, minlength=len(self.codes))[1:]
         words = [w.decode() for w in self.codes][1:]
-        return _rows(schema, chunk, lang, packed(stream), counts, word=pa.array(words, pa.string()))
+        return _rows(schema, chunk, packed(stream), counts, lang=pa.repeat(pa.scalar(lang, pa.string()), len(words)), word=pa.array(words, pa.string()))
 
 
-def _rows(schema: pa.Schema, chunk: int, lang: str, stream: bytes | None, counts: np.ndarray, **columns: pa.Array) -> pa.RecordBatch:
+def _rows(schema: pa.Schema, chunk: int, stream: bytes | None, counts: np.ndarray, **columns: pa.Array) -> pa.RecordBatch:
     """A row with the stream, and one for each code from 1 on."""
     n = len(counts)
-    own = {"chunk": pa.array(np.full(n + 1, chunk)), "lang": pa.repeat(pa.scalar(lang, pa.string()), n + 1), "stream": pa.concat_arrays([pa.array([stream], pa.binary()), pa.nulls(n, pa.binary())])}
+    own = {"chunk": pa.array(np.full(n + 1, chunk)), "stream": pa.concat_arrays([pa.array([stream], pa.binary()), pa.nulls(n, pa.binary())])}
     own |= {k: pa.concat_arrays([pa.nulls(1, v.type), v]) for k, v in {"code": pa.array(np.arange(1, n + 1, dtype=np.int32)), "n": pa.array(counts.astype(np.int64)), **columns}.items()}
     return pa.RecordBatch.from_arrays([own[f.name] for f in schema], schema=schema)
 
 
-_FIELDS = [("chunk", pa.int64()), ("lang", pa.string()), ("stream", pa.binary()), ("code", pa.int32()), ("n", pa.int64())]
-_WORDS, _PAIRS = pa.schema([*_FIELDS, ("word", pa.string())]), pa.schema([*_FIELDS, ("head", pa.int64()), ("tail", pa.int64())])
+_FIELDS = [("chunk", pa.int64()), ("stream", pa.binary()), ("code", pa.int32()), ("n", pa.int64())]
+_WORDS, _PAIRS = pa.schema([*_FIELDS, ("lang", pa.string()), ("word", pa.string())]), pa.schema([*_FIELDS, ("head", pa.int64()), ("tail", pa.int64())])
 
 
 def _word_streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,28 +141,48 @@ def count_pairs(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
 def _pair_streams(last: bool):
     def pairs(key: tuple, streams: pa.Table, known: pa.Table) -> pa.Table:
         """The pairs of neighbours of a chunk whose codes are all known, and the stream of these pairs."""
-        stream, lang = unpacked(streams["stream"][0].as_py()), streams["lang"][0].as_py()
+        stream = unpacked(streams["stream"][0].as_py())
         code, ids = known["own"].to_numpy(), known["id"].to_numpy()
-        by_rank = np.argsort(ids)
+        by_rank = np.lexsort((ids, -known["f"].to_numpy()))
         rank = np.full(max(stream.max(initial=0), code.max(initial=0)) + 1, -1, np.int64)
         rank[code[by_rank]] = np.arange(len(code))
         ranks, ids = rank[stream], ids[by_rank]
         at = np.flatnonzero((ranks[:-1] >= 0) & (ranks[1:] >= 0))
         codes, heads, tails, counts = count_pairs(ranks[at], ranks[at + 1], max(len(ids), 1))
+        # Codes in order of their ids: rows that follow each other are alike, so they take less room on disk.
+        order = np.lexsort((ids[tails], ids[heads]))
+        code_of = np.empty(len(order), np.int64)
+        code_of[order] = np.arange(1, len(order) + 1)
         following = np.zeros(len(stream), np.int32)
-        following[at] = codes + 1
-        out = _rows(_PAIRS, key[0].as_py(), lang, None if last else packed(following), counts, head=pa.array(ids[heads], pa.int64()), tail=pa.array(ids[tails], pa.int64()))
+        following[at] = code_of[codes]
+        heads, tails, counts = ids[heads[order]], ids[tails[order]], counts[order]
+        out = _rows(_PAIRS, key[0].as_py(), None if last else packed(following), counts, head=pa.array(heads, pa.int64()), tail=pa.array(tails, pa.int64()))
         return pa.Table.from_batches([out])
 
     return pairs
 
 
-def _ranked(counted: DataFrame, least: int, label: str) -> DataFrame:
-    """Frequent rows of (..., f) with ids that rise as f falls."""
-    kept = counted.filter(F.col("f") >= least)
-    keys = [F.col("f").desc(), *[F.col(c) for c in counted.columns if c != "f"]]
-    ordered = kept.repartitionByRange(common.parallelism(counted.sparkSession), *keys).sortWithinPartitions(*keys)
-    return common.cut(ordered.withColumn("id", F.monotonically_increasing_id()), label)
+def _marked(rows: DataFrame, keys: list[str], least: int) -> Column:
+    """Whether a row's keys may be frequent, by one of MARKS bits that the frequent ones set: a table of bounded size, and
+    the fewer it lets through the less is shuffled. No frequent one is missed, so what is counted of the others' rows is whole."""
+    mark = F.pmod(F.xxhash64(*keys), F.lit(MARKS))
+    counted = rows.groupBy(*keys).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+    words = counted.groupBy(F.floor(mark / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(mark, F.lit(64)).cast("int"))).alias("b"))
+    with common.tidy(rows.sparkSession):
+        found = words.toArrow()  # at most MARKS / 64 rows
+    bits = np.zeros(MARKS // 64, np.int64)
+    bits[found["w"].to_numpy()] = found["b"].to_numpy()
+    held = rows.sparkSession.createDataFrame(pa.table({"bits": pa.array([bits], pa.list_(pa.int64()))})).scalar()
+    return F.call_function("shiftright", F.get(held, F.floor(mark / 64).cast("int")), F.pmod(mark, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
+def _known(streams: DataFrame, keys: list[str], least: int, label: str) -> DataFrame:
+    """The chunks' codes that are frequent in the corpus: part (the chunk), own (the code), f, id; the keys in one row of each id."""
+    alike = Window.partitionBy(*keys)
+    rows = streams.filter(F.col("code").isNotNull()).select("chunk", "code", *keys, "n")
+    rows = rows.filter(_marked(rows, keys, least)).withColumn("f", F.sum("n").over(alike))
+    kept = rows.filter(F.col("f") >= least).withColumn("row", F.monotonically_increasing_id()).withColumn("id", F.min("row").over(alike))
+    return common.cut(kept.select(F.col("chunk").alias("part"), F.col("code").alias("own"), "f", "id", *[F.when(F.col("row") == F.col("id"), F.col(k)).alias(k) for k in keys]), label)
 
 
 def _score(a: Column, l: Column, r: Column) -> Column:
@@ -168,43 +191,43 @@ def _score(a: Column, l: Column, r: Column) -> Column:
     return F.call_function("div", F.lit(2_000_000).cast("decimal(38,0)") * a.cast("decimal(20,0)"), wide(l.cast("decimal(20,0)") + r.cast("decimal(20,0)")))
 
 
-def _following(streams: DataFrame, known: DataFrame, keys: list[str], last: bool, label: str) -> DataFrame:
+def _following(streams: DataFrame, known: DataFrame, last: bool, label: str) -> DataFrame:
     """The next streams and their pairs, by chunk."""
-    own = streams.filter(F.col("code").isNotNull()).join(known.select(*keys, "id"), keys).select(F.col("chunk").alias("of"), F.col("code").alias("own"), "id")
-    heads = streams.filter(F.col("stream").isNotNull()).select("chunk", "lang", "stream")
-    pairs = heads.groupBy("chunk").cogroup(own.groupBy("of")).applyInArrow(_pair_streams(last), f"{_STREAM}, head long, tail long")
-    return common.cut(pairs, label)
+    heads = streams.filter(F.col("stream").isNotNull()).select("chunk", "stream")
+    own = known.select("part", "own", "f", "id")
+    return common.cut(heads.groupBy("chunk").cogroup(own.groupBy("part")).applyInArrow(_pair_streams(last), f"{_STREAM}, head long, tail long"), label)
 
 
 def frequent(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, list[DataFrame]]:
     """(lang, n) of all words, and for each length the frequent phrases.
 
-    Of words: lang, word, f, id. Of longer phrases: lang, head, tail (ids of the phrases without the last and without the
+    Of words: lang, word, f, id. Of longer phrases: head, tail (ids of the phrases without the last and without the
     first word), f, id.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    with common.batches_of(docs.sparkSession, 512):
-        streams = common.cut(rows.mapInArrow(_word_streams, f"{_STREAM}, word string"), "words")
-    counted = streams.filter(F.col("code").isNotNull())
-    totals = common.cut(counted.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    keys, found = ["lang", "word"], []
-    for length in range(1, longest + 1):
-        found.append(_ranked(counted.groupBy(*keys).agg(F.sum("n").alias("f")), least, f"phrases{length}"))
-        if length < longest:
-            previous, streams = streams, _following(streams, found[-1], keys, length + 1 == longest, f"pairs{length + 1}")
-            common.discard(previous)
-            counted, keys = streams.filter(F.col("code").isNotNull()), ["lang", "head", "tail"]
-    common.discard(streams)
+    with common.batches_of(spark, 512), common.setting(spark, "spark.sql.parquet.compression.codec", "zstd"):
+        streams = common.cut(rows.mapInArrow(_word_streams, f"{_STREAM}, lang string, word string"), "words")
+        totals = common.cut(streams.filter(F.col("code").isNotNull()).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+        keys, found = ["lang", "word"], []
+        for length in range(1, longest + 1):
+            known = _known(streams, keys, least, f"known{length}")
+            found.append(known.filter(F.col(keys[0]).isNotNull()).select(*keys, "f", "id"))
+            if length < longest:
+                previous, streams = streams, _following(streams, known, length + 1 == longest, f"pairs{length + 1}")
+                common.discard(previous)
+            keys = ["head", "tail"]
+        common.discard(streams)
     return totals, found
 
 
 def scored(found: list[DataFrame]) -> list[DataFrame]:
     """For each length from 2 on: lang, id, phrase, f, l, r, score of the lowest cut, held (the most frequent longer phrase that holds it)."""
-    words = found[0].select("id", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("f").alias("firsts"), F.array("f").alias("lasts"))
+    words = found[0].select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("f").alias("firsts"), F.array("f").alias("lasts"))
     shorter, out = words, []
     for level in found[1:]:
         # firsts: counts of its first 1, 2, ... words (all included); lasts: of its last 1, 2, ... words.
-        head = shorter.select(F.col("id").alias("head"), F.col("phrase").alias("begin"), F.col("firsts").alias("before"))
+        head = shorter.select(F.col("id").alias("head"), "lang", F.col("phrase").alias("begin"), F.col("firsts").alias("before"))
         tail = shorter.select(F.col("id").alias("tail"), "last", F.col("lasts").alias("after"))
         own = level.join(head, "head").join(tail, "tail")
         own = own.select("lang", "id", "head", "tail", "f", F.concat_ws(" ", "begin", "last").alias("phrase"), "last", "before", "after", F.concat("before", F.array("f")).alias("firsts"), F.concat("after", F.array("f")).alias("lasts"))

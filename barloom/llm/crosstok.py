@@ -7,8 +7,8 @@ of a character do and bytes that B falls back on, is refined: there the ends are
 tokens between two common ends are a group, and each of its A tokens is linked with each of its B tokens.
 
 Neither vocabulary joins a space to a letter before it. So a text is cut into units (a space and what follows, up to the
-next space after a visible character), which are aligned once and remembered by the worker: no more characters of units
-than MEMORY, beyond the chunk in hand. A vocabulary that has tokens with a space after a letter gets whole texts.
+next space after a visible character), which are aligned once and remembered by the worker: no more than MEMORY units
+beyond those of the chunk in hand. A vocabulary that has tokens with a space after a letter gets whole texts.
 
 Links are counted without shuffling a text's links: documents are put together to chunks of some megabytes, whose
 distinct pairs of ids are numbered. A pair has one row for each chunk with the number of documents that hold it; these
@@ -25,22 +25,22 @@ import functools
 import hashlib
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, tokens
 
-#: Bytes of texts of a chunk, characters of units that a worker remembers.
-CHUNK, MEMORY = 8 << 20, 4 << 20
-#: Units aligned at once.
-AT_ONCE = 4096
+#: Bytes of texts of a chunk, units that a worker remembers when it begins one.
+CHUNK, MEMORY = 8 << 20, 400_000
+#: Units aligned at once, documents cut into units at once, links of a group from which its ids are counted first.
+AT_ONCE, DOCS, LARGE = 4096, 64, 64
 
 #: A space after a visible character. Characters outside these ranges don't count: a unit may be longer than it must be.
 _UNIT = re.compile("(?<=[!-~\xa1-ɏ‐-‧、-鿿가-힣]) ")
@@ -86,27 +86,33 @@ class Aligner:
         """(ids, bounds by unit, ends) of A and of B, where units begin in bytes, and whether both decode to the unit."""
         raw = [u.encode() for u in units]
         base = np.cumsum([0, *map(len, raw)])
+        flat = chain.from_iterable
         a_found = self.a.encode_batch(units, add_special_tokens=False)
-        b_found = self.b.encode([u[1:] for u in units], return_type="proto", num_threads=1)
+        b_found = [m.pieces for m in self.b.encode([u[1:] for u in units], return_type="proto", num_threads=1)]
         a_ids = [e.ids for e in a_found]
-        a_spans = np.array([s for e in a_found for s in e.offsets], np.int64).reshape(-1, 2)
-        b_rows = [[(p.id, p.begin + 1, p.end + 1) for p in m.pieces] for m in b_found]
-        b_ids = [[r[0] for r in rows] for rows in b_rows]
-        b_spans = np.array([r[1:] for rows in b_rows for r in rows], np.int64).reshape(-1, 2)
-        a_at, b_at = (np.cumsum([0, *map(len, ids)]) for ids in (a_ids, b_ids))
+        a_at, b_at = (np.cumsum([0, *map(len, x)]) for x in (a_ids, b_found))
+        a = np.fromiter(flat(a_ids), np.int64, a_at[-1])
+        a_spans = np.fromiter(flat(flat(e.offsets for e in a_found)), np.int64, 2 * a_at[-1]).reshape(-1, 2)
+        b, *b_spans = np.fromiter(flat((p.id, p.begin, p.end) for m in b_found for p in m), np.int64, 3 * b_at[-1]).reshape(-1, 3).T
+        b_spans = np.stack(b_spans, axis=1) + 1
         b_spans[b_at[:-1][np.diff(b_at) > 0], 0] = 0  # the space that B adds belongs to its first piece
         for k, u in enumerate(units):
             if not u.isascii():  # characters to bytes
                 starts = np.cumsum([0, *(len(c.encode()) for c in u)])
                 a_spans[a_at[k] : a_at[k + 1]] = starts[a_spans[a_at[k] : a_at[k + 1]]]
-        same = np.array([b"".join(map(self.a_bytes.__getitem__, x)) == r == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, r in zip(a_ids, b_ids, raw)], bool)
-        a, b = (np.fromiter(chain.from_iterable(ids), np.int64, at[-1]) for ids, at in ((a_ids, a_at), (b_ids, b_at)))
+        same = self._decodes(self.a_bytes, a, a_at, raw) & self._decodes(self.b_bytes, b, b_at, raw)
         a_ends, b_ends = refined(a_spans, a_at, self.a_size[a], base), refined(b_spans, b_at, self.b_size[b], base)
         for ends, at in ((a_ends, a_at), (b_ends, b_at)):  # a unit that doesn't decode keeps to its own bytes
             unit = np.repeat(np.arange(len(units)), np.diff(at))
             ends[~same[unit]] = base[unit + 1][~same[unit]]
         return (a, a_at, a_ends), (b, b_at, b_ends), base, same
 
+    @staticmethod
+    def _decodes(known: list[bytes], ids: np.ndarray, at: np.ndarray, raw: list[bytes]) -> np.ndarray:
+        """Whether each unit's tokens are its bytes."""
+        found = [known[i] for i in ids.tolist()]
+        return np.array([b"".join(found[x:y]) == r for x, y, r in zip(at.tolist(), at[1:].tolist(), raw)], bool)
+
 
 def refined(spans: np.ndarray, at: np.ndarray, sizes: np.ndarray, base: np.ndarray) -> np.ndarray:
     """Where tokens end, in bytes of all units end to end: by their spans where these are clean, else by decoded bytes since the last clean end."""
@@ -138,12 +144,6 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return Aligner(a_path, b_path)
 
 
-def _groups(a: tuple, b: tuple, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Common ends, and the group of each token of A and of B (both numbered through all units)."""
-    common_ends = np.intersect1d(a[2], b[2])
-    return common_ends, np.searchsorted(common_ends, a[2]), np.searchsorted(common_ends, b[2])
-
-
 def spans(docs: DataFrame, a_path: str, b_path: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: key, a_ids, a_ends, b_ids, b_ends (in bytes of a space and the text) and cuts, where both end."""
     fields = ["a_ids", "a_ends", "b_ids", "b_ends", "cuts"]
@@ -165,47 +165,66 @@ def spans(docs: DataFrame, a_path: str, b_path: str, *, key: str = "doc_id", tex
         return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, " + ", ".join(f"{f} array<long>" for f in fields))
 
 
+def _joined(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Ids joined by commas, for slices that end at ends."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pc.cast(pa.array(ids), pa.string())), ",")
+
+
 class _Memory:
-    """What is known of units: written groups, number of tokens and groups, pairs of linked ids and how often each."""
+    """What is known of units, by slots: written groups (null: doesn't decode), number of tokens and groups, pairs of linked ids."""
 
     def __init__(self, own: Aligner) -> None:
-        self.own, self.slots, self.size = own, {}, 0
-        self.written, self.pairs, self.times, self.numbers = [], [], [], []
+        self.own, self.slots = own, {}
+        self.written, self.numbers = pa.array([], pa.string()), np.empty((0, 3), np.int64)
+        #: Pairs of all slots end to end with how often each is linked, and where a slot's begin.
+        self.pairs, self.times, self.bounds = np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(1, np.int64)
 
     def learn(self, units: list[str]) -> None:
-        for k in range(0, len(units), AT_ONCE):
-            self._learn(units[k : k + AT_ONCE])
-
-    def _learn(self, units: list[str]) -> None:
-        a, b, base, same = self.own.align(units)
-        ends, ga, gb = _groups(a, b, base)
-        groups = np.searchsorted(ends, base[:-1], "right"), np.searchsorted(ends, base[1:], "right")
-        a_ids, b_ids = a[0].tolist(), b[0].tolist()
-        a_cut, b_cut = (np.searchsorted(g, np.arange(len(ends) + 1)).tolist() for g in (ga, gb))
-        for k, u in enumerate(units):
-            self.slots[u] = len(self.written)
-            self.size += len(u) + 64
-            if not same[k]:  # what a vocabulary replaces or leaves out gets shorter, so its text differs as a whole
-                self._keep("!", 0, 0, 0, {})
-                continue
-            written, linked = [], Counter()
-            for g in range(int(groups[0][k]), int(groups[1][k])):
-                x, y = a_ids[a_cut[g] : a_cut[g + 1]], b_ids[b_cut[g] : b_cut[g + 1]]
-                written.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
-                if len(x) == 1 and len(y) == 1:
-                    linked[x[0] << 32 | y[0]] += 1
-                else:
-                    ys = Counter(y).items()
-                    for p, m in Counter(x).items():
-                        for q, n in ys:
-                            linked[p << 32 | q] += m * n
-            self._keep(";".join(written), int(a[1][k + 1] - a[1][k]), int(b[1][k + 1] - b[1][k]), len(written), linked)
-
-    def _keep(self, written: str, n_a: int, n_b: int, n_groups: int, linked: dict[int, int]) -> None:
-        self.written.append(written)
-        self.numbers.append((n_a, n_b, n_groups))
-        self.pairs.append(np.fromiter(linked.keys(), np.int64, len(linked)).tobytes())
-        self.times.append(np.fromiter(linked.values(), np.int64, len(linked)).tobytes())
+        found = [self._aligned(units[k : k + AT_ONCE]) for k in range(0, len(units), AT_ONCE)]
+        if not found:
+            return
+        written, numbers, pairs, times, sizes = zip(*found)
+        self.slots.update(zip(units, range(len(self.slots), len(self.slots) + len(units))))
+        self.written = pa.concat_arrays([self.written, *written])
+        self.numbers = np.concatenate([self.numbers, *numbers])
+        self.pairs, self.times = np.concatenate([self.pairs, *pairs]), np.concatenate([self.times, *times])
+        self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(sizes)))
+
+    def shrink(self) -> None:
+        """Beyond MEMORY units the half met first stays: mostly the frequent ones."""
+        if len(self.slots) > MEMORY:
+            n = MEMORY // 2
+            self.slots = dict(islice(self.slots.items(), n))
+            self.written, self.numbers, self.bounds = pa.concat_arrays([self.written[:n]]), self.numbers[:n].copy(), self.bounds[: n + 1].copy()
+            self.pairs, self.times = self.pairs[: self.bounds[-1]].copy(), self.times[: self.bounds[-1]].copy()
+
+    def _aligned(self, units: list[str]) -> tuple:
+        (a, a_at, a_ends), (b, b_at, b_ends), base, same = self.own.align(units)
+        ends = np.intersect1d(a_ends, b_ends)
+        groups = np.searchsorted(ends, base, "right")
+        a_cut, b_cut = (np.append(0, np.searchsorted(e, ends, "right")) for e in (a_ends, b_ends))
+        n_a, n_b = np.diff(a_cut), np.diff(b_cut)
+        texts = pc.binary_join_element_wise(_joined(a, a_cut[1:]), _joined(b, b_cut[1:]), "|")
+        written = pc.if_else(pa.array(same), pc.binary_join(pa.ListArray.from_arrays(pa.array(groups, pa.int32()), texts), ";"), pa.scalar(None, pa.string()))
+        # All pairs of a group's tokens; those of a large group are counted by distinct ids first.
+        wide = (n_a > 1) & (n_b > 1) & (n_a * n_b > LARGE)
+        unit = np.repeat(np.arange(len(units)), np.diff(groups))
+        size = np.where(wide | ~same[unit], 0, n_a * n_b)
+        group = np.repeat(np.arange(len(ends)), size)
+        place = np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size)
+        pairs = [a[a_cut[group] + place // n_b[group]] << 32 | b[b_cut[group] + place % n_b[group]]]
+        times, units_of = [np.ones(len(group), np.int64)], [unit[group]]
+        for g in np.flatnonzero(wide & same[unit]).tolist():
+            (x, m), (y, n) = (np.unique(ids[cut[g] : cut[g + 1]], return_counts=True) for ids, cut in ((a, a_cut), (b, b_cut)))
+            pairs.append((x[:, None] << 32 | y).ravel())
+            times.append((m[:, None] * n).ravel())
+            units_of.append(np.full(len(x) * len(y), unit[g]))
+        pairs, times, units_of = (np.concatenate(x) for x in (pairs, times, units_of))
+        if len(units_of) > len(group):
+            order = np.argsort(units_of, kind="stable")
+            pairs, times, units_of = pairs[order], times[order], units_of[order]
+        numbers = np.stack([np.diff(a_at), np.diff(b_at), np.diff(groups)], axis=1)
+        return written, numbers, pairs, times, np.bincount(units_of, minlength=len(units))
 
 
 def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -214,6 +233,15 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def _digest(written: pa.Array, slots: np.ndarray) -> str:
+    """Of the groups of units one after the other."""
+    out = hashlib.sha256()
+    for k in range(0, len(slots), 1 << 16):
+        part = ";".join(written.take(pa.array(slots[k : k + (1 << 16)])).to_pylist())
+        out.update((";" * (k > 0) + part).encode())
+    return out.hexdigest()
+
+
 _SCHEMA = "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary, place int, pair long, docs long"
 _ARROW = pa.schema([("chunk", pa.int64()), *((f, pa.int64()) for f in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()), ("links", pa.binary()), ("place", pa.int32()), ("pair", pa.int64()), ("docs", pa.int64())])
 
@@ -222,30 +250,27 @@ def _chunk_rows(memory: _Memory, chunk: int, keys: list, texts: list) -> pa.Reco
     """A row for each document with its links (places of pairs, times), and one for each pair of the chunk."""
     import zstandard
 
-    own, packer = memory.own, zstandard.ZstdCompressor(level=1)
-    units = [own.units(t) if t else [] for t in texts]
-    new = set(chain.from_iterable(units)).difference(memory.slots)
-    memory.learn(sorted(new))
-    slot, broken = memory.slots.__getitem__, False
-    slots = [np.fromiter(map(slot, u), np.int64, len(u)) for u in units]
-    shas, dropped = [], set()
-    for k, s in enumerate(slots):
-        parts = [memory.written[i] for i in s.tolist()]
-        if any(p[0] == "!" for p in parts):
-            dropped.add(k)
-            parts = []
-        shas.append(hashlib.sha256(";".join(parts).encode()).hexdigest() if parts else "")
-    slots = [s[:0] if k in dropped else s for k, s in enumerate(slots)]
-    n_docs, lengths = len(slots), np.array([*map(len, slots)], np.int64)
-    flat, doc = np.concatenate([*slots, np.empty(0, np.int64)]), np.repeat(np.arange(n_docs), lengths)
+    own, packer, slots, lengths = memory.own, zstandard.ZstdCompressor(level=1), [], []
+    for k in range(0, len(texts), DOCS):
+        units = [own.units(t) if t else [] for t in texts[k : k + DOCS]]
+        memory.learn(sorted(set(chain.from_iterable(units)).difference(memory.slots)))
+        lengths += map(len, units)
+        slots.append(np.fromiter(map(memory.slots.__getitem__, chain.from_iterable(units)), np.int64, sum(map(len, units))))
+    n_docs, flat = len(texts), np.concatenate([*slots, np.empty(0, np.int64)])
+    bounds = np.cumsum([0, *lengths])
+    doc = np.repeat(np.arange(n_docs), lengths)
+    # A text whose units don't all decode has no tokens.
+    broken = np.zeros(n_docs, bool)
+    broken[doc[~memory.written.is_valid().to_numpy(zero_copy_only=False)[flat]]] = True
+    shas = [_digest(memory.written, flat[b:e]) if e > b and not x else "" for b, e, x in zip(bounds.tolist(), bounds[1:].tolist(), broken.tolist())]
+    flat, doc = flat[~broken[doc]], doc[~broken[doc]]
     used, code = np.unique(flat, return_inverse=True)
-    numbers = np.array([memory.numbers[i] for i in used.tolist()], np.int64).reshape(-1, 3)
     sums = np.zeros((n_docs, 3), np.int64)
-    np.add.at(sums, doc, numbers[code])
+    np.add.at(sums, doc, memory.numbers[flat])
     # Distinct pairs of the chunk, and of each unit their places.
-    sizes = np.array([len(memory.pairs[i]) >> 3 for i in used.tolist()], np.int64)
-    all_pairs = np.frombuffer(b"".join(memory.pairs[i] for i in used.tolist()), np.int64)
-    all_times = np.frombuffer(b"".join(memory.times[i] for i in used.tolist()), np.int64)
+    sizes = np.diff(memory.bounds)[used]
+    own_pairs = _ragged(memory.bounds[used], sizes)
+    all_pairs, all_times = memory.pairs[own_pairs], memory.times[own_pairs]
     pairs, place = np.unique(all_pairs, return_inverse=True)
     starts = np.cumsum(sizes) - sizes
     # A document's distinct units with their numbers, then its distinct pairs with theirs.
@@ -281,8 +306,7 @@ def _chunks(a_path: str, b_path: str):
                 if size >= CHUNK:
                     yield _chunk_rows(memory, number, keys, texts)
                     number, keys, texts, size = number + 1, [], [], 0
-                    if memory.size > MEMORY:
-                        memory = _Memory(own)
+                    memory.shrink()
         if keys:
             yield _chunk_rows(memory, number, keys, texts)
 

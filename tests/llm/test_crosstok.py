@@ -69,7 +69,7 @@ def docs(spark):
     return spark.createDataFrame([(i, t, "clash", "clash") for i, t in enumerate(texts())], "doc_id long, text string, chunk string, place string").repartition(3)
 
 
-def test_statistics_equal_whole_texts(docs, monkeypatch):
+def test_statistics_equal_whole_texts(docs):
     got = {r.doc_id: tuple(r[1:]) for r in crosstok.statistics(docs, A, B).collect()}
     want = brute(texts())
     assert [(i, got[i], w) for i, w in enumerate(want) if got[i] != w] == [] and len(got) == len(want)
