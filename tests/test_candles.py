@@ -6,10 +6,10 @@ import random
 import pytest
 
 from barloom.functions import features as ft
-from barloom.operators import clean, exits, experience, labels, metrics, ordinal, resample, signals, trades
+from barloom.operators import clean, exits, experience, labels, metrics, ordinal, resample, signals, sweep, trades
 from barloom.operators.metrics import F
-from barloom.schema import EXIT_PRESETS, INDICATOR_SETS
-from barloom.sources import candles
+from barloom.schema import EXIT_PRESETS, INDICATOR_SETS, TEST_LABEL_PRESETS
+from barloom.sources import candles, sinks
 
 
 def series(spark, prices, step=60_000, **more):
@@ -192,3 +192,81 @@ def test_presets_and_modes():
     for mode in ("trade_percent", "trade_position", "trade_amount"):
         with pytest.raises(ValueError):
             trades.check_mode(mode)
+    # Preset n of the grid: take-profits run within stop-losses.
+    assert EXIT_PRESETS[4] == (0.001, 0.02, 0.001) and EXIT_PRESETS[11] == (0.01, 0.01, 0.001)
+    assert {k: w for k, (_, w) in TEST_LABEL_PRESETS.items()} == {"1m": 240, "5m": 60, "10m": 240, "15m": 240, "1h": 60}
+
+
+@pytest.mark.parametrize("style", [(",", ":"), (", ", ": "), "indented"])
+def test_array_files_are_split(spark, tmp_path, style):
+    rows = [{"timestamp": i * 60_000, "timestamp_close": i * 60_000 + 59_999, "price": str(i), "volume": 1, "indicators": {} if i % 3 else {"rsi5": str(i), "odd": "{x"}, "trades_number": i} for i in range(2000)]
+    text = json.dumps(rows, indent=2) if style == "indented" else json.dumps(rows, separators=style)
+    (tmp_path / "many.json").write_text(text)
+    (tmp_path / "one.json").write_text(json.dumps(rows[:1]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = candles.read_candles(spark, str(tmp_path / "many.json"), "s")
+        assert df.rdd.getNumPartitions() > 5
+        got = sorted((r.timestamp, r.price, r.volume, r.trades_number, sorted((r.indicators or {}).items()), r.symbol) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(r["timestamp"], float(r["price"]), 1.0, r["trades_number"], sorted(r["indicators"].items()), "s") for r in rows]
+    assert candles.read_candles(spark, str(tmp_path)).count() == 2001 and candles.read_candles(spark, [str(tmp_path / "one.json")]).count() == 1
+
+
+def test_array_files_that_change_their_style_are_an_error(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"timestamp":1},{"timestamp":2}, {"timestamp":3}]')
+    with pytest.raises(Exception, match="more than one way"):
+        candles.read_candles(spark, str(tmp_path / "a.json")).collect()
+
+
+def test_results_and_reports(spark, tmp_path):
+    table = sweep.results_table(spark.createDataFrame([("d", 1.5)], "data string, profit double"), "trade")
+    sinks.write_results(table, str(tmp_path / "r") + "/")
+    sinks.write_results(table, str(tmp_path / "named"))
+    (folder,) = (tmp_path / "r").iterdir()
+    assert folder.name.startswith("results_") and spark.read.option("header", True).csv(str(folder)).first()["Data"] == "d" and spark.read.option("header", True).csv(str(tmp_path / "named")).columns == sweep.TRADE_RESULT
+    assert "Data" not in sweep.compact_report(table).columns and "$" in sweep.compact_report(table).columns
+    grid = sweep.param_grid(spark, {"kind": ["deep", "hodl", "rule"], "x": [1, 2]})
+    assert sweep.run_count(grid) == 6 and sweep.filter_runs(grid).count() == 4 and sweep.run_matrix(spark.range(3), grid).count() == 18 and sweep.repeat(grid, 10).count() == 60
+
+
+def test_layers_and_warm_up():
+    assert resample.multiplier("1w") == 10_080 and resample.multiplier("1d", "1h") == 24
+    assert [resample.run_divider("1m", r) for r in ("5m", "10m", "15m", "30m", "1h")] == [5, 10, 15, 30, 60]
+    with pytest.raises(ValueError):
+        resample.run_divider("1m", "4h")
+    assert resample.warmup([1, 60, 1440], 32) == (46_080, 46_079, None) and resample.warmup([1, 60], 32, 174_240, 60) == (1920, 1919, 2872)
+
+
+def test_lenient_numbers_and_strict_dips(spark):
+    df = clean.to_double(spark.createDataFrame([("1.5",), ("x",), (None,)], "a string"), ["a"])
+    assert [r.a for r in df.collect()] == [1.5, None, None]
+    prices = series(spark, [10, 12, 9, 9])
+    dips = lambda **how: column(labels.label_dip(labels.label_profit(prices, 0.1, 2), 2, **how), "is_dip")
+    assert dips() == [True, False, True, True] and dips(strict=True, pct=0.1) == [True, False, False, False]
+    flat = clean.fill_gaps(series(spark, [10, 20]).withColumn("timestamp", F.when(F.col("ord") == 1, 120_000).otherwise(0)).withColumn("price_open", F.lit(3.0)), 60_000, flat=True).orderBy("timestamp").collect()
+    assert (flat[1].price_open, flat[1].asset_volume_quote, flat[1].trades_number) == (10, 0, 0)
+
+
+def test_null_symbols_stay(spark):
+    df = series(spark, [1, 2, 4]).withColumn("symbol", F.when(F.col("ord") < 9, F.lit(None).cast("string")))
+    assert ordinal.with_ordinal(df.drop("ord"), 60_000).count() == 3 and column(ordinal.running(df, {"x": F.col("price")}), "x") == [1, 3, 7]
+    assert column(ft.pct_change(df, {"x": "price"}), "x") == [None, 1, 1] and clean.fill_gaps(df, 60_000).count() == 3
+    assert [r.i2 for r in ordinal.asof_align(df.select("symbol", "ord"), df.select("symbol", "ord", F.col("ord").alias("i")), "ord", "i", "i2").orderBy("ord").collect()] == [0, 1, 2]
+
+
+def test_asof_over_ranges_of_a_hot_key(spark):
+    rng = random.Random(1)
+    base = [(rng.choice(["a", "a", "a", "b"]), rng.randint(0, 50), i) for i in range(600)] + [("a", None, -5)]
+    other = [("a", t, None if t == 20 else t * 10) for t in range(5, 40, 3)] + [("b", 49, 1)]
+    got = ordinal.asof_align(spark.createDataFrame(base, "symbol string, t long, n long"), spark.createDataFrame(other, "symbol string, t long, v long"), "t", "v", "found")
+    want = {n: next((v for s2, t2, v in reversed(other) if t is not None and s2 == s and t2 <= t and v is not None), -1) for s, t, n in base}
+    assert {r.n: r.found for r in got.collect()} == want
+
+
+def test_uniform_samples_agree(spark):
+    df = spark.range(1000).withColumnRenamed("id", "ord")
+    a, b = ({r.ord for r in experience.sample_uniform(d, 100, 3).collect()} for d in (df, df.repartition(7)))
+    assert a == b and len(a) == 100 and 400 < sum(a) / 100 < 600 and a != {r.ord for r in experience.sample_uniform(df, 100, 4).collect()}
