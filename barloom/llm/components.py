@@ -33,5 +33,6 @@ def components(links: DataFrame) -> DataFrame:
         if state == before or state[0] == 0:
             break
         before = state
-        links = common.cut(_stars(_stars(links, True), False), "stars")
+        links, old = common.cut(_stars(_stars(links, True), False), "stars"), links
+        common.discard(old)
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

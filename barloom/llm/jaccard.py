@@ -497,7 +497,8 @@ def _placed(docs: DataFrame, n: int, percent: int, boundary: int | None = None)
     first = families.filter("close AND lead <> node").groupBy(F.col("node").alias("u")).agg(F.max_by("lead", F.struct("met", "lead")).alias("v"))
     at = lambda side: nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
     near = first.join(at("u"), "u").join(at("v"), "v").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(_near(percent), "u long, v long")
-    found = _verified(common.cut(near, "near", AT_ONCE), docs, nodes, n, percent)
+    near = common.cut(near, "near", AT_ONCE)
+    found = _verified(near, docs, nodes, n, percent)
     if boundary:
         found = found.unionByName(_light(nodes, boundary, percent))
     found = common.cut(found, "links")
@@ -510,7 +511,10 @@ def _placed(docs: DataFrame, n: int, percent: int, boundary: int | None = None)
     members = named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id"), keeper), "component").select("node", "component_id", "keeper")
     out = rows.select("doc_id", "digest", "n", "node").join(members, "node", "left")
     kept = (F.col("node") == F.col("keeper.node")) & F.col("doc_id").eqNullSafe(F.col("keeper.doc_id"))
-    return out.select("doc_id", "digest", "n", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(kept, F.lit(True)).alias("kept"))
+    placed = common.cut(out.select("doc_id", "digest", "n", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(kept, F.lit(True)).alias("kept")), "placed")
+    for table in (described, nodes, near, found):
+        common.discard(table)
+    return placed
 
 
 def jaccard_join(docs: DataFrame, *, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", boundary: int | None = None) -> DataFrame:
@@ -527,10 +531,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     placed = _placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), 5, 80)
     digest = common.spare_name(docs, "_digest")
-    alone = placed.filter("kept AND n > 0").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_d")).distinct()
+    own, its = common.spare_name(docs, "_id"), common.spare_name(docs, "_d")
+    alone = placed.filter("kept AND n > 0").select(F.col("doc_id").alias(own), F.col("digest").alias(its)).distinct()
     worded = F.coalesce(F.col("text").rlike(common.WORD), F.lit(False))
     marked = docs.filter(worded).withColumn(digest, F.xxhash64("text"))
-    kept = marked.join(alone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col(digest) == F.col("_d")), "left_semi")
+    kept = marked.join(alone, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.col(digest) == F.col(its)), "left_semi")
     return kept.dropDuplicates(["doc_id", digest]).select(*docs.columns).unionByName(docs.filter(~worded))
 
 

@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -298,16 +298,21 @@ def _expected(scores: np.ndarray, first: np.ndarray, move: np.ndarray, begin: np
     return p, pairs
 
 
-def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 400, **training) -> Model:
-    """Train on the whole texts of at most about per_lang documents of each language, chosen by a hash of the key."""
-    known = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
-    pick = F.lit(False)
-    draw = F.pmod(F.xxhash64(F.lit(5), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-    for name, n in counts.items():
-        pick = pick | ((F.col(lang) == name) & (draw < per_lang / n))
-    sample = known.filter(pick).select(F.col(key).cast("string").alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    rows = sorted(sample.orderBy("lang", "k").limit(2 * per_lang * max(1, len(counts))).collect(), key=lambda r: (r.lang, r.k or "", r.text))
+def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 400, most_bytes: int = 8 << 20, **training) -> Model:
+    """Train on the whole texts of at most per_lang documents of each language, and at most about most_bytes bytes of them.
+
+    A language's documents are those with the smallest hashes of key and text, so every language that has a text has one
+    at least; equal rows count once. Rows without a key aren't learned from.
+    """
+    known = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
+    known = known.select(F.col(lang).alias("lang"), F.xxhash64(F.lit(5), F.col(key), F.col(text)).alias("draw"), F.octet_length(text).cast("long").alias("size"), F.col(key).cast("string").alias("k"), F.col(text).alias("text"))
+    by = Window.partitionBy("lang").orderBy("draw")
+    # Light rows tell the last draw of each language; each task passes on no more of them than are taken.
+    light = known.groupBy("lang", "draw").agg(F.first("size").alias("size")).withColumn("n", F.row_number().over(by)).filter(F.col("n") <= per_lang)
+    before = F.coalesce(F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = light.withColumn("before", before).filter(F.col("before") < most_bytes).select("lang", "draw")
+    rows = known.join(taken, ["lang", "draw"]).dropDuplicates(["lang", "draw"]).select("k", "lang", "text").collect()
+    rows = sorted(rows, key=lambda r: (r.lang, r.k, r.text))
     return train([r.text for r in rows], [r.lang for r in rows], **training)
 
 
@@ -358,7 +363,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without a letter go. Nulls, ties, repeats and empty tables as in predict(); columns stay as they are.
     """
-    model = fit(docs.filter(~F.coalesce(held_out(), F.lit(False))))
+    model = fit(docs.filter(~held_out()))
     found = predict(common.carried(docs, text=F.col("text")), model)
     return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LOWEST_SCORE)).select("row.*")
 

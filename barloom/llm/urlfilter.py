@@ -65,9 +65,11 @@ def judge(captures: DataFrame, events: DataFrame, *, key: str = "page_id", url:
     active = asked.join(filed, (asked["_pattern"] == filed["pattern"]) & (asked["_bucket"] == filed["_bucket"]) & (F.col("_day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_day") < F.col("valid_to"))))
     best = F.min(F.struct((-F.length("pattern")).alias("n"), "list", "pattern"))
     found = active.groupBy("_url", "_at").agg(F.count(F.lit(1)).alias("n_active"), best.alias("_best"))
-    same = (F.col(url) == F.col("_url")) & (F.col(fetched) == F.col("_at"))
-    joined = captures.join(found, same, "left")
-    return joined.select(*captures.columns, F.coalesce("n_active", F.lit(0)).alias("n_active"), F.col("_best.list").alias("list"), F.col("_best.pattern").alias("pattern"), F.coalesce(F.col("_best.list") != "allow", F.lit(False)).alias("blocked"))
+    # Names that captures don't have.
+    at, when, best = (common.spare_name(captures, c) for c in ("_url", "_at", "_best"))
+    found = found.withColumnsRenamed({"_url": at, "_at": when, "_best": best})
+    joined = captures.join(found, (F.col(url) == F.col(at)) & (F.col(fetched) == F.col(when)), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in captures.columns], F.coalesce("n_active", F.lit(0)).alias("n_active"), F.col(best)["list"].alias("list"), F.col(best)["pattern"].alias("pattern"), F.coalesce(F.col(best)["list"] != "allow", F.lit(False)).alias("blocked"))
 
 
 def captures_of(pages: DataFrame) -> DataFrame:

@@ -9,11 +9,12 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.llm import components, jaccard, langid, licenses, mixing, packing, quality, sharding, tokenbin, tokens, urlfilter
 
 WORDS = "the of and river stone light walks under morning cold house green seven quick over into every other night window".split()
-CLASH = ["size", "shard", "kept", "score", "_lines", "_key", "_bucket", "bucket", "row", "n_words", "copies", "target", "lead", "_digest", "digest", "key", "place", "own"]
+CLASH = ["size", "shard", "kept", "score", "_lines", "_key", "_bucket", "bucket", "row", "n_words", "copies", "target", "lead", "_digest", "digest", "key", "place", "own", "_id", "_d", "_url", "_at", "_best", "class_id", "lang_pred", "component_id", "draw", "n", "k"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH)
 
 
@@ -406,6 +407,34 @@ def test_held_out_documents(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in found)
 
 
+def test_training_draws_of_every_language(spark, monkeypatch):
+    rows = [(7, f"the river {i} and", "aa") for i in range(3000)] + [(i, f"le fleuve {i} et", "zz") for i in range(50)] + [(9, "same same", "bb")] * 500 + [(None, "no key at all", "cc")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    learned = []
+    monkeypatch.setattr(langid, "train", lambda texts, langs, **_: learned.append(sorted(zip(langs, texts))))
+    langid.fit(df, per_lang=100)
+    langid.fit(df.repartition(2), per_lang=100)
+    langid.fit(df, per_lang=100, most_bytes=200)
+    count = [{x: sum(g == x for g, _ in found) for x in ("aa", "bb", "cc", "zz")} for found in learned]
+    assert learned[0] == learned[1] and count[0] == {"aa": 100, "bb": 1, "cc": 0, "zz": 50} and count[2]["aa"] in (10, 11, 12) and count[2]["zz"] > 5
+
+
+def test_rows_without_a_key_are_not_learned_from(spark, monkeypatch):
+    rows = [(None, "la casa verde", "es")] * 20 + [(i, f"the green house {i}", "en") for i in range(30)]
+    seen = []
+    train = langid.train
+    monkeypatch.setattr(langid, "train", lambda texts, langs, **how: seen.extend(langs) or train(texts, langs, **how))
+    langid.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").count()
+    assert set(seen) == {"en"} and len(seen) < 30
+
+
+def test_captures_keep_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "http://a.b/c", "u", "at", "best", "old")], "page_id long, url string, _url string, _at string, _best string, list string").withColumn("fetched", F.lit("2024-02-01").cast("timestamp_ntz"))
+    events = spark.createDataFrame([("spam", "a.b", "2024-01-01", "add")], "list string, pattern string, day string, action string").withColumn("day", F.to_date("day"))
+    got = urlfilter.judge(rows, events).first()
+    assert (got["_url"], got["_at"], got["_best"], got["list"], got["blocked"]) == ("u", "at", "best", "spam", True)
+
+
 def test_mix_of_rows_without_keys(spark):
     rows = [(None, " ".join(WORDS[: 3 + i % 15]), "a") for i in range(60)] + [(1, None, None), (2, "", "a")]
     out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), chunk=8, fan=2).toPandas()
