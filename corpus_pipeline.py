@@ -22,8 +22,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each is written to the shared folder before the next reads it."""
-    docs = common.documents(spark, sf_dir)
+    """All stages over the documents; each is written to the shared folder before the next reads it, and goes once that is written."""
+    docs, before = common.documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = common.cut(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            common.discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
