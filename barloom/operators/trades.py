@@ -40,11 +40,17 @@ def match_trades(df: DataFrame, cfg: Exits = Exits(), keys: list[str] = ["symbol
     exits = exits.withColumn("exit", F.least("next_sell", "cross"))
     kept = taken(exits.select(*keys, "entry", "exit", "entry_price", F.col("cross_reason").alias("_forced"), (F.col("exit") == F.col("next_sell")).alias("_sold")), keys)
     kept = kept.select(*keys, F.col("entry").alias("entry_ord"), F.col("exit").alias("exit_ord"), "entry_price", "_forced", "_sold")
-    prices = df.select(*keys, F.col("ord").alias("exit_ord"), F.col("price").alias("exit_price"))
-    out = join_on(kept, prices, [*keys, "exit_ord"], "left")
+    return settled(priced(kept, df.select(*keys, "ord", "price"), cfg, keys, keys))
+
+
+def priced(kept: DataFrame, bars: DataFrame, cfg: Exits, keys: list[str], bar_keys: list[str]) -> DataFrame:
+    """Trades (keys, entry_ord, exit_ord, entry_price, _forced, _sold) with exit price, reason, profit and fees; bars: bar_keys, ord, price."""
+    prices = bars.select(*bar_keys, F.col("ord").alias("exit_ord"), F.col("price").alias("exit_price"))
+    out = join_on(kept, prices, [*bar_keys, "exit_ord"], "left")
     ratio = (1 - cfg.fee) * (1 - cfg.fee) * F.col("exit_price") / F.col("entry_price")
     reason = F.when(F.col("exit_ord").isNull(), None).when(F.coalesce("_sold", F.lit(False)), 0).otherwise(F.col("_forced"))
-    return settled(out.select(*keys, "entry_ord", "exit_ord", "entry_price", "exit_price", reason.cast("int").alias("reason"), (cfg.balance * (ratio - 1)).alias("profit"), (cfg.fee * cfg.balance + F.coalesce(cfg.balance * (1 - cfg.fee) * F.col("exit_price") / F.col("entry_price") * cfg.fee, F.lit(0.0))).alias("fees")))
+    fees = cfg.fee * cfg.balance + F.coalesce(cfg.balance * (1 - cfg.fee) * F.col("exit_price") / F.col("entry_price") * cfg.fee, F.lit(0.0))
+    return out.select(*keys, "entry_ord", "exit_ord", "entry_price", "exit_price", reason.cast("int").alias("reason"), (cfg.balance * (ratio - 1)).alias("profit"), fees.alias("fees"))
 
 
 def ledger(df: DataFrame, trades: DataFrame, cfg: Exits = Exits(), keys: list[str] = ["symbol"]) -> DataFrame:  # noqa: B006

@@ -645,11 +645,11 @@ _GRID = "grid AS (SELECT b.v AS low, h.v AS high, translate(b.v || '_' || h.v, '
 @register(recursive(_O + f", {_GRID}, act AS (SELECT o.*, g.run_id || '|' || o.symbol AS run, CASE WHEN {_K} <= CAST(g.low AS DOUBLE) THEN 1 WHEN {_K} >= CAST(g.high AS DOUBLE) THEN 2 ELSE 0 END AS action FROM o, grid g)",
     ", keyed AS (SELECT run AS symbol, ord, price, action FROM act)" + _walk(0.5, 0.3, "keyed") + f", t AS (SELECT *, {_STAT} FROM led) SELECT string_split(symbol, '|')[1] AS run_id, string_split(symbol, '|')[2] AS symbol, round(coalesce(sum(profit), 0), 3) AS profit, count(*) FILTER (profit >= 0) AS wins, count(*) FILTER (profit < 0) AS losses, count(*) FILTER (made) / 2 AS trades FROM t GROUP BY ALL"))
 def param_sweep(spark, d):
+    """Six rules side by side over one table of bars."""
+    k = F.col("k")
     grid = sweep.param_grid(spark, {"low": [10.0, 20.0, 30.0], "high": [70.0, 90.0]})
-    runs = sweep.run_matrix(ft.explode_indicators(base(spark, d), ["k"]), grid)
-    df = runs.withColumn("action", F.when(F.col("k") <= F.col("low"), 1).when(F.col("k") >= F.col("high"), 2).otherwise(0))
-    keys = ["run_id", "symbol"]
-    done = metrics.trade_summary(trades.ledger(df, trades.match_trades(df, LEVEL_EXITS, keys), LEVEL_EXITS, keys), keys)
+    rules = {r.run_id: (k <= r.low, k >= r.high) for r in grid.collect()}
+    done = sweep.evaluate(ft.explode_indicators(base(spark, d), ["k"]), rules, LEVEL_EXITS)
     return done.select("run_id", "symbol", F.round("profit", 3).alias("profit"), "wins", "losses", "trades")
 
 

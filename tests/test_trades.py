@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from barloom.operators import chains, exits, trades
+from barloom.operators import chains, exits, sweep, trades
 from barloom.operators.metrics import F
 from tests.test_candles import series, walk
 
@@ -84,3 +84,23 @@ def test_null_symbols_are_a_series(spark):
     found = trades.match_trades(df, trades.Exits(0, 100))
     assert [(r.symbol, r.entry_ord, r.exit_ord) for r in found.orderBy("entry_ord").collect()] == [(None, 0, 1), (None, 2, None)]
     assert trades.ledger(df, found, trades.Exits(0, 100)).count() == 4
+
+
+@pytest.mark.parametrize("cfg", [trades.Exits(), trades.Exits(take_profit=0.01, stop_loss=0.01)])
+def test_a_sweep_equals_its_runs(spark, cfg):
+    rng = random.Random(8)
+    rows = [(s, i, 100 + 3 * rng.random(), rng.random()) for s in ("a", "b", None) for i in range(120)]
+    df = spark.createDataFrame(rows, "symbol string, ord long, price double, k double").repartition(3)
+    rules = {f"{low}-{high}": (F.col("k") <= low, F.col("k") >= high) for low in (0.1, 0.3, 2.0, -1.0) for high in (0.2, 0.9)}
+    got, want = {}, {}
+    for r in sweep.sweep_trades(df, rules, cfg, 16).collect():
+        got.setdefault((r.run_id, r.symbol), []).append((r.entry_ord, r.exit_ord, r.reason))
+    for name, (low, high) in ((f"{low}-{high}", (low, high)) for low in (0.1, 0.3, 2.0, -1.0) for high in (0.2, 0.9)):
+        for s in ("a", "b", None):
+            own = [r for r in rows if r[0] == s]
+            found = walk([r[2] for r in own], [1 if r[3] <= low else 2 if r[3] >= high else 0 for r in own], cfg)
+            if found:
+                want[name, s] = found
+    assert {k: sorted(v) for k, v in got.items()} == want
+    totals = {(r.run_id, r.symbol): (r.wins + r.losses, r.trades) for r in sweep.evaluate(df, rules, cfg, 16).collect()}
+    assert totals == {(n, s): (sum(x[1] is not None for x in want.get((n, s), [])), sum(1 + (x[1] is not None) for x in want.get((n, s), [])) / 2) for n in rules for s in ("a", "b", None)}
