@@ -96,10 +96,15 @@ class Aligner:
         b, *b_spans = np.fromiter(flat((p.id, p.begin, p.end) for m in b_found for p in m), np.int64, 3 * b_at[-1]).reshape(-1, 3).T
         b_spans = np.stack(b_spans, axis=1) + 1
         b_spans[b_at[:-1][np.diff(b_at) > 0], 0] = 0  # the space that B adds belongs to its first piece
-        for k, u in enumerate(units):
-            if not u.isascii():  # characters to bytes
-                starts = np.cumsum([0, *(len(c.encode()) for c in u)])
-                a_spans[a_at[k] : a_at[k + 1]] = starts[a_spans[a_at[k] : a_at[k + 1]]]
+        wide = [k for k, u in enumerate(units) if not u.isascii()]
+        if wide:  # characters to bytes
+            chars = np.frombuffer("".join(units[k] for k in wide).encode("utf-32-le"), "<u4")
+            starts = np.append(0, np.cumsum(1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)))
+            first = np.cumsum([0, *(len(units[k]) for k in wide)])[:-1]
+            n = np.diff(a_at)[wide]
+            at = _ragged(a_at[wide], n)
+            begin = np.repeat(first, n)[:, None]
+            a_spans[at] = starts[begin + a_spans[at]] - starts[begin]
         same = self._decodes(self.a_bytes, a, a_at, raw) & self._decodes(self.b_bytes, b, b_at, raw)
         a_ends, b_ends = refined(a_spans, a_at, self.a_size[a], base), refined(b_spans, b_at, self.b_size[b], base)
         for ends, at in ((a_ends, a_at), (b_ends, b_at)):  # a unit that doesn't decode keeps to its own bytes
@@ -233,13 +238,18 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def _digest(written: pa.Array, slots: np.ndarray) -> str:
-    """Of the groups of units one after the other."""
-    out = hashlib.sha256()
-    for k in range(0, len(slots), 1 << 16):
-        part = ";".join(written.take(pa.array(slots[k : k + (1 << 16)])).to_pylist())
-        out.update((";" * (k > 0) + part).encode())
-    return out.hexdigest()
+def _digests(written: pa.Array, slots: np.ndarray, bounds: np.ndarray) -> list[str]:
+    """Of the groups of each document's units, one after the other."""
+    if (pc.sum(pc.take(pc.binary_length(written), pa.array(slots))).as_py() or 0) + len(slots) < 1 << 30:
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), written.take(pa.array(slots))), ";")
+        return [hashlib.sha256(t.as_buffer() if t.is_valid else b"").hexdigest() for t in texts]
+    out = []
+    for b, e in zip(bounds.tolist(), bounds[1:].tolist()):
+        one = hashlib.sha256()
+        for k in range(b, e, 1 << 16):
+            one.update((";" * (k > b) + ";".join(x or "" for x in written.take(pa.array(slots[k : min(k + (1 << 16), e)])).to_pylist())).encode())
+        out.append(one.hexdigest())
+    return out
 
 
 _SCHEMA = "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary, place int, pair long, docs long"
@@ -262,7 +272,7 @@ def _chunk_rows(memory: _Memory, chunk: int, keys: list, texts: list) -> pa.Reco
     # A text whose units don't all decode has no tokens.
     broken = np.zeros(n_docs, bool)
     broken[doc[~memory.written.is_valid().to_numpy(zero_copy_only=False)[flat]]] = True
-    shas = [_digest(memory.written, flat[b:e]) if e > b and not x else "" for b, e, x in zip(bounds.tolist(), bounds[1:].tolist(), broken.tolist())]
+    shas = ["" if x or not n else d for d, n, x in zip(_digests(memory.written, flat, bounds), lengths, broken.tolist())]
     flat, doc = flat[~broken[doc]], doc[~broken[doc]]
     used, code = np.unique(flat, return_inverse=True)
     sums = np.zeros((n_docs, 3), np.int64)
