@@ -338,6 +338,37 @@ def test_certified_cutoffs_reject_junk_and_keep_good(spark, empty):
     assert quality.rate(docs.limit(0), marks).count() == 0 and quality.rate(docs, marks.limit(0)).filter("kept").count() >= 2700
 
 
+def test_every_rule_certifies_in_several_strata(spark, tmp_path):
+    """Query and SQL on a table where all five rules get cutoffs in each of three languages, one of them null."""
+    import duckdb
+
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lines = lambda n, size: [" ".join(word(size) for _ in range(6)) for _ in range(n)]
+    made = {
+        "good": lambda: "\n".join(lines(11, rng.choice([5, 6, 7]))), "symbols": lambda: "\n".join(lines(11, 6)) + "#$%&" * 30, "long_words": lambda: "\n".join(lines(11, 16)), "short_words": lambda: "\n".join(lines(30, 2)),
+        "dup_lines": lambda: "\n".join(x + "\nok" for x in lines(11, 6)), "repeats": lambda: " ".join([*lines(10, 6), *(lines(1, 6) * 4)]),
+    }
+    rows, marks = [], []
+    for lang in ("en", "fr", None):
+        for kind, n in (("good", 1000), *((k, 60) for k in made if k != "good")):
+            for _ in range(n):
+                marks.append((len(rows), int(kind == "good")))
+                rows.append((len(rows), made[kind](), lang))
+    at = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int").write.parquet(f"{at}/labels.parquet")
+    counts = quality.annotate(spark.read.parquet(f"{at}/documents.parquet")).select("doc_id", "lang", *quality.BASE_COUNTS, "n_lines", "base_failed")
+    cutoffs = quality.calibrate(quality.common.cut(counts, "counts"), spark.read.parquet(f"{at}/labels.parquet")).collect()
+    assert len(cutoffs) == 3 and all(r[f"cut_{rule}"] is not None for r in cutoffs for rule in quality.GRIDS)
+    got = sorted(tuple(r) for r in quality.op10_quality_rules(spark, at).collect())
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet/*.parquet'")
+    want = con.sql(f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM ({quality.OP10_SQL})").fetchall()
+    assert got == sorted(want) and 3000 <= sum(r[-1] for r in got) < 3100 and not any(r[-2] for r in got)
+
+
 def test_crc_of_digest_columns(spark):
     assert zlib.crc32("é".encode()) == spark.range(1).select(sharding.F.crc32(sharding.F.lit("é"))).first()[0]
 
