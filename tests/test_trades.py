@@ -45,7 +45,7 @@ def test_exits_over_a_tree_of_chunks(spark, cfg):
     for symbol in ("a", None):
         prices = [100.0]
         for _ in range(1300):
-            prices.append(prices[-1] * (1 + rng.gauss(0, 0.0015)))
+            prices.append(prices[-1] * (1 + rng.gauss(0, 0.005)))
         sells = sorted(rng.sample(range(1300), 3))
         for i, p in enumerate(prices):
             rows.append((symbol, i, p, 2 if i in sells else int(i % 23 == 0), min((s for s in sells if s >= i), default=None)))
