@@ -162,24 +162,39 @@ def _pair_streams(last: bool):
     return pairs
 
 
+def _parted(df: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with a stream, and rows of codes, written to folders of their own by one job: the codes go once they are counted."""
+    spark, path = df.sparkSession, common.new_path(df.sparkSession, label)
+    with common.tidy(spark), common.setting(spark, "spark.sql.maxConcurrentOutputFileWriters", "2"):
+        df.withColumn("kind", F.when(F.col("code").isNull(), "stream").otherwise("code")).write.partitionBy("kind").parquet(path)
+
+    def part(kind: str, columns: list[str]) -> DataFrame:
+        place, schema = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/kind={kind}"), df.select(*columns).schema
+        some = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+        return spark.read.schema(schema).parquet(f"{path}/kind={kind}") if some else spark.createDataFrame([], schema)
+
+    return part("stream", ["chunk", "stream"]), part("code", [c for c in df.columns if c != "stream"])
+
+
 def _marked(rows: DataFrame, keys: list[str], least: int) -> Column:
     """Whether a row's keys may be frequent, by one of MARKS bits that the frequent ones set: a table of bounded size, and
     the fewer it lets through the less is shuffled. No frequent one is missed, so what is counted of the others' rows is whole."""
     mark = F.pmod(F.xxhash64(*keys), F.lit(MARKS))
     counted = rows.groupBy(*keys).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     words = counted.groupBy(F.floor(mark / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(mark, F.lit(64)).cast("int"))).alias("b"))
-    with common.tidy(rows.sparkSession):
-        found = words.toArrow()  # at most MARKS / 64 rows
+    words = common.cut(words, "marks")  # at most MARKS / 64 rows; once it is written, what was shuffled for it goes
+    found = words.toArrow()
+    common.discard(words)
     bits = np.zeros(MARKS // 64, np.int64)
     bits[found["w"].to_numpy()] = found["b"].to_numpy()
     held = rows.sparkSession.createDataFrame(pa.table({"bits": pa.array([bits], pa.list_(pa.int64()))})).scalar()
     return F.call_function("shiftright", F.get(held, F.floor(mark / 64).cast("int")), F.pmod(mark, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
 
 
-def _known(streams: DataFrame, keys: list[str], least: int, label: str) -> DataFrame:
+def _known(codes: DataFrame, keys: list[str], least: int, label: str) -> DataFrame:
     """The chunks' codes that are frequent in the corpus: part (the chunk), own (the code), f, id; the keys in one row of each id."""
     alike = Window.partitionBy(*keys)
-    rows = streams.filter(F.col("code").isNotNull()).select("chunk", "code", *keys, "n")
+    rows = codes.select("chunk", "code", *keys, "n")
     rows = rows.filter(_marked(rows, keys, least)).withColumn("f", F.sum("n").over(alike))
     kept = rows.filter(F.col("f") >= least).withColumn("row", F.monotonically_increasing_id()).withColumn("id", F.min("row").over(alike))
     return common.cut(kept.select(F.col("chunk").alias("part"), F.col("code").alias("own"), "f", "id", *[F.when(F.col("row") == F.col("id"), F.col(k)).alias(k) for k in keys]), label)
@@ -191,11 +206,10 @@ def _score(a: Column, l: Column, r: Column) -> Column:
     return F.call_function("div", F.lit(2_000_000).cast("decimal(38,0)") * a.cast("decimal(20,0)"), wide(l.cast("decimal(20,0)") + r.cast("decimal(20,0)")))
 
 
-def _following(streams: DataFrame, known: DataFrame, last: bool, label: str) -> DataFrame:
+def _following(streams: DataFrame, known: DataFrame, last: bool, label: str) -> tuple[DataFrame, DataFrame]:
     """The next streams and their pairs, by chunk."""
-    heads = streams.filter(F.col("stream").isNotNull()).select("chunk", "stream")
     own = known.select("part", "own", "f", "id")
-    return common.cut(heads.groupBy("chunk").cogroup(own.groupBy("part")).applyInArrow(_pair_streams(last), f"{_STREAM}, head long, tail long"), label)
+    return _parted(streams.groupBy("chunk").cogroup(own.groupBy("part")).applyInArrow(_pair_streams(last), f"{_STREAM}, head long, tail long"), label)
 
 
 def frequent(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, list[DataFrame]]:
@@ -207,17 +221,18 @@ def frequent(docs: DataFrame, *, text: str = "text", lang: str = "lang", least:
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
     with common.batches_of(spark, 512), common.setting(spark, "spark.sql.parquet.compression.codec", "zstd"):
-        streams = common.cut(rows.mapInArrow(_word_streams, f"{_STREAM}, lang string, word string"), "words")
-        totals = common.cut(streams.filter(F.col("code").isNotNull()).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+        streams, codes = _parted(rows.mapInArrow(_word_streams, f"{_STREAM}, lang string, word string"), "words")
+        totals = common.cut(codes.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
         keys, found = ["lang", "word"], []
         for length in range(1, longest + 1):
-            known = _known(streams, keys, least, f"known{length}")
-            found.append(known.filter(F.col(keys[0]).isNotNull()).select(*keys, "f", "id"))
+            known = _known(codes, keys, least, f"known{length}")
+            common.discard(codes)
+            found.append(common.cut(known.filter(F.col(keys[0]).isNotNull()).select(*keys, "f", "id"), f"phrases{length}"))
             if length < longest:
-                previous, streams = streams, _following(streams, known, length + 1 == longest, f"pairs{length + 1}")
-                common.discard(previous)
+                old, (streams, codes) = streams, _following(streams, known, length + 1 == longest, f"pairs{length + 1}")
+                common.discard(old)
+            common.discard(known)
             keys = ["head", "tail"]
-        common.discard(streams)
     return totals, found
 
 
