@@ -125,13 +125,18 @@ def judge(annotated: DataFrame, cutoffs: DataFrame, *, stratum: str = "lang") ->
         above = above | F.coalesce(c > F.col(f"cut_{r}"), F.lit(False))
     rows = common.carried(annotated, ("kept",), own=F.col(stratum).cast("string"), **{c: F.col(c) for c in ADDED})
     joined = rows.join(cutoffs, F.col("own").eqNullSafe(F.col("_stratum")), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~above).select("row.*", "kept")
+    # One comparison of both: a filter on base_failed alone would be evaluated, and the windows sorted, a second time below the join.
+    return joined.withColumn("kept", F.greatest(F.col("base_failed").cast("int"), above.cast("int")) == 0).select("row.*", "kept")
 
 
 def rate(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", key: str = "doc_id", **limits) -> DataFrame:
-    """docs with the counts, base_failed and kept. The annotated rows are written once: calibration and verdict read them."""
-    annotated = common.cut(annotate(docs), "quality")
-    return judge(annotated, _cutoffs(annotated, labels, stratum=stratum, key=key, **limits), stratum=stratum)
+    """docs with the counts, base_failed and kept. Calibration reads the counts alone, written and deleted again; the verdict
+    counts anew while it reads, so that no text is written or shuffled."""
+    annotated = annotate(docs)
+    counts = common.cut(annotated.select(*dict.fromkeys([key, stratum]), *ADDED), "quality")
+    cutoffs = _cutoffs(counts, labels, stratum=stratum, key=key, **limits)
+    common.discard(counts)
+    return judge(annotated, cutoffs, stratum=stratum)
 
 
 def _cutoffs(counts: DataFrame, labels: DataFrame, **how) -> DataFrame:
