@@ -50,8 +50,9 @@ from .components import components
 MEMORY, COUNTED, LOCAL, FREQUENT, HOT = 100_000, 1_500_000, 3, 1 << 18, 256
 #: Documents, and pairs twice over, whose texts or sets are handed to Python together.
 AT_ONCE = 512
-#: Bits that mark the documents whose sets are wanted: 2 MB, whatever the corpus. Marks by chance only cost reading.
-MARKS = 1 << 24
+#: Bits that mark the documents whose sets are wanted: eight for each, and at least and at most so many (32 MB). Marks by
+#: chance only cost reading; with over a quarter of the bits wanted, documents are found by a join instead.
+FEWEST_MARKS, MARKS = 1 << 20, 1 << 28
 #: Largest size that may count as light.
 LIGHT = 24
 #: Least bits of a sketch; sets and shingles of a block of a family; pairs compared at once; sets that meet one copy of a lead.
@@ -402,16 +403,27 @@ def _close(small: tuple[Column, Column], large: tuple[Column, Column], percent:
     return (100 * a >= percent * b) & (i < index) & (1 + F.least(a - i - 1, b - j - 1) >= need)
 
 
+def _bits(wanted: int) -> int:
+    """Bits of the bitmap that marks so many documents."""
+    return min(MARKS, max(FEWEST_MARKS, 1 << (8 * wanted).bit_length()))
+
+
 def _sets(nodes: DataFrame, docs: DataFrame, holders: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """Rows (node, rows) with the whole sets of the given nodes (distinct), and the table that they are read from. holders: node and a document that has it."""
-    # A bitmap of MARKS bits tells nearly all other documents where they are read, so no text is shuffled.
-    mark = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
-    wanted = holders.join(nodes, "node", "left_semi").select(mark.alias("m"))
-    words = wanted.groupBy(F.floor(F.col("m") / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(m % 32 as int))")).alias("b")).toArrow()
-    bits = np.zeros(MARKS // 32, np.uint32)
-    bits[words["w"].to_numpy()] = words["b"].to_numpy()
-    texts = docs.select(mark.alias("mark"), "text")
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    holders = holders.join(nodes, "node", "left_semi").select("doc_id")
+    number = nodes.count()
+    bits = _bits(number)
+    if number > bits // 4:
+        marked, some = docs.select("doc_id", "text").join(holders.select(F.col("doc_id").alias("holder")).distinct(), F.col("doc_id").eqNullSafe(F.col("holder")), "left_semi"), np.full(1, 1, np.uint32)
+        texts = marked.select(F.lit(0).cast("long").alias("mark"), "text")
+    else:
+        # A bitmap tells nearly all other documents where they are read, so no text is shuffled.
+        mark = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+        words = holders.select(mark.alias("m")).groupBy(F.floor(F.col("m") / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(m % 32 as int))")).alias("b")).toArrow()
+        some = np.zeros(bits // 32, np.uint32)
+        some[words["w"].to_numpy()] = words["b"].to_numpy()
+        texts = docs.select(mark.alias("mark"), "text")
+    shared = docs.sparkSession.sparkContext.broadcast(some)
     found = common.cut(texts.mapInArrow(_sets_of(n, shared), "node long, rows binary"), "sets", AT_ONCE)
     shared.destroy()
     return found.join(nodes, "node", "left_semi").dropDuplicates(["node"]), found
@@ -530,13 +542,14 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Columns stay as they are, whatever their names. An empty table gives an empty one.
     """
     placed = _placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), 5, 80)
-    digest = common.spare_name(docs, "_digest")
-    own, its = common.spare_name(docs, "_id"), common.spare_name(docs, "_d")
-    alone = placed.filter("kept AND n > 0").select(F.col("doc_id").alias(own), F.col("digest").alias(its)).distinct()
+    # Both sides are dealt by one key, never null, that also tells repeated rows: texts are shuffled once.
+    names = [common.spare_name(docs, stem) for stem in ("_id", "_null", "_digest")]
+    key = lambda digest: [c.alias(name) for c, name in zip((F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull(), digest), names)]
+    alone = placed.filter("kept AND n > 0").select(*key(F.col("digest"))).distinct()
     worded = F.coalesce(F.col("text").rlike(common.WORD), F.lit(False))
-    marked = docs.filter(worded).withColumn(digest, F.xxhash64("text"))
-    kept = marked.join(alone, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.col(digest) == F.col(its)), "left_semi")
-    return kept.dropDuplicates(["doc_id", digest]).select(*docs.columns).unionByName(docs.filter(~worded))
+    marked = docs.filter(worded).select("*", *key(F.xxhash64("text")))
+    kept = marked.join(alone, names, "left_semi").dropDuplicates(names)
+    return kept.select(*docs.columns).unionByName(docs.filter(~worded))
 
 
 def op9_size_aware_join(spark: SparkSession, sf_dir: str) -> DataFrame:

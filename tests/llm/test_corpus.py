@@ -262,6 +262,9 @@ def test_jaccard_equals_brute_force(spark, rows, n, percent, boundary, monkeypat
     if boundary is not None:  # large families in several blocks, hot shingles, salted leads
         for name, value in (("BLOCK", 16), ("HOT", 8), ("FAN", 4)):
             monkeypatch.setattr(jaccard, name, value)
+    if boundary == 10:  # more documents are wanted than a bitmap may mark
+        monkeypatch.setattr(jaccard, "MARKS", 64)
+        monkeypatch.setattr(jaccard, "FEWEST_MARKS", 64)
     rng = random.Random(6)
     more, base = list(rows), sentence(rng, 100).split()
     for i in range(60):  # a family of near copies, some of which link and some don't
@@ -488,6 +491,15 @@ def test_dedup_stage_tells_repeated_ids_by_text(spark, folder):
     assert sorted(map(tuple, got), key=str) == sorted([(1, a), (1, b), (None, c), (4, None), (4, None), (5, " "), (6, "one")], key=str)
 
 
+def test_rules_stage_leaves_no_text_behind(spark, docs, folder, monkeypatch):
+    from barloom.llm import common
+
+    written, cut = [], common.cut
+    monkeypatch.setattr(common, "cut", lambda df, label, *more: written.append(df.columns) or cut(df, label, *more))
+    quality.stage(spark, docs, folder[0]).count()
+    assert written and not any({"text", "row"} & set(columns) for columns in written)
+
+
 def test_pipeline_equals_brute_force_by_stage(spark):
     import corpus_pipeline
 
