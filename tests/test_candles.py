@@ -270,3 +270,20 @@ def test_uniform_samples_agree(spark):
     df = spark.range(1000).withColumnRenamed("id", "ord")
     a, b = ({r.ord for r in experience.sample_uniform(d, 100, 3).collect()} for d in (df, df.repartition(7)))
     assert a == b and len(a) == 100 and 400 < sum(a) / 100 < 600 and a != {r.ord for r in experience.sample_uniform(df, 100, 4).collect()}
+
+
+def test_candles_equal_their_sql_at_half_milliseconds_and_nulls(spark, tmp_path):
+    """Events in the last half millisecond of an hour, and first and last ones without a value or properties."""
+    import duckdb
+
+    from barloom.plans import catalog
+
+    con = duckdb.connect()
+    con.sql("""CREATE TABLE events AS SELECT CAST(i AS BIGINT) AS event_id, CAST(t AS TIMESTAMP) AS ts, CAST(1 AS BIGINT) AS user_id, 'a' AS event_type, CAST(v AS DOUBLE) AS value, p AS props FROM (VALUES
+      (0, '2024-01-01 00:00:00.0001', NULL, NULL), (1, '2024-01-01 00:10:00', 1, '{"k": 5}'), (2, '2024-01-01 00:50:00', 2, NULL), (3, '2024-01-01 00:59:59.999499', NULL, '{"k": 7}'),
+      (4, '2024-01-01 00:59:59.9995', 3, '{"k": 9}'), (5, '2024-01-01 01:30:00', 4, '{"k": 90}'), (6, '2024-01-01 01:59:59.999999', 8, NULL), (7, '2024-01-01 03:00:00', NULL, NULL)) v(i, t, v, p)""")
+    con.sql(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    for name in ("candles_hourly", "gap_filled", "feature_set_solo_price", "phase_slots"):
+        got = catalog.QUERIES[name](spark, str(tmp_path))
+        want = con.sql(catalog.ORACLE_SQL[name]).select(*[f'"{c}"' for c in got.columns]).fetchall()
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)), name
