@@ -7,8 +7,8 @@ of a character do and bytes that B falls back on, is refined: there the ends are
 tokens between two common ends are a group, and each of its A tokens is linked with each of its B tokens.
 
 Neither vocabulary joins a space to a letter before it. So a text is cut into units (a space and what follows, up to the
-next space after a visible character), which are aligned once and remembered by the worker: no more than MEMORY units
-beyond those of the chunk in hand. A vocabulary that has tokens with a space after a letter gets whole texts.
+next space after a visible character), which are aligned once and remembered by the worker, from task to task: no more
+than MEMORY units beyond those of the chunk in hand, and of those the ones that most chunks had. A vocabulary that has tokens with a space after a letter gets whole texts.
 
 Links are counted without shuffling a text's links: documents are put together to chunks of some megabytes, whose
 distinct pairs of ids are numbered. A pair has one row for each chunk with the number of documents that hold it; these
@@ -26,7 +26,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -88,13 +88,13 @@ class Aligner:
         base = np.cumsum([0, *map(len, raw)])
         flat = chain.from_iterable
         a_found = self.a.encode_batch(units, add_special_tokens=False)
-        b_found = [m.pieces for m in self.b.encode([u[1:] for u in units], return_type="proto", num_threads=1)]
-        a_ids = [e.ids for e in a_found]
-        a_at, b_at = (np.cumsum([0, *map(len, x)]) for x in (a_ids, b_found))
+        b_found = self.b.encode([u[1:] for u in units], return_type="offset_mapping", return_bytes=True, num_threads=1)
+        a_ids, b_ids = [e.ids for e in a_found], [m["ids"] for m in b_found]
+        a_at, b_at = (np.cumsum([0, *map(len, x)]) for x in (a_ids, b_ids))
         a = np.fromiter(flat(a_ids), np.int64, a_at[-1])
         a_spans = np.fromiter(flat(flat(e.offsets for e in a_found)), np.int64, 2 * a_at[-1]).reshape(-1, 2)
-        b, *b_spans = np.fromiter(flat((p.id, p.begin, p.end) for m in b_found for p in m), np.int64, 3 * b_at[-1]).reshape(-1, 3).T
-        b_spans = np.stack(b_spans, axis=1) + 1
+        b = np.fromiter(flat(b_ids), np.int64, b_at[-1])
+        b_spans = np.fromiter(flat(flat(m["offsets"] for m in b_found)), np.int64, 2 * b_at[-1]).reshape(-1, 2) + 1
         b_spans[b_at[:-1][np.diff(b_at) > 0], 0] = 0  # the space that B adds belongs to its first piece
         wide = [k for k, u in enumerate(units) if not u.isascii()]
         if wide:  # characters to bytes
@@ -181,6 +181,8 @@ class _Memory:
     def __init__(self, own: Aligner) -> None:
         self.own, self.slots = own, {}
         self.written, self.numbers = pa.array([], pa.string()), np.empty((0, 3), np.int64)
+        #: How many chunks each slot was in.
+        self.uses = np.empty(0, np.int64)
         #: Pairs of all slots end to end with how often each is linked, and where a slot's begin.
         self.pairs, self.times, self.bounds = np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(1, np.int64)
 
@@ -191,17 +193,19 @@ class _Memory:
         written, numbers, pairs, times, sizes = zip(*found)
         self.slots.update(zip(units, range(len(self.slots), len(self.slots) + len(units))))
         self.written = pa.concat_arrays([self.written, *written])
-        self.numbers = np.concatenate([self.numbers, *numbers])
+        self.numbers, self.uses = np.concatenate([self.numbers, *numbers]), np.append(self.uses, np.zeros(len(units), np.int64))
         self.pairs, self.times = np.concatenate([self.pairs, *pairs]), np.concatenate([self.times, *times])
         self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(sizes)))
 
     def shrink(self) -> None:
-        """Beyond MEMORY units the half met first stays: mostly the frequent ones."""
+        """Beyond MEMORY units half as many stay, those that most chunks had."""
         if len(self.slots) > MEMORY:
-            n = MEMORY // 2
-            self.slots = dict(islice(self.slots.items(), n))
-            self.written, self.numbers, self.bounds = pa.concat_arrays([self.written[:n]]), self.numbers[:n].copy(), self.bounds[: n + 1].copy()
-            self.pairs, self.times = self.pairs[: self.bounds[-1]].copy(), self.times[: self.bounds[-1]].copy()
+            kept = np.sort(np.argsort(-self.uses, kind="stable")[: MEMORY // 2])
+            units, sizes = list(self.slots), np.diff(self.bounds)[kept]
+            self.slots = {units[k]: i for i, k in enumerate(kept.tolist())}
+            self.written, self.numbers, self.uses = self.written.take(pa.array(kept)), self.numbers[kept], self.uses[kept]
+            own = _ragged(self.bounds[kept], sizes)
+            self.pairs, self.times, self.bounds = self.pairs[own], self.times[own], np.append(0, np.cumsum(sizes))
 
     def _aligned(self, units: list[str]) -> tuple:
         (a, a_at, a_ends), (b, b_at, b_ends), base, same = self.own.align(units)
@@ -232,6 +236,12 @@ class _Memory:
         return written, numbers, pairs, times, np.bincount(units_of, minlength=len(units))
 
 
+@functools.cache
+def _memory(a_path: str, b_path: str) -> _Memory:
+    """One for each worker process, which keeps it from task to task."""
+    return _Memory(aligner(a_path, b_path))
+
+
 def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of all elements of the slices that begin at starts."""
     ends = np.cumsum(lengths)
@@ -275,6 +285,7 @@ def _chunk_rows(memory: _Memory, chunk: int, keys: list, texts: list) -> pa.Reco
     shas = ["" if x or not n else d for d, n, x in zip(_digests(memory.written, flat, bounds), lengths, broken.tolist())]
     flat, doc = flat[~broken[doc]], doc[~broken[doc]]
     used, code = np.unique(flat, return_inverse=True)
+    memory.uses[used] += 1
     sums = np.zeros((n_docs, 3), np.int64)
     np.add.at(sums, doc, memory.numbers[flat])
     # Distinct pairs of the chunk, and of each unit their places.
@@ -306,8 +317,8 @@ def _chunk_rows(memory: _Memory, chunk: int, keys: list, texts: list) -> pa.Reco
 
 def _chunks(a_path: str, b_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, number = aligner(a_path, b_path), TaskContext.get().partitionId() << 32
-        memory, keys, texts, size = _Memory(own), [], [], 0
+        number = TaskContext.get().partitionId() << 32
+        memory, keys, texts, size = _memory(a_path, b_path), [], [], 0
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 keys.append(key)
@@ -319,6 +330,7 @@ def _chunks(a_path: str, b_path: str):
                     memory.shrink()
         if keys:
             yield _chunk_rows(memory, number, keys, texts)
+            memory.shrink()
 
     return run
 

@@ -96,6 +96,20 @@ def test_small_chunks_and_memory_give_the_same(spark, docs, tmp_path):
         assert {c: one[c] for c in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")} == {c: whole[k][c] for c in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")}
 
 
+def test_memory_keeps_what_most_chunks_have(monkeypatch):
+    """What was met first but once goes, what many chunks have stays, and chunks come out the same after that."""
+    monkeypatch.setattr(crosstok, "MEMORY", 6)
+    memory = crosstok._Memory(crosstok.aligner(A, B))
+    chunks = [["one-off first word 日本語"], ["late naïve"], ["late naïve again"], ["naïve late 🙂 more"], ["late naïve again more"]]
+    for k, some in enumerate(chunks):
+        got = crosstok._chunk_rows(memory, k, [0], some)
+        assert got.equals(crosstok._chunk_rows(crosstok._Memory(memory.own), k, [0], some))
+        memory.shrink()
+        assert len(memory.slots) <= 6 and len(memory.written) == len(memory.numbers) == len(memory.uses) == len(memory.slots) == len(memory.bounds) - 1
+    assert {" late", " naïve"} <= set(memory.slots) and " one-off" not in memory.slots
+    assert crosstok._memory(A, B) is crosstok._memory(A, B)
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert crosstok.statistics(none, A, B).count() == 0 and crosstok.spans(none, A, B).count() == 0
