@@ -38,6 +38,9 @@ TILE_BITS = 10
 #: Occurrences from which a tile is counted in a dense array: an eighth of its cells.
 DENSE = 1 << 2 * TILE_BITS - 3
 
+#: Rows that are handed back to Spark together.
+AT_ONCE = 1 << 16
+
 #: Bits that tell which rows may be of a frequent phrase (8 MB).
 MARKS = 1 << 26
 
@@ -111,7 +114,7 @@ def _word_streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def count_pairs(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For pairs of ranks below n: the code of each occurrence (from 0), and of each code the ranks and the count."""
     low, width = (1 << TILE_BITS) - 1, (n >> TILE_BITS) + 1
-    tile = (i >> TILE_BITS) * width + (j >> TILE_BITS)
+    tile = (i >> TILE_BITS).astype(np.int64) * width + (j >> TILE_BITS)
     order = np.argsort(tile, kind="stable")
     ends = np.append(np.flatnonzero(np.diff(tile[order])) + 1, len(order)) if len(order) else np.empty(0, np.int64)
     codes, found, base, sparse, begin = np.empty(len(i), np.int64), [], 0, [], 0
@@ -130,9 +133,16 @@ def count_pairs(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
         found.append(((row << TILE_BITS) + (kept >> TILE_BITS), (column << TILE_BITS) + (kept & low), counts[kept]))
         base += len(kept)
     if sparse:
+        # As np.unique does it, with fewer arrays of all occurrences at once.
         at = np.concatenate(sparse)
-        kept, codes_at, counts = np.unique(i[at] * n + j[at], return_inverse=True, return_counts=True)
-        codes[at] = base + codes_at
+        del sparse, order, tile
+        pair = i[at].astype(np.int64) * n + j[at]
+        by_pair = np.argsort(pair)
+        at, pair = at[by_pair], pair[by_pair]
+        del by_pair
+        new = np.append(True, pair[1:] != pair[:-1])
+        codes[at] = base - 1 + np.cumsum(new)
+        kept, counts = pair[new], np.diff(np.append(np.flatnonzero(new), len(pair)))
         found.append((kept // n, kept % n, counts))
     heads, tails, counts = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64),) * 3
     return codes, heads, tails, counts
@@ -144,20 +154,25 @@ def _pair_streams(last: bool):
         stream = unpacked(streams["stream"][0].as_py())
         code, ids = known["own"].to_numpy(), known["id"].to_numpy()
         by_rank = np.lexsort((ids, -known["f"].to_numpy()))
-        rank = np.full(max(stream.max(initial=0), code.max(initial=0)) + 1, -1, np.int64)
+        rank = np.full(max(stream.max(initial=0), code.max(initial=0)) + 1, -1, np.int32)
         rank[code[by_rank]] = np.arange(len(code))
         ranks, ids = rank[stream], ids[by_rank]
         at = np.flatnonzero((ranks[:-1] >= 0) & (ranks[1:] >= 0))
-        codes, heads, tails, counts = count_pairs(ranks[at], ranks[at + 1], max(len(ids), 1))
+        left, right = ranks[at], ranks[at + 1]
+        del rank, ranks
+        codes, heads, tails, counts = count_pairs(left, right, max(len(ids), 1))
+        del left, right
         # Codes in order of their ids: rows that follow each other are alike, so they take less room on disk.
         order = np.lexsort((ids[tails], ids[heads]))
         code_of = np.empty(len(order), np.int64)
         code_of[order] = np.arange(1, len(order) + 1)
         following = np.zeros(len(stream), np.int32)
         following[at] = code_of[codes]
+        del at, codes, code_of, stream
         heads, tails, counts = ids[heads[order]], ids[tails[order]], counts[order]
         out = _rows(_PAIRS, key[0].as_py(), None if last else packed(following), counts, head=pa.array(heads, pa.int64()), tail=pa.array(tails, pa.int64()))
-        return pa.Table.from_batches([out])
+        # In batches, so that neither side holds all rows a second time.
+        return pa.Table.from_batches([out.slice(k, AT_ONCE) for k in range(0, out.num_rows, AT_ONCE)])
 
     return pairs
 

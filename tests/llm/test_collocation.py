@@ -80,3 +80,18 @@ def test_exact_scores_of_large_counts(spark):
     a, l, r = 9 * 10**18, 9_223_372_036_854_775_806, 9_100_000_000_000_000_001
     row = spark.createDataFrame([(a, l, r)], "a long, l long, r long").select(collocation._score(F.col("a"), F.col("l"), F.col("r")).alias("s")).first()
     assert row.s == 2_000_000 * a // (l + r)
+
+
+def test_pairs_come_in_bounded_batches(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(collocation, "AT_ONCE", 100, raising=False)
+    stream = np.random.default_rng(1).integers(0, 60, 5000).astype(np.int32)
+    known = pa.table({"own": np.arange(1, 60, dtype=np.int32), "f": np.arange(1, 60), "id": np.arange(1, 60) * 7})
+    out = collocation._pair_streams(True)((pa.scalar(3),), pa.table({"stream": [collocation.packed(stream)]}), known)
+    assert max(b.num_rows for b in out.to_batches()) <= 100
+    a, b = stream[:-1].astype(int), stream[1:].astype(int)
+    pairs, counts = np.unique(np.stack([a, b])[:, (a > 0) & (b > 0)] * 7, axis=1, return_counts=True)
+    got = sorted(zip(*(out[c].to_pylist()[1:] for c in ("head", "tail", "n"))))
+    assert got == list(zip(*pairs.tolist(), counts.tolist()))
