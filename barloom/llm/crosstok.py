@@ -43,7 +43,7 @@ CHUNK, MEMORY = 8 << 20, 400_000
 AT_ONCE, DOCS, LARGE = 4096, 64, 64
 
 #: A space after a visible character. Characters outside these ranges don't count: a unit may be longer than it must be.
-_UNIT = re.compile("(?<=[!-~\xa1-ɏ‐-‧、-鿿가-힣]) ")
+_UNIT = re.compile(" (?<=[!-~\xa1-ɏ‐-‧、-鿿가-힣] )")
 
 
 @functools.cache
@@ -143,6 +143,13 @@ def refined(spans: np.ndarray, at: np.ndarray, sizes: np.ndarray, base: np.ndarr
     return np.where(clean & (decoded == end), end, decoded)
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places (0 or more, of one batch of units) that are in both, ascending and once each, as np.intersect1d finds them."""
+    there = np.zeros((2, max(a.max(initial=-1), b.max(initial=-1)) + 1), bool)
+    there[0, a] = there[1, b] = True
+    return np.flatnonzero(there[0] & there[1])
+
+
 @functools.cache
 def aligner(a_path: str, b_path: str) -> Aligner:
     """One for each worker process."""
@@ -209,7 +216,7 @@ class _Memory:
 
     def _aligned(self, units: list[str]) -> tuple:
         (a, a_at, a_ends), (b, b_at, b_ends), base, same = self.own.align(units)
-        ends = np.intersect1d(a_ends, b_ends)
+        ends = _common(a_ends, b_ends)
         groups = np.searchsorted(ends, base, "right")
         a_cut, b_cut = (np.append(0, np.searchsorted(e, ends, "right")) for e in (a_ends, b_ends))
         n_a, n_b = np.diff(a_cut), np.diff(b_cut)

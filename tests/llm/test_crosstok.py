@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
@@ -113,3 +114,16 @@ def test_memory_keeps_what_most_chunks_have(monkeypatch):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert crosstok.statistics(none, A, B).count() == 0 and crosstok.spans(none, A, B).count() == 0
+
+
+def test_common_ends_and_units_are_those_of_the_plain_way():
+    import re
+
+    rng = np.random.default_rng(3)
+    empty = np.empty(0, np.int64)
+    for a, b in [(empty, empty), (empty, np.array([0, 4])), *((rng.integers(0, 50, n), rng.integers(0, 90, 40)) for n in (1, 30, 200))]:
+        assert crosstok._common(a, b).tolist() == np.intersect1d(a, b).tolist()
+    plain = re.compile("(?<=[!-~\xa1-ɏ‐-‧、-鿿가-힣]) ")
+    for _ in range(300):
+        text = "".join(rng.choice(list("  aé—語한\n\t　­"), 30))
+        assert crosstok._UNIT.split(" " + text) == plain.split(" " + text)
