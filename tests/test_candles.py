@@ -307,3 +307,36 @@ def test_queries_equal_their_sql_with_bars_without_time_symbol_or_price(spark, t
         want = con.sql(catalog.ORACLE_SQL[name]).select(*[f'"{c}"' for c in got.columns]).fetchall()
         row = lambda r: tuple(float(x) if isinstance(x, decimal.Decimal) else x for x in r)
         assert sorted(map(str, map(row, got.collect()))) == sorted(map(str, map(row, want))), name
+
+
+def equal_their_sql(spark, folder, names):
+    """Bars of an hour each from the folder's events: queries and their SQL, row by row."""
+    import duckdb
+
+    from barloom.plans import catalog
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    row = lambda r: tuple(float(x) if isinstance(x, decimal.Decimal) else x for x in r)
+    for name in names:
+        got = catalog.QUERIES[name](spark, str(folder))
+        want = con.sql(catalog.ORACLE_SQL[name]).select(*[f'"{c}"' for c in got.columns]).fetchall()
+        assert sorted(map(str, map(row, got.collect()))) == sorted(map(str, map(row, want))), name
+
+
+def hours(folder, values, props):
+    """An event an hour with a value and properties each."""
+    import duckdb
+
+    rows = [(i, v, p) for i, (v, p) in enumerate(zip(values, props))]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE e (i BIGINT, v DOUBLE, p VARCHAR)")
+    con.executemany("INSERT INTO e VALUES (?, ?, ?)", rows)
+    con.sql(f"COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * i AS ts, i AS user_id, 'a' AS event_type, v AS value, p AS props FROM e) TO '{folder}/events.parquet' (FORMAT parquet)")
+
+
+def test_indicators_are_numbers_where_sql_reads_one(spark, tmp_path):
+    texts = ["12d", "12F", "0x1p3", "1_0", "1_0.5_0", "_1", "1__0", "1.5e0_1", " 7\\t", "\\u000012", "+5", "+-5", ".5", "5.", "1e", "12 3", "NaN", "-nan", "inf", "-Infinity", "1e400", "", "٣", "x"]
+    props = [f'{{"k": "{t}"}}' for t in texts] + [f'{{"k": {t}}}' for t in ("1e400", "-1e400", "NaN", "true", "null", "[5]", '{"k": 5}', "5, \"k\": 6", "2.5e1")]
+    hours(tmp_path, [1 + 3 * (i % 4) for i in range(len(props))], props)
+    equal_their_sql(spark, tmp_path, ["dip_rewards", "dip_metrics_running", "dip_metrics"])
