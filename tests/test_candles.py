@@ -340,3 +340,16 @@ def test_indicators_are_numbers_where_sql_reads_one(spark, tmp_path):
     props = [f'{{"k": "{t}"}}' for t in texts] + [f'{{"k": {t}}}' for t in ("1e400", "-1e400", "NaN", "true", "null", "[5]", '{"k": 5}', "5, \"k\": 6", "2.5e1")]
     hours(tmp_path, [1 + 3 * (i % 4) for i in range(len(props))], props)
     equal_their_sql(spark, tmp_path, ["dip_rewards", "dip_metrics_running", "dip_metrics"])
+
+
+def test_values_round_as_in_sql(spark, tmp_path):
+    """Halves of the sixth place that no double holds exactly, values beyond the product, and no values."""
+    import duckdb
+
+    from barloom.plans import catalog
+
+    values = [3951 / 1920, 58.93 / 6.4 - 1, -(58.93 / 6.4 - 1), -1e-9, 0.0, 1e305, 2e15, 0.1234565, float("inf"), float("nan"), None]
+    got = [r.x for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", catalog.rounded("v", 6).alias("x")).orderBy("i").collect()]
+    assert list(map(str, got)) == [str(duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0]) for v in values]
+    hours(tmp_path, [6.4, 58.93, 6.4, 5.0], ['{"k": 5}'] * 4)
+    equal_their_sql(spark, tmp_path, ["feature_set_only_price_percent", "flagship"])
