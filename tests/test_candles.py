@@ -353,3 +353,9 @@ def test_values_round_as_in_sql(spark, tmp_path):
     assert list(map(str, got)) == [str(duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0]) for v in values]
     hours(tmp_path, [6.4, 58.93, 6.4, 5.0], ['{"k": 5}'] * 4)
     equal_their_sql(spark, tmp_path, ["feature_set_only_price_percent", "flagship"])
+
+
+def test_features_keep_nan_and_infinite_values_as_sql_does(spark, tmp_path):
+    values = [2.0, float("nan"), float("inf"), 3.0, float("-inf"), 0.0, 5.0, 1e308, None, 4.0, 1e200, 2.0]
+    hours(tmp_path, values, [f'{{"k": "{t}"}}' for t in ("5", "nan", "inf", "7", "-inf", "1e400", "x", "3", "0", "2", "2", "nan")])
+    equal_their_sql(spark, tmp_path, [*[f"feature_set_{k}" for k in ft.FEATURE_TYPES], "pct_features", "flagship"])
